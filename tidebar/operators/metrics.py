@@ -10,6 +10,7 @@ from tidebar.functions.nulls import clip, div, ladder, truth
 from tidebar.operators.layout import blocked, lag, own_rows
 from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.scan import number_rows, running
+from tidebar.session import cut_lineage
 
 YEAR = math.sqrt(252.0)
 INF = float("inf")
@@ -20,6 +21,7 @@ def trade_statistics(trades: DataFrame, keys: list[str], ret: str = "return_pct"
     r = F.col(ret)
     gains = F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0))
     losses = F.abs(F.coalesce(F.sum(F.when(r < 0, r)), F.lit(0.0)))
+    trades = cut_lineage(trades)
     out = trades.groupBy(*keys).agg(
         F.count(r).alias("total_trades"),
         F.avg((r > 0).cast("double")).alias("win_rate"),
@@ -165,7 +167,7 @@ def rejection_shares(signals: DataFrame, keys: list[str], decision: str = "decis
 
 
 def regression_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str = "y_pred") -> DataFrame:
-    """MAE, RMSE, R2, MAPE in percent and sign accuracy."""
+    """MAE, RMSE, R2, MAPE as a fraction and sign accuracy."""
     y_, p_ = F.col(y), F.col(p)
     e = y_ - p_
     tot = F.var_pop(y_) * F.count(y_)
@@ -175,7 +177,7 @@ def regression_metrics(preds: DataFrame, keys: list[str], y: str = "y", p: str =
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.when(tot < 1e-12, 0.0).otherwise(F.lit(1.0) - F.sum(e * e) / tot).alias("r2"),
-        (F.avg(F.when(sized, F.abs(e / y_))) * 100.0).alias("mape"),
+        F.coalesce(F.avg(F.when(sized, F.abs(div(e, y_)))), F.lit(0.0)).alias("mape"),
         F.coalesce(
             F.avg(F.when(y_ != 0, (F.signum(y_) == F.signum(p_)).cast("double"))), F.lit(0.5)
         ).alias("directional_accuracy"),
@@ -201,7 +203,7 @@ def auc(preds: DataFrame, keys: list[str], y: str = "y_true", p: str = "y_prob")
     per key) and the values of one bin are ever ordered together.
     """
     hit = (F.col(y) == 1).cast("bigint")
-    vals = (
+    vals = cut_lineage(
         preds.groupBy(*keys, F.col(p).alias("_p"))
         .agg(F.sum(hit).alias("_pos"), F.sum(F.lit(1) - hit).alias("_neg"))
         .withColumn("_bin", F.least(F.floor(F.col("_p") * AUC_BINS), F.lit(AUC_BINS - 1)))
@@ -229,12 +231,12 @@ def classification_metrics(preds: DataFrame, keys: list[str], y: str = "y_true",
 
 def model_weights(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Weights by inverse error, normalised over the models of a key (a handful of rows)."""
-    inv = lambda c: F.when(F.col(c) > 0, F.lit(1.0) / F.col(c))
+    inv = lambda c: F.when(F.col(c) > 1e-12, F.lit(1.0) / F.col(c))
     raw = F.coalesce(inv("mae"), inv("rmse"), F.lit(1.0))
     w = W.partitionBy(*keys)
     total, n = F.sum("_raw").over(w), F.count(F.lit(1)).over(w)
     return metrics.withColumn("_raw", raw).withColumn(
-        "weight", F.when(total <= 1e-18, F.lit(1.0) / n).otherwise(F.col("_raw") / total)
+        "weight", F.when(total < 1e-12, F.lit(1.0) / n).otherwise(F.col("_raw") / total)
     ).drop("_raw")
 
 

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tidebar.session import cut_lineage
+
 BINS = 4096
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], rounds: int = 2) -> DataFrame:
     """One row per key with linearly interpolated quantiles (name -> probability)."""
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    x = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")))
     stats = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
     )
@@ -49,7 +51,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             )
         )
         cum = F.sum("_n").over(W.partitionBy(*tkeys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
-        target = (
+        target = cut_lineage(
             binned.withColumn("_cum", cum)
             .where((F.col("_rank") < F.col("_cum")) & (F.col("_rank") >= F.col("_cum") - F.col("_n")))
             .select(*keys, "_cnt", "_lo", "_hi", "_q", "_side", (F.col("_rank") - (F.col("_cum") - F.col("_n"))).alias("_rank"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidebar.operators.layout import BLOCK
+from tidebar.session import cut_lineage
 
 
 def running(df: DataFrame, keys: list[str], no: str, outs: dict[str, tuple], block: int | None = None) -> DataFrame:
@@ -19,7 +20,7 @@ def running(df: DataFrame, keys: list[str], no: str, outs: dict[str, tuple], blo
     size = block or BLOCK
     fns = {"sum": F.sum, "max": F.max, "min": F.min}
     merge = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}
-    df = df.withColumn("_seg", F.floor((F.col(no) - 1) / size))
+    df = cut_lineage(df.withColumn("_seg", F.floor((F.col(no) - 1) / size)))
     inner = W.partitionBy(*keys, "_seg").orderBy(no).rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
     totals = df.groupBy(*keys, "_seg").agg(
@@ -41,7 +42,7 @@ def running(df: DataFrame, keys: list[str], no: str, outs: dict[str, tuple], blo
 
 def number_rows(df: DataFrame, keys: list[str], ts: str, out: str, chunk: Column) -> DataFrame:
     """Dense 1-based row number by time within keys; ``chunk`` is a monotone coarse form of ts."""
-    df = df.withColumn("_ch", chunk)
+    df = cut_lineage(df.withColumn("_ch", chunk))
     sizes = df.groupBy(*keys, "_ch").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_ch").rowsBetween(W.unboundedPreceding, -1)
     base = sizes.select(*keys, "_ch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidebar.functions.nulls import all_of, clip, div, ladder, truth
 from tidebar.operators.layout import blocked, order, own_rows, rolling
 from tidebar.operators.scan import number_rows, running
+from tidebar.session import cut_lineage
 
 ACTIONABLE = ["STRONG_BUY", "WEAK_BUY", "PROBING_BUY"]
 # Stop, target and longest holding by conviction.
@@ -121,7 +122,7 @@ def non_overlapping(trades: DataFrame, reach: int, run: int = 1024) -> DataFrame
     works out its answer to every case on its own, the answers are chained (per 1024 runs, then
     per symbol), and each run then replays its real case.
     """
-    t = trades.where(F.col("release_no").isNotNull())
+    t = cut_lineage(trades.where(F.col("release_no").isNotNull()))
     first = lambda size: F.col("blk") * size + 1
     sig = F.struct(F.col("bar_no").alias("at"), F.col("release_no").cast("bigint").alias("to"))
     runs = (
@@ -139,6 +140,8 @@ def non_overlapping(trades: DataFrame, reach: int, run: int = 1024) -> DataFrame
         ),
     )
 
+    runs = cut_lineage(runs)
+
     def enter(free: Column, b: Column) -> Column:
         blocked_for = F.greatest(free - b["start"], F.lit(0).cast("bigint"))
         return b["next_start"] + F.element_at(b["answers"], (blocked_for + 1).cast("int"))
@@ -158,6 +161,8 @@ def non_overlapping(trades: DataFrame, reach: int, run: int = 1024) -> DataFrame
         )
     )
 
+    packs = cut_lineage(packs)
+
     def trace(acc: Column, b: Column) -> Column:
         return F.struct(
             enter(acc["free"], b).alias("free"),

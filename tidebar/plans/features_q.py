@@ -167,17 +167,15 @@ full_f AS (SELECT *, {clip('0.4 * coh + 0.32 * stab + 0.28 * pers', 0, 1)} AS tr
   0.0::DOUBLE AS sentiment_x_volatility FROM h)"""
 
 
-# values on the price scale are compared to three places, ratios to six
-PRICE_SCALE = [
-    "macd_line", "macd_signal", "macd_histogram", "bb_upper", "bb_middle", "bb_lower", "ema_20", "ema_50", "sma_20",
-    "sma_50", "atr_14",
-]
-RATIOS = [c for c in ft.FULL if c not in PRICE_SCALE]
-FULL_SELECT = sql_rounded(PRICE_SCALE, 3) + ", " + sql_rounded(RATIOS)
+# smoothed prices are compared to three places, plain means to the seven that a mean over 32 cents can have, ratios to six
+PRICE_SCALE = ["macd_line", "macd_signal", "macd_histogram", "bb_upper", "bb_lower", "ema_20", "ema_50", "atr_14"]
+MEANS = ["sma_20", "sma_50", "bb_middle"]
+RATIOS = [c for c in ft.FULL if c not in PRICE_SCALE + MEANS]
+FULL_SELECT = ", ".join([sql_rounded(PRICE_SCALE, 3), sql_rounded(MEANS, 7), sql_rounded(RATIOS)])
 
 
 def _full_out(df):
-    return df.select("symbol", day_col(), *rounded(df, PRICE_SCALE, 3), *rounded(df, RATIOS))
+    return df.select("symbol", day_col(), *rounded(df, PRICE_SCALE, 3), *rounded(df, MEANS, 7), *rounded(df, RATIOS))
 
 
 @query(
@@ -203,7 +201,7 @@ def full_features_with_target(spark, sf):
         drop_incomplete(target, ["target_log_return_1d"]), ["symbol", "bar_no"]
     )
     return df.select(
-        "symbol", day_col(), *rounded(df, PRICE_SCALE, 3), *rounded(df, RATIOS), F.round("target_log_return_1d", 6).alias("target_log_return_1d")
+        "symbol", day_col(), *rounded(df, PRICE_SCALE, 3), *rounded(df, MEANS, 7), *rounded(df, RATIOS), F.round("target_log_return_1d", 6).alias("target_log_return_1d")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.operators.layout import number_bars
-from tidebar.session import utc
+from tidebar.session import cut_lineage, utc
 from tidebar.sources.bars import bars_from_ticks
 
 
@@ -53,7 +53,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered(spark: SparkSession, sf_dir: str, freq: str = "day") -> DataFrame:
     bars = {"day": daily, "week": weekly, "hour": hourly}[freq](spark, sf_dir)
-    return number_bars(bars, CHUNKS[freq])
+    return cut_lineage(number_bars(cut_lineage(bars), CHUNKS[freq]))
 
 
 ORDER_TICKS = """ticks AS (SELECT c_mktsegment AS symbol, o_orderdate AS ts, o_orderkey AS seq,
