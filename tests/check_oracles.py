@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 import glob
 import math
 import os
@@ -55,11 +56,10 @@ def compare(spark, con, q, sf_dir):
         return f"columns {gcols} != {wcols}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
-    bad = [(a, b) for a, b in zip(got, want) if a != b]
-    if bad:
-        a, b = bad[0]
-        diff = [(c, x, y) for c, x, y in zip(gcols, a, b) if x != y]
-        return f"{len(bad)} rows differ; first: {a[:3]} {diff[:6]}"
+    extra, lost = Counter(map(repr, got)), Counter(map(repr, want))
+    a, b = sorted((extra - lost).elements()), sorted((lost - extra).elements())
+    if a or b:
+        return f"{len(a)} of {len(got)} rows differ {gcols}; spark {a[:2]} duckdb {b[:2]}"
     return None if got else "no rows (equal)"
 
 

@@ -109,7 +109,7 @@ def _with_prices(df: DataFrame, band: float, scale: Column) -> DataFrame:
             "prices": F.transform("_cum", price),
             "lower": F.transform("_cum", lambda c, i: price(c) * F.exp(-half(i))),
             "upper": F.transform("_cum", lambda c, i: price(c) * F.exp(half(i))),
-            "agree": F.transform("matrix", diversity_agreement),
+            "agree": F.transform("matrix", lambda row: diversity_agreement(row)),
         }
     ).drop("_cum", "_bs")
 

@@ -266,7 +266,7 @@ b AS (SELECT a.*, (ve < 1e-14 AND vp < 1e-16) OR dead AS const FROM a JOIN mv US
 c AS (SELECT *, NOT const AND (ve < 1e-10 OR vp < 1e-12 OR sp < 1e-9) AS quiet, (n % 40) / 100.0 > 0.32 OR (n % 3 = 0 AND (n % 40) / 100.0 > 0.12) AS degr FROM b),
 d AS (SELECT *, greatest(0, least(1, CASE n % 7 WHEN 0 THEN 0.22 WHEN 1 THEN 0.48 ELSE 0.82 END - 0.12 * quiet::INT - 0.14 * degr::INT - 0.1 * (abs(ln(fin)) / 0.12 > 1.35)::INT - 0.1 * (satf > 0.35)::INT)) AS q FROM c)
 SELECT symbol, n AS bar_no, round(fin, 6) AS final_price, round(mnp, 6) AS min_price, round(mxp, 6) AS max_price, round(avp, 6) AS mean_price, CASE WHEN fin > 1 THEN 'up' WHEN fin < 1 THEN 'down' ELSE 'flat' END AS outlook,
-  const AS is_constant_prediction, quiet AS low_variance_warning, degr AS degraded_input, CASE WHEN const OR q < 0.25 THEN 'invalid' WHEN q < 0.55 OR quiet OR degr THEN 'questionable' ELSE 'valid' END AS forecast_validity, CASE WHEN const THEN 0.08 ELSE round(q, 4) END AS forecast_quality_score FROM d""",
+  const AS is_constant_prediction, quiet AS low_variance_warning, degr AS degraded_input, CASE WHEN const OR q < 0.25 THEN 'invalid' WHEN q < 0.55 OR quiet OR degr THEN 'questionable' ELSE 'valid' END AS forecast_validity, (CASE WHEN const THEN 0.08 ELSE round(q, 4) END)::DOUBLE AS forecast_quality_score FROM d""",
 )
 def path_summary(spark, sf):
     df = path_frame(numbered(spark, sf))
