@@ -26,17 +26,17 @@ def context(spark, sf, freq="day"):
 @query(
     "market_regime", "M2 M3 M4 M5",
     full_sql()
-    + f""", c0 AS (SELECT *, CASE WHEN ewma_vol_logret_14 > 0 THEN ewma_vol_logret_14 END AS pv FROM full_f),
-c1 AS (SELECT *, {roll('count', 'ewma_vol_logret_14', 24, 0)} AS seen, {prev('avg', 'pv', 23, 1)} AS m23, {prev('avg', 'pv', 30, 8)} AS base30,
-  {roll('count', 'adx_14', 5, 1)} AS ac, {roll('avg', 'adx_14', 5, 1)} AS am, {roll('stddev_pop', 'adx_14', 5, 1)} AS asd FROM c0),
+    + f""", c0 AS (SELECT *, CASE WHEN ewma_vol_logret_14 > 0 THEN ewma_vol_logret_14 END AS posv FROM full_f),
+c1 AS (SELECT *, {roll('count', 'ewma_vol_logret_14', 24, 0)} AS seen, {prev('avg', 'posv', 23, 1)} AS m23, {prev('avg', 'posv', 30, 8)} AS base30,
+  {roll('count', 'adx_14', 5, 1)} AS adx_n, {roll('avg', 'adx_14', 5, 1)} AS am, {roll('stddev_pop', 'adx_14', 5, 1)} AS asd FROM c0),
 c2 AS (SELECT *, CASE WHEN seen >= 8 THEN ewma_vol_logret_14 / m23 END AS vr, coalesce(trend_consistency_score, 0.5) AS tc FROM c1),
-c3 AS (SELECT *, coalesce(vr >= 1.75, false) AS vo, adx_14 > 25 AND tc >= 0.48 AS tg, (adx_14 < 22 AND range_position_14d_window BETWEEN 0.25 AND 0.75) OR adx_14 < 20 AS rn FROM c2)
+c3 AS (SELECT *, coalesce(vr >= 1.75, false) AS vo, adx_14 > 25 AND tc >= 0.48 AS tg, (adx_14 < 22 AND range_position_14d_window BETWEEN 0.25 AND 0.75) OR adx_14 < 20 AS mid_rng FROM c2)
 SELECT symbol, {DAY_SQL}, CASE WHEN vo THEN 'VOLATILE' WHEN tg THEN 'TRENDING' ELSE 'RANGING' END AS market_regime,
-  round((CASE WHEN vo THEN greatest(0.55, least(1, (vr - 1) / 1.2)) WHEN tg THEN greatest(0, least(1, 0.42 + 0.28 * least(1, (adx_14 - 25) / 30) + 0.3 * least(1, tc))) WHEN rn THEN greatest(0, least(1, 0.85 - 0.02 * greatest(0, adx_14))) ELSE 0.52 END)::DOUBLE, 4) AS market_regime_confidence,
+  round((CASE WHEN vo THEN greatest(0.55, least(1, (vr - 1) / 1.2)) WHEN tg THEN greatest(0, least(1, 0.42 + 0.28 * least(1, (adx_14 - 25) / 30) + 0.3 * least(1, tc))) WHEN mid_rng THEN greatest(0, least(1, 0.85 - 0.02 * greatest(0, adx_14))) ELSE 0.52 END)::DOUBLE, 4) AS market_regime_confidence,
   CASE vol_regime_encoded WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS volatility_regime, coalesce(ewma_vol_logret_14 / base30 > 1.8, false) AS volatility_shock,
   round(CASE WHEN base30 IS NULL THEN 1 ELSE coalesce(ewma_vol_logret_14, 0) / base30 END, 4) AS volatility_shock_ratio,
   round((CASE WHEN ema_20 <= 0 OR ema_50 <= 0 THEN 0.45 ELSE 0.55 * CASE WHEN ema_20 > ema_50 THEN 1 WHEN ema_20 < ema_50 THEN 0.35 ELSE 0.55 END * CASE WHEN coalesce(return_7d > 0, false) THEN 1 ELSE 0.82 END
-    + 0.45 * CASE WHEN ac < 3 THEN 0.5 ELSE greatest(0, least(1, 1 - least(1, asd / greatest(am, 8)))) END END)::DOUBLE, 4) AS trend_confirmation_score FROM c3""",
+    + 0.45 * CASE WHEN adx_n < 3 THEN 0.5 ELSE greatest(0, least(1, 1 - least(1, asd / greatest(am, 8)))) END END)::DOUBLE, 4) AS trend_confirmation_score FROM c3""",
 )
 def market_regime(spark, sf):
     df = rg.with_volatility_shock(rg.with_market_regime(context(spark, sf)))
