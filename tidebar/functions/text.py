@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidebar.functions.arrays import asum, let
+
 # A small default lexicon (word -> valence) and the words that negate the next one.
 LEXICON = {
     "amazing": 2.8, "awful": -2.0, "bad": -2.5, "bearish": -2.1, "best": 3.2, "boom": 1.8, "breakout": 1.4,
@@ -29,16 +31,7 @@ def compound(cleaned: Column, lexicon: dict[str, float] | None = None) -> Column
     """Sum of word valences, flipped after a negation, squeezed into [-1, 1]; 0 for empty text."""
     lex = LEXICON if lexicon is None else lexicon
     table = F.create_map(*[F.lit(x) for pair in lex.items() for x in pair])
-    words = F.split(cleaned, " ")
-    known = F.filter(
-        F.transform(
-            words,
-            lambda w, i: F.struct(
-                F.try_element_at(table, w).alias("v"),
-                ((i > 0) & F.coalesce(F.try_element_at(words, F.greatest(i, F.lit(1))).isin(NEGATIONS), F.lit(False))).alias("neg"),
-            ),
-        ),
-        lambda x: x["v"].isNotNull(),
-    )
-    s = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x["v"] * F.when(x["neg"], FLIP).otherwise(1.0))
-    return F.transform(F.array(s), lambda v: v / F.sqrt(v * v + NORM))[0]
+    worth = lambda w, before: F.coalesce(F.try_element_at(table, w), F.lit(0.0)) * F.when(before.isin(NEGATIONS), FLIP).otherwise(1.0)
+    # the word list is bound once: inside the lambdas it is a variable, not the cleaning expression
+    score = lambda ws: asum(F.zip_with(ws, F.concat(F.array(F.lit("")), F.slice(ws, F.lit(1), F.size(ws) - 1)), worth))
+    return let(let(F.split(cleaned, " "), score), lambda s: s / F.sqrt(s * s + NORM))

@@ -76,17 +76,20 @@ def first_touch_exits(signals: DataFrame, max_hold: int = 3, block: int | None =
     ).drop("_bars", "_x")
 
 
-def slipped_exits(signals: DataFrame, horizon: int = 3, stop: float = 0.02, take: float = 0.03, min_history: int = 0, block: int | None = None) -> DataFrame:
+def slipped_exits(signals: DataFrame, horizon: int | list[int] = 3, stop: float = 0.02, take: float = 0.03, min_history: int = 0, block: int | None = None) -> DataFrame:
     """Outcome of a long with slippage both ways, stop before target, close at the horizon.
 
-    Rows need ``horizon + 1`` later bars and ``min_history`` earlier ones.
+    Rows need ``horizon + 1`` later bars and ``min_history`` earlier ones.  Several horizons share
+    one window; each gives its own row with its ``horizon``.
     """
-    df = blocked(signals, ahead=horizon + 1, block=block).withColumn("_bars", _next_bars(horizon + 1))
-    df = own_rows(df.where((F.size("_bars") == horizon + 1) & (F.col("bar_no") > min_history)))
-    entry = F.element_at("_bars", 1)["open"] * (1.0 + SLIPPAGE)
-    df = df.withColumn("entry_price", entry)
+    horizons = [horizon] if isinstance(horizon, int) else list(horizon)
+    reach = max(horizons) + 1
+    df = blocked(signals, ahead=reach, block=block).withColumn("_bars", _next_bars(reach))
+    df = own_rows(df.where(F.col("bar_no") > min_history)).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
+    df = df.where(F.size("_bars") >= F.col("horizon") + 1)
+    df = df.withColumn("entry_price", F.element_at("_bars", 1)["open"] * (1.0 + SLIPPAGE))
     e = F.col("entry_price")
-    exit_ = _touch(F.col("_bars"), e * (1.0 - stop), e * (1.0 + take), F.lit(horizon), False)
+    exit_ = _touch(F.col("_bars"), e * (1.0 - stop), e * (1.0 + take), F.col("horizon"), False)
     return (
         df.withColumn("_x", exit_)
         .withColumn("exit_price", F.col("_x.price") * (1.0 - SLIPPAGE))
@@ -98,8 +101,11 @@ def slipped_exits(signals: DataFrame, horizon: int = 3, stop: float = 0.02, take
 # --- positions ---------------------------------------------------------------------------------
 
 
-def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, bars_per_day: int = 1, block: int | None = None) -> DataFrame:
-    """First bar number at which a new trade may be decided once this one is taken."""
+def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, bars_per_day: int = 1, use: Column | None = None, block: int | None = None) -> DataFrame:
+    """First bar number at which a new trade may be decided once this one is taken.
+
+    ``use`` switches the cooldown per row; without it a trade only blocks until its exit.
+    """
     reach = max(1, cooldown_days * bars_per_day)
     seconds = F.unix_timestamp(F.col("bar_ts").cast("timestamp"))
     frame = W.partitionBy("symbol", "_blk").orderBy("_sec").rangeBetween(0, cooldown_days * 86400)
@@ -110,6 +116,8 @@ def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, bars_pe
     ).select("symbol", "bar_no", (F.col("bar_no") + F.col("_in")).alias("_after"))
     out = trades.join(free, ["symbol", "bar_no"])
     after = F.col("_after") if cooldown_days > 0 else F.col("bar_no") + 1
+    if use is not None:
+        after = F.when(use, after).otherwise(F.col("bar_no") + 1)
     return out.withColumn("release_no", F.greatest(F.col("exit_no"), after)).drop("_after")
 
 
