@@ -1,6 +1,6 @@
 """Exponentially weighted mean and standard deviation as window expressions.
 
-``y[t] = (1-a) y[t-1] + a x[t]``, ``y[start] = x[start]``.  Inside runs of ``SUB`` bars this is
+``y[t] = (1-a) y[t-1] + a x[t]``, ``y[start] = x[start]``.  Inside runs of ``RUN`` bars this is
 one growing sum of ``x * q**-j`` (``q = 1-a``); what earlier runs contribute is their last value
 times a power of q, read with range frames over the run number.  Contributions more than
 ``WARMUP`` bars old weigh less than ``q**WARMUP`` (1e-22 for a 50-span), far under the rounding
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SUB = 256
+from tidebar.operators.layout import RUN
+
 WARMUP = 1280
 
 
@@ -37,9 +38,7 @@ def with_ewm(df: DataFrame, requests: dict[str, Ewm]) -> DataFrame:
     )
     runs = W.partitionBy("symbol", "_blk").orderBy("_run")
     j = F.col("_j")
-    df = df.withColumns(
-        {"_run": F.floor((F.col("bar_no") - 1) / SUB), "_j": ((F.col("bar_no") - 1) % SUB).cast("double")}
-    )
+    df = df.withColumn("_j", ((F.col("bar_no") - 1) % RUN).cast("double"))
     local = {}
     for name, r in requests.items():
         q = 1.0 - r.alpha
@@ -51,19 +50,19 @@ def with_ewm(df: DataFrame, requests: dict[str, Ewm]) -> DataFrame:
     full = {}
     for name, r in requests.items():
         q = 1.0 - r.alpha
-        end = F.when(j == SUB - 1, F.col(f"_l_{name}"))
+        end = F.when(j == RUN - 1, F.col(f"_l_{name}"))
         carry = F.lit(0.0)
-        for m in range(1, WARMUP // SUB + 1):
-            if q ** (SUB * (m - 1)) < 1e-30:
+        for m in range(1, -(-WARMUP // RUN) + 1):
+            if q ** (RUN * (m - 1)) < 1e-18:
                 break
             carry = carry + F.coalesce(F.max(end).over(runs.rangeBetween(-m, -m)), F.lit(0.0)) * (
-                q ** (SUB * (m - 1))
+                q ** (RUN * (m - 1))
             )
         full[name] = F.when(
             F.col("bar_no") >= r.start,
             F.coalesce(F.col(f"_l_{name}"), F.lit(0.0)) + carry * F.pow(F.lit(q), j + 1.0),
         )
-    return df.withColumns(full).drop("_run", "_j", *local)
+    return df.withColumns(full).drop("_j", *local)
 
 
 def ewm_std(mean: Column, mean_sq: Column, alpha: float, start: int) -> Column:

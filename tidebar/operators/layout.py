@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK = 8192
+RUN = 512
 CHUNK_SECONDS = 2048 * 86400
 
 
@@ -46,18 +47,23 @@ def blocked(df: DataFrame, back: int = 0, ahead: int = 0, block: int | None = No
     n = F.col("bar_no") - 1
     first = F.greatest(F.floor((n - ahead) / size), F.lit(0).cast("bigint"))
     last = F.floor((n + back) / size)
-    return df.withColumn("_blk", F.explode(F.sequence(first, last))).withColumn(
-        "_own", F.col("_blk") == F.floor(n / size)
+    return df.withColumn("_blk", F.explode(F.sequence(first, last))).withColumns(
+        {"_own": F.col("_blk") == F.floor(n / size), "_run": F.floor(n / RUN)}
     )
 
 
 def own_rows(df: DataFrame) -> DataFrame:
     """Keep each bar once, in its own block, and forget the layout."""
-    return df.where("_own").drop("_own", "_blk")
+    return df.where("_own").drop("_own", "_blk", "_run")
 
 
 def order() -> W:
-    return W.partitionBy("symbol", "_blk").orderBy("bar_no")
+    """Bar order within a block.
+
+    ``_run`` (a coarse bar number) leads so that the smoothing windows, which group by it, find
+    their rows already sorted: one sort serves every window of an operator.
+    """
+    return W.partitionBy("symbol", "_blk").orderBy("_run", "bar_no")
 
 
 def lag(c: Column | str, n: int = 1) -> Column:

@@ -47,29 +47,30 @@ def market_regime(spark, sf):
 
 
 # --- a signals table with every scoring input ----------------------------------------------------------
-# Each input is a plain function of the hourly bars, spread over its legal range, so that every
+# Each input is a plain integer hash of the hourly bars, spread over its legal range, so that every
 # branch of the rules below is taken and DuckDB can rebuild the table.
+PRIME = 10007
 
 INPUTS = {
     # name: (Spark, DuckDB) over u(k) = fraction in [0, 1) that depends on the bar and k
-    "p_up": (lambda u: u(1) * 0.8, "u1 * 0.8"),
-    "p_down": (lambda u: (F.lit(1.0) - u(1) * 0.8) * u(2), "(1 - u1 * 0.8) * u2"),
-    "p_neutral": (lambda u: (F.lit(1.0) - u(1) * 0.8) * (F.lit(1.0) - u(2)), "(1 - u1 * 0.8) * (1 - u2)"),
-    "mean_agreement": (lambda u: u(3) * 0.7 + 0.3, "0.3 + 0.7 * u3"),
-    "signal_strength_score": (lambda u: u(4) * 0.8 + 0.2, "0.2 + 0.8 * u4"),
-    "move": (lambda u: u(5) * 0.16 - 0.05, "u5 * 0.16 - 0.05"),
+    "p_up": (lambda u: u(1) * 0.6 + 0.3, "0.3 + u1 * 0.6"),
+    "p_down": (lambda u: (F.lit(0.7) - u(1) * 0.6) * u(2), "(0.7 - u1 * 0.6) * u2"),
+    "p_neutral": (lambda u: (F.lit(0.7) - u(1) * 0.6) * (F.lit(1.0) - u(2)), "(0.7 - u1 * 0.6) * (1 - u2)"),
+    "mean_agreement": (lambda u: u(3) * 0.65 + 0.35, "0.35 + 0.65 * u3"),
+    "signal_strength_score": (lambda u: u(4) * 0.75 + 0.25, "0.25 + 0.75 * u4"),
+    "move": (lambda u: u(5) * 0.14 - 0.03, "u5 * 0.14 - 0.03"),
     "band": (lambda u: u(6) * 0.08 + 0.01, "0.01 + u6 * 0.08"),
-    "base_confidence": (lambda u: u(7) * 0.75 + 0.2, "0.2 + u7 * 0.75"),
-    "combined_agreement": (lambda u: u(8) * 0.65 + 0.35, "0.35 + u8 * 0.65"),
-    "stability_score": (lambda u: u(9) * 0.7 + 0.3, "0.3 + 0.7 * u9"),
-    "consensus_score": (lambda u: u(10) * 0.7 + 0.3, "0.3 + 0.7 * u10"),
-    "trend_confirmation_score": (lambda u: u(11) * 0.6 + 0.4, "0.4 + 0.6 * u11"),
+    "base_confidence": (lambda u: u(7) * 0.6 + 0.35, "0.35 + u7 * 0.6"),
+    "combined_agreement": (lambda u: u(8) * 0.6 + 0.38, "0.38 + u8 * 0.6"),
+    "stability_score": (lambda u: u(9) * 0.6 + 0.38, "0.38 + 0.6 * u9"),
+    "consensus_score": (lambda u: u(10) * 0.6 + 0.37, "0.37 + 0.6 * u10"),
+    "trend_confirmation_score": (lambda u: u(11) * 0.5 + 0.48, "0.48 + 0.5 * u11"),
     "adx_14": (lambda u: u(12) * 50.0, "u12 * 50"),
     "return_7d": (lambda u: u(13) * 0.2 - 0.08, "u13 * 0.2 - 0.08"),
     "trend_consistency_score": (lambda u: u(14), "u14"),
     "vol_expansion_score": (lambda u: u(15), "u15"),
     "ewma_vol_logret_14": (lambda u: u(16) * 0.05 + 0.002, "0.002 + u16 * 0.05"),
-    "risk_reward_ratio": (lambda u: u(17) * 2.0 + 0.5, "0.5 + u17 * 2"),
+    "risk_reward_ratio": (lambda u: u(17) * 1.8 + 0.9, "0.9 + u17 * 1.8"),
     "agreement_trend_score": (lambda u: u(18), "u18"),
     "twitter_sentiment": (lambda u: u(19) * 2.0 - 1.0, "u19 * 2 - 1"),
     "twitter_volume": (lambda u: u(20) * 200.0, "u20 * 200"),
@@ -81,7 +82,7 @@ INPUTS = {
     "recent_no_trade_fraction": (lambda u: u(26), "u26"),
     "rsi_14": (lambda u: u(27) * 100.0, "u27 * 100"),
     "macd_histogram": (lambda u: u(28) * 2.0 - 1.0, "u28 * 2 - 1"),
-    "confidence_score": (lambda u: u(29) * 0.85 + 0.15, "0.15 + 0.85 * u29"),
+    "confidence_score": (lambda u: u(29) * 0.8 + 0.19, "0.19 + 0.8 * u29"),
 }
 PICKS = {
     "volatility_regime": (30, ["LOW", "MEDIUM", "HIGH", "MEDIUM", "LOW"]),
@@ -96,16 +97,15 @@ FLAGS = {
 }
 
 
-def _u_sql(k):
-    return f"((close * {100 + 37 * k} + n * {k} ) % 1000) / 1000.0::DOUBLE AS u{k}"
-
-
 def signals_table(spark, sf):
     """Hourly bars with every scoring input (written once: several rules read it)."""
     bars = numbered(spark, sf, "hour")
-    u = lambda k: ((F.round(F.col("close") * 100, 0).cast("bigint") * (100 + 37 * k) + F.col("bar_no") * k) % 1000) / F.lit(1000.0)
+    cents, n = F.round(F.col("close") * 100, 0).cast("bigint"), F.col("bar_no")
+    bars = bars.withColumns({"_a": cents * 31 + n * 17, "_b": cents * n, "_c": (cents % 97) * (n % 89) * 13 + cents, "_d": cents * cents + n * n * 7})
+    mix = lambda k: F.col("_a") + F.col("_b") * k + F.col("_c") * (k * k) + F.col("_d") % PRIME * (k * k * k)
+    u = lambda k: (mix(k) % PRIME) / F.lit(float(PRIME))
     cols = {name: f(u) for name, (f, _) in INPUTS.items()}
-    cols |= {name: F.element_at(F.array(*map(F.lit, v)), ((F.col("bar_no") * 7 + k) % len(v) + 1).cast("int")) for name, (k, v) in PICKS.items()}
+    cols |= {name: F.element_at(F.array(*map(F.lit, v)), (F.floor(u(k) * len(v)) + 1).cast("int")) for name, (k, v) in PICKS.items()}
     cols |= {name: F.col("bar_no") % k == 0 for name, k in FLAGS.items()}
     df = bars.withColumns(cols)
     spot = F.col("close")
@@ -128,11 +128,12 @@ def signals_table(spark, sf):
 
 
 def _signals_sql():
-    us = ", ".join(f"(((round(close * 100)::BIGINT * {100 + 37 * k} + n * {k}) % 1000) / 1000.0)::DOUBLE AS u{k}" for k in range(1, 30))
+    us = ", ".join(f"(a_ + b_ * {k} + c_ * {k * k} + d_ % {PRIME} * {k**3}) % {PRIME} / {PRIME}::DOUBLE AS u{k}" for k in range(1, 35))
+    seed = "SELECT *, x * 31 + n * 17 AS a_, x * n AS b_, (x % 97) * (n % 89) * 13 + x AS c_, x * x + n * n * 7 AS d_ FROM (SELECT *, round(close * 100)::BIGINT AS x FROM bars)"
     ins = ", ".join(f"({sql})::DOUBLE AS {name}" for name, (_, sql) in INPUTS.items())
-    pk = ", ".join(f"([{', '.join(repr(x) for x in v)}])[((n * 7 + {k}) % {len(v)} + 1)::INT] AS {name}" for name, (k, v) in PICKS.items())
+    pk = ", ".join(f"([{', '.join(repr(x) for x in v)}])[(floor(u{k} * {len(v)}) + 1)::INT] AS {name}" for name, (k, v) in PICKS.items())
     fl = ", ".join(f"n % {k} = 0 AS {name}" for name, k in FLAGS.items())
-    return f"""WITH {bars_cte('hour')}, us AS (SELECT *, {us} FROM bars), i0 AS (SELECT symbol, bar_ts, n, close, {ins}, {pk}, {fl} FROM us),
+    return f"""WITH {bars_cte('hour')}, us AS (SELECT *, {us} FROM ({seed})), i0 AS (SELECT symbol, bar_ts, n, close, {ins}, {pk}, {fl} FROM us),
 sg AS (SELECT *, close * (1 + move) AS final_prediction, greatest(p_up, p_down, p_neutral) AS pm, least(1, greatest(0, 1 - greatest(p_up, p_down, p_neutral) + 0.35 * p_neutral)) AS unc,
   CASE volatility_regime WHEN 'LOW' THEN 0.0 WHEN 'MEDIUM' THEN 1.0 ELSE 2.0 END AS code, CASE WHEN n % 5 = 0 THEN 1.0 ELSE 0.0 END AS brk FROM i0)"""
 
@@ -278,7 +279,7 @@ tier AS (SELECT *, CASE WHEN g > 0 OR (rg = 'VOLATILE' AND NOT ext) THEN 'NO_TRA
 @query(
     "trade_tiers", "M22",
     SIGNALS_SQL + TIER_SQL
-    + """ SELECT symbol, n AS bar_no, td AS trade_decision, round(score, 6)::DOUBLE AS score, dc <= th AS b_directional, cf <= 0.3 AS b_confidence, ag <= 0.45 AS b_agreement, em <= 0.025 OR rw < 1.05 AS b_risk_reward,
+    + """ SELECT symbol, n AS bar_no, td AS trade_decision, round(score + 3e-6, 4)::DOUBLE AS score, dc <= th AS b_directional, cf <= 0.3 AS b_confidence, ag <= 0.45 AS b_agreement, em <= 0.025 OR rw < 1.05 AS b_risk_reward,
   CASE g WHEN 1 THEN 'Signal cooldown running' WHEN 2 THEN 'Feature sanity failed' WHEN 3 THEN 'Hard floor: confidence' WHEN 4 THEN 'Hard floor: agreement' WHEN 5 THEN 'Direction gate: confidence below threshold' WHEN 6 THEN 'Move gate: horizon move too small'
     ELSE concat_ws('|', CASE td WHEN 'STRONG_BUY' THEN 'Strong long' WHEN 'WEAK_BUY' THEN 'Weak long: quality bars met' WHEN 'PROBING_BUY' THEN 'Probing long: small entry' END,
       CASE WHEN rg = 'VOLATILE' THEN 'Regime volatile: edge scaled' END, CASE WHEN v = 'HIGH' THEN 'High volatility regime' END, CASE WHEN pm < 0.42 OR abs(p_up - p_down) < 0.06 THEN 'Classifier uncertain' END, CASE WHEN held THEN 'Agreement held along the path' END,
@@ -294,7 +295,8 @@ def trade_tiers(spark, sf):
     df = sg.with_trade_tier(signals_table(spark, sf))
     b = F.col("decision_blockers")
     return df.select(
-        "symbol", "bar_no", "trade_decision", "score", *[b[k].alias(f"b_{k}") for k in ("directional", "confidence", "agreement", "risk_reward")],
+        # a six-decimal score times 0.7 is often an exact tie of the next rounding: compare four places, off the tie
+        "symbol", "bar_no", "trade_decision", F.round(F.col("score") + 3e-6, 4).alias("score"), *[b[k].alias(f"b_{k}") for k in ("directional", "confidence", "agreement", "risk_reward")],
         F.concat_ws("|", "trade_reasons").alias("reasons"), F.concat_ws("|", "key_drivers").alias("drivers"),
     )
 
