@@ -58,7 +58,7 @@ INPUTS = {
     "p_neutral": (lambda u: (F.lit(0.7) - u(1) * 0.6) * (F.lit(1.0) - u(2)), "(0.7 - u1 * 0.6) * (1 - u2)"),
     "mean_agreement": (lambda u: u(3) * 0.65 + 0.35, "0.35 + 0.65 * u3"),
     "signal_strength_score": (lambda u: u(4) * 0.75 + 0.25, "0.25 + 0.75 * u4"),
-    "move": (lambda u: u(5) * 0.14 - 0.03, "u5 * 0.14 - 0.03"),
+    "move": (lambda u: u(5) * 0.16 - 0.05, "u5 * 0.16 - 0.05"),
     "band": (lambda u: u(6) * 0.08 + 0.01, "0.01 + u6 * 0.08"),
     "base_confidence": (lambda u: u(7) * 0.6 + 0.35, "0.35 + u7 * 0.6"),
     "combined_agreement": (lambda u: u(8) * 0.6 + 0.38, "0.38 + u8 * 0.6"),
@@ -284,10 +284,10 @@ tier AS (SELECT *, CASE WHEN g > 0 OR (rg = 'VOLATILE' AND NOT ext) THEN 'NO_TRA
     ELSE concat_ws('|', CASE td WHEN 'STRONG_BUY' THEN 'Strong long' WHEN 'WEAK_BUY' THEN 'Weak long: quality bars met' WHEN 'PROBING_BUY' THEN 'Probing long: small entry' END,
       CASE WHEN rg = 'VOLATILE' THEN 'Regime volatile: edge scaled' END, CASE WHEN v = 'HIGH' THEN 'High volatility regime' END, CASE WHEN pm < 0.42 OR abs(p_up - p_down) < 0.06 THEN 'Classifier uncertain' END, CASE WHEN held THEN 'Agreement held along the path' END,
       CASE WHEN NOT held AND lb = 'collapsing' THEN 'Agreement fell along the path' END, CASE WHEN sal AND move > 0 AND p_up >= 0.45 THEN 'Sentiment supports a long' END, CASE WHEN adx_14 > 25 THEN 'Strong trend by ADX' END,
-      CASE WHEN rg = 'VOLATILE' AND NOT ext THEN 'Regime volatile: needs extreme confidence' ELSE concat_ws('|', CASE WHEN rg = 'RANGING' AND num AND lay THEN 'Regime ranging blocks a strong long' END,
+      CASE WHEN rg = 'VOLATILE' AND NOT ext THEN 'Regime volatile: needs extreme confidence' ELSE nullif(concat_ws('|', CASE WHEN rg = 'RANGING' AND num AND lay THEN 'Regime ranging blocks a strong long' END,
         CASE WHEN num AND NOT lay THEN CASE WHEN volatility_shock THEN 'Not strong: volatility shock' WHEN consensus_score < CASE rg WHEN 'TRENDING' THEN 0.64 ELSE 0.70 END THEN 'Not strong: consensus'
           WHEN stability_score < CASE rg WHEN 'TRENDING' THEN 0.54 ELSE 0.58 END THEN 'Not strong: path stability' WHEN trend_confirmation_score < CASE rg WHEN 'TRENDING' THEN 0.52 ELSE 0.56 END THEN 'Not strong: trend confirmation' END END,
-        CASE WHEN td = 'STRONG_BUY' THEN 'Regime trending: bars relaxed' WHEN td = 'WEAK_BUY' AND rg = 'RANGING' THEN 'Regime ranging: tight bars' WHEN td = 'WEAK_BUY' AND rg = 'VOLATILE' THEN 'Regime volatile: extreme confidence' WHEN td = 'NO_TRADE' THEN 'No tier reached' END) END) END AS reasons,
+        CASE WHEN td = 'STRONG_BUY' THEN 'Regime trending: bars relaxed' WHEN td = 'WEAK_BUY' AND rg = 'RANGING' THEN 'Regime ranging: tight bars' WHEN td = 'WEAK_BUY' AND rg = 'VOLATILE' THEN 'Regime volatile: extreme confidence' WHEN td = 'NO_TRADE' THEN 'No tier reached' END), '') END) END AS reasons,
   concat_ws('|', CASE WHEN ag > 0.65 THEN 'agreement strong' END, CASE WHEN held THEN 'agreement stable' END, CASE WHEN lb = 'collapsing' THEN 'agreement collapsing' END, CASE WHEN dc > th THEN 'direction decisive' ELSE 'direction weak' END,
     CASE WHEN volatility_shock OR v = 'HIGH' THEN 'volatility high' END, CASE WHEN em >= 0.025 THEN 'move actionable' END, CASE WHEN base_confidence > base_confidence * 0.9 + 0.06 AND ((ag > 0.65)::INT + held::INT + (lb = 'collapsing')::INT + 1 + (volatility_shock OR v = 'HIGH')::INT + (em >= 0.025)::INT) < 6 THEN 'risk penalties active' END) AS drivers FROM tier""",
 )
