@@ -25,8 +25,8 @@ def with_date_no(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
     """Add ``date_no`` (dense 1-based over all distinct times) and ``n_dates``."""
     chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (2048 * 86400))
     dates = number_rows(df.select(ts).distinct().withColumn("_all", F.lit(1)), ["_all"], ts, "date_no", chunk)
-    total = dates.agg(F.max("date_no").alias("n_dates"))
-    return df.join(dates.drop("_all"), ts).join(F.broadcast(total))
+    dates = cut_lineage(dates.drop("_all"))
+    return df.join(dates, ts).withColumn("n_dates", dates.agg(F.max("date_no")).scalar())
 
 
 def walk_forward_fold(no: Column, n: Column, splits: int = 5, first: float = 0.5) -> Column:

@@ -27,20 +27,20 @@ def decision_priority(decision: Column) -> Column:
     return ladder([(d == "STRONG_BUY", 0), (d == "WEAK_BUY", 1)], 2)
 
 
-def display_order(rows: DataFrame) -> list[Column]:
+def display_order() -> list[Column]:
     """Sort columns of the scanner display."""
     return [F.col("market_score").desc(), decision_priority(F.col("trade_decision")), F.col("confidence_score").desc(), F.col("symbol")]
 
 
 def with_leader_flags(rows: DataFrame) -> DataFrame:
     """Flags for the largest confidence and the largest expected move of all rows."""
-    peak = rows.agg(F.max("confidence_score").alias("_mc"), F.max("expected_move_pct").alias("_mm"))
-    return rows.join(F.broadcast(peak)).withColumns(
+    peak = lambda c: rows.agg(F.max(c)).scalar()
+    return rows.withColumns(
         {
-            "is_max_confidence": truth(F.col("confidence_score") == F.col("_mc")),
-            "is_max_move": truth(F.col("expected_move_pct") == F.col("_mm")),
+            "is_max_confidence": truth(F.col("confidence_score") == peak("confidence_score")),
+            "is_max_move": truth(F.col("expected_move_pct") == peak("expected_move_pct")),
         }
-    ).drop("_mc", "_mm")
+    )
 
 
 def direction_text(up: Column, down: Column, neutral: Column) -> Column:

@@ -71,8 +71,8 @@ def folded(spark, sf):
 def walk_forward_classifier(spark, sf):
     preds = cut_lineage(ml.walk_forward(folded(spark, sf), ft.CROSS, "label", trees=6, depth=3))
     m = mt.classification_metrics(preds.withColumn("y_true", F.col("label")), ["fold"])
-    agg = mt.over_folds(m.withColumn("model", F.lit("classifier")), ["model"], ["accuracy", "brier_score", "roc_auc"])
-    return m.join(F.broadcast(agg.drop("model")))
+    m = cut_lineage(m.withColumn("model", F.lit("classifier")))
+    return m.join(mt.over_folds(m, ["model"], ["accuracy", "brier_score", "roc_auc"]), "model")
 
 
 @query(

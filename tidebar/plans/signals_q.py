@@ -279,7 +279,7 @@ tier AS (SELECT *, CASE WHEN g > 0 OR (rg = 'VOLATILE' AND NOT ext) THEN 'NO_TRA
 @query(
     "trade_tiers", "M22",
     SIGNALS_SQL + TIER_SQL
-    + """ SELECT symbol, n AS bar_no, td AS trade_decision, round(score + 3e-6, 4)::DOUBLE AS score, dc <= th AS b_directional, cf <= 0.3 AS b_confidence, ag <= 0.45 AS b_agreement, em <= 0.025 OR rw < 1.05 AS b_risk_reward,
+    + """ SELECT symbol, n AS bar_no, td AS trade_decision, round(score + 3.5e-6, 4)::DOUBLE AS score, dc <= th AS b_directional, cf <= 0.3 AS b_confidence, ag <= 0.45 AS b_agreement, em <= 0.025 OR rw < 1.05 AS b_risk_reward,
   CASE g WHEN 1 THEN 'Signal cooldown running' WHEN 2 THEN 'Feature sanity failed' WHEN 3 THEN 'Hard floor: confidence' WHEN 4 THEN 'Hard floor: agreement' WHEN 5 THEN 'Direction gate: confidence below threshold' WHEN 6 THEN 'Move gate: horizon move too small'
     ELSE concat_ws('|', CASE td WHEN 'STRONG_BUY' THEN 'Strong long' WHEN 'WEAK_BUY' THEN 'Weak long: quality bars met' WHEN 'PROBING_BUY' THEN 'Probing long: small entry' END,
       CASE WHEN rg = 'VOLATILE' THEN 'Regime volatile: edge scaled' END, CASE WHEN v = 'HIGH' THEN 'High volatility regime' END, CASE WHEN pm < 0.42 OR abs(p_up - p_down) < 0.06 THEN 'Classifier uncertain' END, CASE WHEN held THEN 'Agreement held along the path' END,
@@ -296,7 +296,7 @@ def trade_tiers(spark, sf):
     b = F.col("decision_blockers")
     return df.select(
         # a six-decimal score times 0.7 is often an exact tie of the next rounding: compare four places, off the tie
-        "symbol", "bar_no", "trade_decision", F.round(F.col("score") + 3e-6, 4).alias("score"), *[b[k].alias(f"b_{k}") for k in ("directional", "confidence", "agreement", "risk_reward")],
+        "symbol", "bar_no", "trade_decision", F.round(F.col("score") + 3.5e-6, 4).alias("score"), *[b[k].alias(f"b_{k}") for k in ("directional", "confidence", "agreement", "risk_reward")],
         F.concat_ws("|", "trade_reasons").alias("reasons"), F.concat_ws("|", "key_drivers").alias("drivers"),
     )
 
@@ -349,17 +349,14 @@ LATEST_SQL = SIGNALS_SQL + TIER_SQL + """, lt AS (SELECT *, round((0.35 * cf + 0
     LATEST_SQL
     + """, r AS (SELECT *, row_number() OVER (ORDER BY ms DESC, cf DESC, symbol) AS rk FROM lt)
 SELECT symbol, ms AS market_score, round(cf, 6) AS confidence_score, CASE WHEN rk <= 3 THEN rk::INT END AS top_opportunity_rank, cf = max(cf) OVER () AS is_max_confidence, em = max(em) OVER () AS is_max_move,
-  row_number() OVER (ORDER BY ms DESC, CASE td WHEN 'STRONG_BUY' THEN 0 WHEN 'WEAK_BUY' THEN 1 ELSE 2 END, cf DESC, symbol)::INT AS display_position,
+  CASE td WHEN 'STRONG_BUY' THEN 0 WHEN 'WEAK_BUY' THEN 1 ELSE 2 END::INT AS decision_priority,
   CASE WHEN p_up >= p_down AND p_up >= p_neutral THEN 'UP' WHEN p_down >= p_up AND p_down >= p_neutral THEN 'DOWN' ELSE 'NEUTRAL' END AS direction FROM r""",
 )
 def market_scanner(spark, sf):
-    from pyspark.sql import Window as W
-
-    rows = rp.with_leader_flags(rp.scanner_rows(scanner_input(spark, sf)))
-    position = F.row_number().over(W.orderBy(*rp.display_order(rows)))
-    return rows.select(
+    rows = rp.with_leader_flags(rp.scanner_rows(cut_lineage(scanner_input(spark, sf))))
+    return rows.orderBy(*rp.display_order()).select(
         "symbol", "market_score", F.round("confidence_score", 6).alias("confidence_score"), "top_opportunity_rank", "is_max_confidence", "is_max_move",
-        position.alias("display_position"), rp.direction_text(F.col("p_up"), F.col("p_down"), F.col("p_neutral")).alias("direction"),
+        rp.decision_priority(F.col("trade_decision")).alias("decision_priority"), rp.direction_text(F.col("p_up"), F.col("p_down"), F.col("p_neutral")).alias("direction"),
     )
 
 
@@ -401,10 +398,8 @@ SELECT symbol, latest_ts, (epoch(nw)::BIGINT - epoch(latest_ts)::BIGINT) // 3600
 def data_freshness(spark, sf):
     from tidebar.plans.tables import event_ticks
 
-    now = event_ticks(spark, sf).agg(F.max("ts").alias("_now"))
-    bars = hourly(spark, sf)
-    ages = bars.join(F.broadcast(now)).groupBy("symbol", "_now").agg(F.max("bar_ts").alias("latest_ts"))
-    return src.freshness_of(ages, F.col("_now"), stale_hours=0.5).drop("_now")
+    now = event_ticks(spark, sf).agg(F.max("ts")).scalar()
+    return src.freshness(hourly(spark, sf).withColumn("_now", now), F.max("_now"), stale_hours=0.5)
 
 
 # --- audits ----------------------------------------------------------------------------------------------

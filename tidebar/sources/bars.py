@@ -252,17 +252,16 @@ def chart_tail(bars: DataFrame, n: int = 90) -> DataFrame:
 
 
 def freshness(bars: DataFrame, now: Column, stale_hours: float = 24.0) -> DataFrame:
-    """Age of the newest bar of every symbol in whole hours and whether it is still fresh."""
-    return freshness_of(bars.groupBy("symbol").agg(F.max("bar_ts").alias("latest_ts")), now, stale_hours)
+    """Age of the newest bar of every symbol in whole hours and whether it is still fresh.
 
-
-def freshness_of(latest: DataFrame, now: Column, stale_hours: float = 24.0) -> DataFrame:
-    """The same for a table that already holds ``latest_ts`` per symbol; no time means stale."""
+    ``now`` is a literal, a scalar subquery or an aggregate over the bars.
+    """
     seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
-    age = F.greatest(seconds(now) - seconds(F.col("latest_ts")), F.lit(0).cast("bigint"))
+    latest = bars.groupBy("symbol").agg(F.max("bar_ts").alias("latest_ts"), now.alias("_at"))
+    age = F.greatest(seconds(F.col("_at")) - seconds(F.col("latest_ts")), F.lit(0).cast("bigint"))
     return latest.withColumns(
         {"age_hours": F.floor(age / 3600), "is_fresh": F.coalesce(age <= stale_hours * 3600, F.lit(False))}
-    )
+    ).drop("_at")
 
 
 # --- sinks -----------------------------------------------------------------------------------
