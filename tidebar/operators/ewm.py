@@ -39,13 +39,21 @@ def with_ewm(df: DataFrame, requests: dict[str, Ewm]) -> DataFrame:
     runs = W.partitionBy("symbol", "_blk").orderBy("_run")
     j = F.col("_j")
     df = df.withColumn("_j", ((F.col("bar_no") - 1) % RUN).cast("double"))
+    # powers of q once per distinct weight
+    qs = sorted({1.0 - r.alpha for r in requests.values()})
+    if qs[0] ** RUN < 1e-290:
+        raise ValueError("smoothing weight too large: its powers over a run leave the range of a double")
+    up, down = {q: f"_up{i}" for i, q in enumerate(qs)}, {q: f"_dn{i}" for i, q in enumerate(qs)}
+    df = df.withColumns(
+        {up[q]: F.pow(F.lit(q), j) for q in qs} | {down[q]: F.pow(F.lit(q), -j) for q in qs}
+    )
     local = {}
     for name, r in requests.items():
         q = 1.0 - r.alpha
         term = F.when(F.col("bar_no") == r.start, F.col(r.source)).when(
             F.col("bar_no") > r.start, F.col(r.source) * r.alpha
         )
-        local[f"_l_{name}"] = F.sum(term * F.pow(F.lit(q), -j)).over(run) * F.pow(F.lit(q), j)
+        local[f"_l_{name}"] = F.sum(term * F.col(down[q])).over(run) * F.col(up[q])
     df = df.withColumns(local)
     full = {}
     for name, r in requests.items():
@@ -60,9 +68,9 @@ def with_ewm(df: DataFrame, requests: dict[str, Ewm]) -> DataFrame:
             )
         full[name] = F.when(
             F.col("bar_no") >= r.start,
-            F.coalesce(F.col(f"_l_{name}"), F.lit(0.0)) + carry * F.pow(F.lit(q), j + 1.0),
+            F.coalesce(F.col(f"_l_{name}"), F.lit(0.0)) + carry * (F.col(up[q]) * q),
         )
-    return df.withColumns(full).drop("_j", *local)
+    return df.withColumns(full).drop("_j", *local, *up.values(), *down.values())
 
 
 def ewm_std(mean: Column, mean_sq: Column, alpha: float, start: int) -> Column:

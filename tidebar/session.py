@@ -19,6 +19,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> Spar
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # window-heavy tasks cost far more than their bytes suggest: keep small shuffles spread out
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
+        # wide feature plans hold many generated classes; no Python call sites on every expression
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
