@@ -129,3 +129,22 @@ def test_late_ticks_are_dropped_by_streaming_bars(spark):
         spark.createDataFrame([("s", t + dt.timedelta(minutes=m), p, 1) for m, p in b], schema).coalesce(1).write.mode("append").parquet(path)
     out = flows.run_to_table(flows.stream_bars(flows.file_stream(spark, schema, path, 1))).orderBy("bar_ts").toPandas()
     assert out.iloc[0].high == 2.0 and list(out.close) == [2.0, 3.5, 4.0]
+
+
+def test_direction_heads_give_distributions(spark):
+    rows = [(float(i % 9), float((i * 7) % 13), (i % 9) // 3) for i in range(270)]
+    df = spark.createDataFrame(rows, "a double, b double, direction int")
+    heads = ml.fit_direction_heads(df, ["a", "b"], "direction", trees=3, depth=3)
+    out = ml.score_direction(heads, df)
+    for h in ("head_linear", "head_trees"):
+        total = F.col(h)["down"] + F.col(h)["neutral"] + F.col(h)["up"]
+        assert out.agg(F.max(F.abs(total - 1.0))).first()[0] < 1e-9
+
+
+def test_member_forecast_stays_within_its_caps(spark):
+    rows = [(i, float(i % 10), float(i % 3), 0.5 * ((i % 10) - 5), 100.0, 0.01) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, "no bigint, a double, b double, y double, close double, vol double").withColumn("p99_daily", F.lit(None).cast("double"))
+    models = ml.fit_members(df, ["a", "b"], "y", F.col("no"), F.lit(300), size=0.02)
+    f = ml.one_step_forecast(ml.predict_members(models, df), list(models), [0.5, 0.3, 0.2])
+    r = f.agg(F.max(F.abs("ensemble_log_return")), F.min("confidence"), F.max("confidence"), F.min(F.col("upper_bound") - F.col("lower_bound"))).first()
+    assert r[0] <= 0.03 + 1e-12 and 0 <= r[1] and r[2] <= 1 and r[3] > 0

@@ -1,7 +1,7 @@
 """Queries for splits, scaling, training and scoring.
 
-Fitted models have no SQL counterpart: those queries are checked for ranges in the tests.  They
-train small members (the registry holds the full sizes) on the pooled table of all symbols.
+Fitted models have no SQL counterpart: the tests check their operators on small frames.  The
+queries train small members (MEMBERS holds the full sizes) on the pooled table of all symbols.
 """
 
 from __future__ import annotations
