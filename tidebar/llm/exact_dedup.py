@@ -12,8 +12,6 @@ so results do not rest on the fingerprints.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -29,15 +27,19 @@ COMPARE = 1 << 16  # characters compared at once
 SHARE = 512  # members that share one copy of a representative's text
 
 
-@functools.lru_cache(8)
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
+
+
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
-    """base**(n-1) .. base**0 modulo prime, by doubling."""
-    out = np.ones(1, np.int64)
-    step = base % prime
-    while len(out) < n:
-        out = np.concatenate([out, out * step % prime])
-        step = step * step % prime
-    return np.ascontiguousarray(out[:n][::-1])
+    """base**(n-1) .. base**0 modulo prime for a power of two n, by doubling; the longest is kept."""
+    held = _POWERS.get((base, prime))
+    if held is None or len(held) < n:
+        out, step = np.ones(1, np.int64), base % prime
+        while len(out) < n:
+            out = np.concatenate([out, out * step % prime])
+            step = step * step % prime
+        held = _POWERS[base, prime] = np.ascontiguousarray(out[::-1])
+    return held[len(held) - n :]
 
 
 def chunk_values(data: bytes, primes=PRIMES) -> tuple[int, int, int, int]:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebar.llm import decontaminate
+from tidebar.llm import decontaminate, pieces
 from tidebar.llm.exact_dedup import exact_dedup
+from tidebar.llm.token_counts import count_tokens
 from tidebar.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_sentencepiece_nbest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every text."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, from one encoding of the whole."""
+    return count_tokens(table(spark, sf_dir, "documents"))
