@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebar.llm import decontaminate, pieces
 from tidebar.llm.exact_dedup import exact_dedup
+from tidebar.llm.jaccard_join import jaccard_components
 from tidebar.llm.token_counts import count_tokens
 from tidebar.llm.toxicity import toxicity
 
@@ -76,3 +77,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, from one encoding of the whole."""
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
