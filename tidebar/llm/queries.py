@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import decontaminate, pieces
 from tidebar.llm.exact_dedup import exact_dedup
 from tidebar.llm.jaccard_join import jaccard_components
+from tidebar.llm.substring_dedup import substring_dedup
 from tidebar.llm.token_counts import count_tokens
 from tidebar.llm.toxicity import toxicity
 
@@ -82,3 +83,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_substring_dedup",
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM runs) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM again),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+kept AS (SELECT word.doc_id, count(gone.k) AS n, string_agg(word, ' ' ORDER BY word.k) FILTER (gone.k IS NULL) AS s
+  FROM word LEFT JOIN gone USING (doc_id, k) GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(kept.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -117,7 +117,7 @@ def ngram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         if k & size:
             if out is None:
                 out = total.copy()
-            else:
+            elif len(out) > done:
                 out[: len(out) - done] += total[done:] * np.uint64(pow(factor, done, 1 << 64))
             done += size
         size *= 2
