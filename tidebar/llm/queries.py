@@ -10,6 +10,7 @@ from tidebar.llm import decontaminate, pieces
 from tidebar.llm.exact_dedup import exact_dedup
 from tidebar.llm.jaccard_join import jaccard_components
 from tidebar.llm.substring_dedup import substring_dedup
+from tidebar.llm.suffix_dedup import suffix_dedup
 from tidebar.llm.token_counts import count_tokens
 from tidebar.llm.toxicity import toxicity
 
@@ -101,3 +102,10 @@ FROM d LEFT JOIN kept USING (doc_id)""",
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
