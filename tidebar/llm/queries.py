@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebar.llm import decontaminate, pieces
+from tidebar.llm import decontaminate, licenses, pieces
 from tidebar.llm.exact_dedup import exact_dedup
 from tidebar.llm.jaccard_join import jaccard_components
+from tidebar.llm.lm_score import lm_scores
 from tidebar.llm.substring_dedup import substring_dedup
 from tidebar.llm.suffix_dedup import suffix_dedup
 from tidebar.llm.token_counts import count_tokens
@@ -109,3 +110,43 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+TEMPLATE_ROWS = ", ".join(f"('{name}', '{text}')" for name, text in sorted(licenses.TEMPLATES.items()))
+DUCK_TERMS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+
+
+@query(
+    "op5_license_scans",
+    rf"""WITH template AS (SELECT * FROM (VALUES {TEMPLATE_ROWS}) t(licence, text)),
+doc AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', source, CASE WHEN doc_id % 97 > 0 THEN lang END,
+  CASE WHEN doc_id % 97 > 0 AND doc_id % 13 > 0 THEN 'part' || (doc_id // 1000) END) AS dir FROM documents),
+notice AS (SELECT doc_id, dir, line FROM (SELECT doc_id, dir, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE regexp_matches(line, '{licenses.NOTICE}')),
+both_ AS (SELECT line FROM notice UNION ALL SELECT text FROM template),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({DUCK_TERMS.format('line')})) AS term FROM both_) GROUP BY term),
+idf AS (SELECT term, ln(((SELECT count(*) FROM both_) + 1) / (df + 1)) + 1 AS idf FROM df),
+t AS (SELECT licence, term, count(*) * any_value(idf) AS w FROM (SELECT licence, unnest({DUCK_TERMS.format('text')}) AS term FROM template) JOIN idf USING (term) GROUP BY ALL),
+l AS (SELECT line, term, count(*) * any_value(idf) AS w FROM (SELECT line, unnest({DUCK_TERMS.format('line')}) AS term FROM (SELECT DISTINCT line FROM notice)) JOIN idf USING (term) GROUP BY ALL),
+tn AS (SELECT licence, sqrt(sum(w * w)) AS n FROM t GROUP BY licence), ln_ AS (SELECT line, sqrt(sum(w * w)) AS n FROM l GROUP BY line),
+score AS (SELECT line, licence, round(sum(l.w * t.w) / (any_value(ln_.n) * any_value(tn.n)), 6) AS score
+  FROM l JOIN t USING (term) JOIN tn USING (licence) JOIN ln_ USING (line) GROUP BY line, licence),
+best AS (SELECT line, licence, score FROM score QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, licence) = 1),
+own AS (SELECT doc_id, dir, arg_min(licence, (-score, licence)) AS licence, max(score) AS score, count(DISTINCT line) AS n FROM notice JOIN best USING (line) WHERE score >= {licenses.LEAST} GROUP BY doc_id, dir),
+file AS (SELECT dir, arg_min(licence, doc_id) AS licence FROM own GROUP BY dir),
+near AS (SELECT d.dir, arg_max(file.dir, length(file.dir)) AS above, arg_max(file.licence, length(file.dir)) AS licence
+  FROM (SELECT DISTINCT dir FROM doc) d JOIN file ON d.dir = file.dir OR starts_with(d.dir, file.dir || '/') GROUP BY d.dir)
+SELECT doc.doc_id, coalesce(own.licence, near.licence) AS licence, own.score, CASE WHEN own.licence IS NOT NULL THEN 'notice' WHEN near.licence IS NOT NULL THEN 'directory' ELSE 'none' END AS origin,
+  CASE WHEN own.licence IS NULL THEN near.above END AS licence_dir, coalesce(own.n, 0) AS n_notices
+FROM doc LEFT JOIN own USING (doc_id) LEFT JOIN near ON doc.dir = near.dir""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents carry no path: one is made from source, language and number, on three levels."""
+    docs = table(spark, sf_dir, "documents")
+    level = F.when(F.col("doc_id") % 97 > 0, F.col("lang"))
+    part = F.when((F.col("doc_id") % 97 > 0) & (F.col("doc_id") % 13 > 0), F.concat(F.lit("part"), F.expr("doc_id div 1000").cast("string")))
+    return licenses.license_scan(docs, F.concat_ws("/", "source", level, part, F.col("doc_id").cast("string")))
