@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     n1, n = known.agg(F.sum("y"), F.count("*")).first()
-    prior = ((n1 or 0) + 0.5) / (n + 1)
+    prior = ((n1 or 0) + 0.5) / (n + 2)  # without any label documents stay on the clean side
     constant = {"chosen": np.zeros(0, np.int64), "w0": float(np.log(prior / (1 - prior))), "w": np.zeros(0), "v": np.zeros((0, FACTORS))}
     if not n1 or n1 == n:
         return constant
