@@ -1,9 +1,10 @@
 import itertools
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, decode, encode
+from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, changed, decode, encode
 
 
 @pytest.fixture(scope="module")
@@ -11,6 +12,14 @@ def vocab():
     return Vocabulary(MODEL)
 
 
+def segmentations(encoder, text):
+    units = encoder.units(text) if text else []
+    encoder.learn([units])
+    worth, ids, more = encoder.encode(units)
+    ids = np.frombuffer(ids, np.int32).tolist()
+    return [(worth, ids), *((worth - lost, changed(ids, changes)) for lost, changes in more)]
+
+
 def every(vocab, text):
     """Worth of every segmentation of a text, by plain recursion over the whole lattice."""
     edges = vocab.edges(text)
@@ -25,22 +34,29 @@ def every(vocab, text):
 
 @pytest.mark.parametrize("text", ["thin man", "a", "the\nend", "  two  b ", "é▁x", "\n", "aaaa aaaa", "日 本", "\x00 \t"])
 def test_nbest_is_exact(vocab, text):
-    got = Encoder(MODEL, 5).encode(text)
+    got = segmentations(Encoder(MODEL, 5), text)
     want = every(vocab, " " + text)
     assert [w for w, _ in got] == [w for w, _ in want[:5]]
     every_ids = {ids: w for w, ids in want}
     assert len({tuple(i) for _, i in got}) == len(got)
     for w, ids in got:
-        assert every_ids[tuple(ids.tolist())] == w
-        assert b"".join(vocab.surface[i] for i in ids.tolist())[1:].decode() == text
+        assert every_ids[tuple(ids)] == w
+        assert b"".join(vocab.surface[i] for i in ids)[1:].decode() == text
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_round_trip(text):
-    found = test_round_trip.encoder.encode(text)
+    found = segmentations(test_round_trip.encoder, text)
     for _, ids in found:
-        assert b"".join(test_round_trip.encoder.vocab.surface[i] for i in ids.tolist())[1:].decode() == text
+        assert b"".join(test_round_trip.encoder.vocab.surface[i] for i in ids)[1:].decode() == text
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abe nt日é", min_size=5, max_size=5), min_size=1, max_size=8))
+def test_many_at_once(units):
+    vocab = test_round_trip.encoder.vocab
+    assert vocab.best_of(units) == [vocab.best(u) for u in units]
 
 
 test_round_trip.encoder = Encoder(MODEL, 3)

@@ -31,7 +31,18 @@ NBEST = 4
 UNIT = 1_000_000  # worths are counted in 1 / UNIT nats
 MARK = "▁"
 KEPT_UNITS = 400_000  # units whose segmentation one task remembers; others are searched again
+LEARN = 24  # longest unit that is searched together with others of its length
+NONE = -(1 << 30)  # no path
 _UNITS = re.compile(" *[^ ]+| +")
+_FACTOR, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
+_SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _fingerprint(text: str) -> int:
+    key = 0
+    for c in text:
+        key = (key * int(_FACTOR) + ord(c) + 1) % (1 << 64)
+    return key
 
 
 class Vocabulary:
@@ -56,6 +67,72 @@ class Vocabulary:
         if len(self.byte_id) != 256 or any("\n" in p or " " in p.lstrip(" ") for p in self.pieces):
             raise ValueError("the vocabulary needs all byte pieces and spaces only in front")
 
+        self._tables()
+
+    def _tables(self):
+        """Two-level hash tables from the fingerprint of a piece to its worth and id."""
+        names = list(self.pieces)
+        keys = np.array([_fingerprint(p) for p in names], np.uint64)
+        ids, worths = (np.array(x, np.int64) for x in zip(*self.pieces.values()))
+        self.levels = []
+        while len(keys):
+            slot = (keys * _SPREAD[len(self.levels) % 2] >> np.uint64(64 - _SLOTS)).astype(np.int64)
+            _, at = np.unique(slot, return_index=True)  # the others go one level down
+            table = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32), np.zeros(1 << _SLOTS, np.int32)
+            for column, values in zip(table, (keys, worths, ids)):
+                column[slot[at]] = values[at]
+            self.levels.append(table)
+            left = np.ones(len(keys), bool)
+            left[at] = False
+            keys, ids, worths = keys[left], ids[left], worths[left]
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Worth (NONE: no piece) and id of each fingerprint."""
+        worth, ids = np.full(len(keys), NONE, np.int32), np.zeros(len(keys), np.int32)
+        for n, (held, worths, numbers) in enumerate(self.levels):
+            slot = (keys * _SPREAD[n % 2] >> np.uint64(64 - _SLOTS)).astype(np.int64)
+            ok = held[slot] == keys
+            worth = np.where(ok, worths[slot], worth)
+            ids = np.where(ok, numbers[slot], ids)
+        return worth, ids
+
+    def best_of(self, units: list[str]) -> list[tuple[bytes, int, float]]:
+        """``best`` of many units of one length at once: the same forward pass, column by column."""
+        m, n = len(units), len(units[0])
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
+        worth = np.full((n + 1, m), NONE, np.int64)
+        worth[0] = 0
+        second = np.full((n + 1, m), NONE, np.int64)
+        via, piece = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
+        plain = np.ones(m, bool)
+        for j in range(n):
+            key = np.zeros(m, np.uint64)
+            for i in range(j + 1, min(n, j + self.longest) + 1):
+                key = key * _FACTOR + codes[:, i - 1]
+                w, ids = self.lookup(key)
+                if i == j + 1:
+                    plain &= w != NONE
+                w = np.where(w != NONE, w + worth[j], NONE)
+                better = w > worth[i]
+                second[i] = np.maximum(second[i], np.where(better, worth[i], w))
+                via[i] = np.where(better, j, via[i])
+                piece[i] = np.where(better, ids, piece[i])
+                worth[i] = np.where(better, w, worth[i])
+        loss, at, rows = np.full(m, np.inf), np.full(m, n), np.arange(m)
+        back = np.full((n, m), -1, np.int32)
+        for k in range(n):
+            on = at > 0
+            a = np.where(on, at, 1)
+            other = second[a, rows]
+            loss = np.where(on & (other != NONE), np.minimum(loss, worth[a, rows] - other), loss)
+            back[n - 1 - k] = np.where(on, piece[a, rows], -1)
+            at = np.where(on, via[a, rows], 0)
+        used = (back >= 0).sum(0)
+        flat, out = np.ascontiguousarray(back.T), []
+        for r, (k, total, least, fine) in enumerate(zip(used.tolist(), worth[n].tolist(), loss.tolist(), plain.tolist())):
+            out.append((flat[r, n - k :].tobytes(), total, least) if fine else self.best(units[r]))
+        return out
+
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
         """Per end position the pieces (start, ids, worth) that end there."""
         get, out = self.pieces.get, [[]]
@@ -132,6 +209,19 @@ class Encoder:
                 self.known[unit] = found
         return found
 
+    def learn(self, lists: list[list[str]]) -> None:
+        """Search the units of some texts that are not known yet, many at a time."""
+        if len(self.known) >= KEPT_UNITS:
+            self.known.clear()
+        by_length: dict[int, list[str]] = {}
+        for u in set().union(*lists).difference(self.known):
+            if len(u) <= LEARN and u != "\n":
+                by_length.setdefault(len(u), []).append(u)
+        for same in by_length.values():
+            for a in range(0, len(same), 20000):
+                some = same[a : a + 20000]
+                self.known.update(zip(some, self.vocab.best_of(some)))
+
     def units(self, text: str) -> list[str]:
         """Units of a text with its leading space mark; a line end is a unit of its own."""
         out, first = [], True
@@ -148,61 +238,77 @@ class Encoder:
                 out += [" " + w for w in words[1:]]
         return out
 
-    def encode(self, text: str) -> list[tuple[int, np.ndarray]]:
-        """Up to n segmentations (worth, ids), best first."""
-        if not text:
-            return [(0, np.zeros(0, np.int32))]
-        units = self.units(text)
+    def encode(self, units: list[str]) -> tuple[int, bytes, list[tuple[int, list[tuple[int, int, tuple[int, ...]]]]]]:
+        """Worth and ids of the best segmentation, and of the next best ones what they lose and change.
+
+        A change (first, n, ids) puts other ids in the place of n ids of the best segmentation.
+        """
         get, new, line_end = self.known.get, self.unit, self.newline
         found = [get(u) or (line_end if u == "\n" else new(u)) for u in units]
         ids = [f[0] for f in found]
-        worth = sum(f[1] for f in found)
-        out = [(worth, np.frombuffer(b"".join(ids), np.int32))]
-        if self.n > 1:
+        out = []
+        if self.n > 1 and found:
             loss = np.array([f[2] for f in found])
-            near = np.argsort(loss, kind="stable")[: self.n - 1] if len(loss) <= 64 else np.sort(self._least(loss))
             ways = [(0, ())]
-            for k in near.tolist():
+            for k in np.sort(self._least(loss)).tolist():
                 if loss[k] == math.inf:
                     continue
                 lists = self.vocab.nbest(units[k], self.n)
                 ways = heapq.nsmallest(self.n, [(a + lists[0][0] - w, (*path, (k, i))) for a, path in ways for w, i in lists], key=lambda x: x[0])
+                ways[0] = (0, ())  # the best of every unit is no change
             for lost, path in ways[1:]:
-                other = list(ids)
-                for k, i in path:
-                    other[k] = np.array(i, np.int32).tobytes()
-                out.append((worth - lost, np.frombuffer(b"".join(other), np.int32)))
-        return out
+                changes = []
+                for k, other in path:
+                    own = tuple(np.frombuffer(ids[k], np.int32).tolist())
+                    if own != other:
+                        changes.append((sum(map(len, ids[:k])) // 4, len(own), other))
+                out.append((lost, changes))
+        return sum(f[1] for f in found), b"".join(ids), out
 
     def _least(self, loss: np.ndarray) -> np.ndarray:
         """Positions of the n-1 smallest losses, earlier ones first among equals."""
+        if len(loss) < self.n:
+            return np.arange(len(loss))
         bound = np.partition(loss, self.n - 2)[self.n - 2]
         below = np.flatnonzero(loss < bound)
         return np.concatenate([below, np.flatnonzero(loss == bound)[: self.n - 1 - len(below)]])
 
 
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
-    """doc_id, ids, n_pieces, score, alternatives (score, ids): one row per row of ``docs``.
+    """doc_id, ids, n_pieces, score, alternatives: one row per row of ``docs``.
 
-    ``alternatives`` holds the next best segmentations, best first, fewer where the text has no more;
-    ties prefer longer pieces at the end of a unit, then earlier units.  Null and empty texts have no
+    ``alternatives`` holds the next best segmentations, best first, fewer where the text has no more:
+    the score, and ``changes`` (first, n, ids) that put other ids in the place of n of the best ids.
+    Ties prefer longer pieces at the end of a unit, then earlier units.  Null and empty texts have no
     pieces and score 0.  Very long texts and words are searched whole.  An empty table gives no rows.
     """
+    change = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
 
     def run(batches):
         encoder = Encoder(model, nbest)
         for rows, texts in slices(batches):
-            found = [encoder.encode(t.decode()) for t in texts]
-            best = [f[0][1] for f in found]
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) for b in best])]), pa.int32()), pa.array(np.concatenate(best), pa.int32()))
-            more = [[{"score": w / UNIT, "ids": i} for w, i in f[1:]] for f in found]
+            units = [encoder.units(t.decode()) if t else [] for t in texts]
+            encoder.learn(units)
+            worth, ids, more = zip(*map(encoder.encode, units))
+            size = np.array([len(i) // 4 for i in ids], np.int64)
+            best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            other = [[{"score": (w - lost) / UNIT, "changes": [dict(zip(("first", "n", "ids"), c)) for c in changes]} for lost, changes in m] for w, m in zip(worth, more)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), ids, pa.array([len(b) for b in best], pa.int64()), pa.array([f[0][0] / UNIT for f in found], pa.float64()), pa.array(more, pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))])))],
+                [rows.column("doc_id"), best, pa.array(size), pa.array(np.array(worth) / UNIT, pa.float64()), pa.array(other, kind)],
                 ["doc_id", "ids", "n_pieces", "score", "alternatives"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, alternatives array<struct<score:double,ids:array<int>>>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, alternatives array<struct<score:double,changes:array<struct<first:int,n:int,ids:array<int>>>>>")
+
+
+def changed(ids: list[int], changes) -> list[int]:
+    """The ids of an alternative segmentation."""
+    out = list(ids)
+    for first, n, other in sorted(changes, reverse=True):
+        out[first : first + n] = other
+    return out
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
