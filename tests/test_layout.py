@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.operators import features as ft, labels as lb, metrics as mt
-from tidebar.operators.ewm import WARMUP, Ewm, span, with_ewm
+from tidebar.operators.ewm import WARMUP, Ewm, halo, span, with_ewm
 from tidebar.operators.layout import blocked, number_bars, own_rows
 from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.scan import running
@@ -68,6 +68,33 @@ def test_smoothing_matches_pandas(bars):
         np.testing.assert_allclose(mine.w14, want14, rtol=1e-12)
 
 
+def test_missing_observations_are_weighted_again(spark):
+    values = [1.0, None, 1.0, 1.0, 4.0, None, None, 2.0, None]
+    df = spark.createDataFrame([("s", i + 1, v) for i, v in enumerate(values)], "symbol string, bar_no bigint, x double")
+    out = own_rows(with_ewm(blocked(df, back=WARMUP), {"y": Ewm("x", 0.5), "late": Ewm("x", 0.5, 5)})).orderBy("bar_no").toPandas()
+    want = pd.Series([np.nan if v is None else v for v in values]).ewm(alpha=0.5, adjust=False).mean()
+    np.testing.assert_allclose(out.y.astype(float), want, rtol=1e-12)
+    assert out.y[:4].tolist() == [1.0] * 4
+    np.testing.assert_allclose(out.late.astype(float)[4:], pd.Series([4.0, np.nan, np.nan, 2.0, np.nan]).ewm(alpha=0.5, adjust=False).mean(), rtol=1e-12)
+    assert out.late[:4].isna().all()
+
+
+@pytest.mark.parametrize("n", [200, 500, 1000])
+def test_long_spans_over_several_blocks(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(100, 5, 24000)
+    x[rng.random(24000) < 0.1] = np.nan
+    x[0] = 1000.0
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "s", "bar_no": np.arange(1, 24001), "x": x}))
+    df = df.withColumns({"x": F.when(~F.isnan("x"), F.col("x")), "one": F.lit(1.0)})
+    with pytest.raises(ValueError):
+        with_ewm(blocked(df, back=WARMUP), {"y": Ewm("x", span(n))})
+    back = halo(span(n))
+    out = own_rows(with_ewm(blocked(df, back=back, block=3000), {"y": Ewm("x", span(n)), "flat": Ewm("one", span(n))}, back)).orderBy("bar_no").toPandas()
+    np.testing.assert_allclose(out.y, pd.Series(x).ewm(span=n, adjust=False).mean(), rtol=1e-11)
+    np.testing.assert_allclose(out.flat, 1.0, rtol=1e-12)
+
+
 def test_smoothed_deviation_and_rsi_match_pandas(bars):
     df, pdf = bars
     got = frame(ft.full_features(df, block=800), ["ewma_vol_logret_14", "adx_14", "macd_signal", "rsi_14"])

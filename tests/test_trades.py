@@ -78,6 +78,28 @@ def test_positions_match_a_sequential_trader(spark, density, run):
     assert got == want
 
 
+@pytest.mark.parametrize("per_day", [200, 1])
+def test_release_counts_no_bars(spark, per_day):
+    n = 9000 if per_day > 1 else 400
+    times = [DAY0 + dt.timedelta(seconds=86400 / per_day * i) for i in range(n)]
+    if per_day == 1:
+        times = [t + dt.timedelta(days=int(i / 50) * 40) for i, t in enumerate(times)]  # long gaps
+    bars = spark.createDataFrame([("s", i + 1, t) for i, t in enumerate(times)], "symbol string, bar_no bigint, bar_ts timestamp")
+    trades = [(k, k + 2) for k in range(5, n, 97)]
+    df = bars.join(spark.createDataFrame(trades, "bar_no bigint, exit_no bigint"), "bar_no")
+    got = {r.bar_no: r.release_no for r in tr.with_release(df, bars, 3).collect()}
+    for at, leave in trades:
+        inside = sum(times[at - 1] <= t <= times[at - 1] + dt.timedelta(days=3) for t in times[at - 1 : at + 700])
+        assert got[at] == max(leave, at + inside)
+    taken = tr.non_overlapping(tr.with_release(df, bars, 3), run=64, min_history=80)
+    free, want = 0, set()
+    for at, _ in trades:
+        if at >= 80 and at >= free:
+            want.add(at)
+            free = got[at]
+    assert {r.bar_no for r in taken.collect()} == want
+
+
 def test_equity_against_a_loop(spark):
     rng = np.random.default_rng(9)
     close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 200)))
@@ -118,7 +140,7 @@ def test_portfolio_metrics(spark):
 def test_profit_factor_without_losses(spark):
     df = spark.createDataFrame([("s", 0.1, 1), ("s", 0.2, 2)], "symbol string, return_pct double, holding_days int")
     m = mt.trade_statistics(df, ["symbol"]).first()
-    assert m.profit_factor is None and m.metrics_notes == ["Profit factor undefined (no losing trades)."]
+    assert m.profit_factor is None and m.metrics_notes == ["No trade lost: there is no profit factor."]
     assert mt.simple_summary(df.withColumnRenamed("return_pct", "trade_return"), ["symbol"]).first().profit_factor == float("inf")
 
 

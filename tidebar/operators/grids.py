@@ -67,12 +67,12 @@ def variant_decisions(signals: DataFrame) -> DataFrame:
     return done.withColumn("decision", F.when(F.col("strict"), F.col("trade_decision")).otherwise(simple))
 
 
-def ablation(signals: DataFrame, cooldown_days: int = 3, bars_per_day: int = 1) -> DataFrame:
+def ablation(signals: DataFrame, cooldown_days: int = 3) -> DataFrame:
     """Trade statistics of every variant per symbol."""
     df = variant_decisions(with_variants(signals))
     exits = tr.first_touch_exits(tr.with_profile(df)).where(F.col("exit_reason") != "INVALID")
-    rel = tr.with_release(exits, df, cooldown_days, bars_per_day, use=F.col("use_cooldown"))
-    taken = tr.non_overlapping(rel, reach=max(3, cooldown_days * bars_per_day + 1))
+    rel = tr.with_release(exits, df, cooldown_days, use=F.col("use_cooldown"))
+    taken = tr.non_overlapping(rel)
     return mt.trade_statistics(taken, ["base_symbol", "variant"])
 
 

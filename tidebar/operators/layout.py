@@ -13,17 +13,28 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK = 8192
 RUN = 512
-CHUNK_SECONDS = 2048 * 86400
+CHUNK_ROWS = 2048
 
 
-def number_bars(bars: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+def chunk_width(rows: DataFrame, keys: list[str] | None = None, ts: str = "bar_ts") -> int:
+    """Seconds that hold about ``CHUNK_ROWS`` rows of the densest key (keys: symbol, or none for all)."""
+    sec = F.unix_timestamp(F.col(ts).cast("timestamp"))
+    spans = rows.groupBy(*(["symbol"] if keys is None else keys)).agg(F.countDistinct(sec).alias("n"), (F.max(sec) - F.min(sec)).alias("s"))
+    width = spans.agg(F.min(F.ceil(F.col("s") * CHUNK_ROWS / F.greatest("n", F.lit(1))))).first()[0]
+    return max(1, int(width or 1))
+
+
+def number_bars(bars: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
     """Add ``bar_no``: the 1-based position of a bar within its symbol.
 
     Positions inside a time chunk come from a window over ``(symbol, chunk)``; the offset of a
     chunk is a running total over the table of chunk counts (a few rows per symbol: bars are
     unique per timestamp, so their number is bounded by time, and each chunk row stands for up
-    to 2048 bars).  ``chunk_seconds`` should be about 2048 bar lengths.
+    to 2048 bars).  ``chunk_seconds`` should be about 2048 bar lengths; without it the width is
+    taken from the density of the bars.
     """
+    if chunk_seconds is None:
+        chunk_seconds = chunk_width(bars)
     keyed = bars.withColumn(
         "_chunk", F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / chunk_seconds)
     )

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidebar.functions.nulls import clip, div, ladder, truth
-from tidebar.operators.layout import blocked, lag, own_rows
+from tidebar.operators.layout import blocked, chunk_width, lag, own_rows
 from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.scan import number_rows, running
 from tidebar.session import cut_lineage
@@ -36,7 +36,7 @@ def trade_statistics(trades: DataFrame, keys: list[str], ret: str = "return_pct"
     mid = exact_quantiles(trades, keys, ret, {"median_return_per_trade": 0.5})
     notes = F.array_compact(
         F.array(
-            F.when(F.col("profit_factor").isNull(), "Profit factor undefined (no losing trades)."),
+            F.when(F.col("profit_factor").isNull(), "No trade lost: there is no profit factor."),
             F.when(F.col("total_trades") < 2, "Fewer than two trades: read ratios with caution."),
         )
     )
@@ -71,7 +71,7 @@ def portfolio_metrics(returns: DataFrame, keys: list[str], ts: str = "bar_ts", r
     Losses include zero returns; with no loss the profit factor is infinite.  The running peak
     starts at the first equity value.
     """
-    chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (2048 * 86400))
+    chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / chunk_width(returns, keys, ts))
     df = number_rows(returns, keys, ts, "_no", chunk)
     df = running(df.withColumn("_g", F.log1p(ret)), keys, "_no", {"_cum": ("sum", "_g")}, block)
     df = df.withColumn("_eq", F.exp("_cum"))

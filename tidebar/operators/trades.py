@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidebar.functions.nulls import all_of, clip, div, ladder, truth
-from tidebar.operators.layout import blocked, order, own_rows, rolling
+from tidebar.operators.layout import blocked, chunk_width, order, own_rows, rolling
 from tidebar.operators.scan import number_rows, running
 from tidebar.session import cut_lineage
 
@@ -101,36 +101,56 @@ def slipped_exits(signals: DataFrame, horizon: int | list[int] = 3, stop: float
 # --- positions ---------------------------------------------------------------------------------
 
 
-def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, bars_per_day: int = 1, use: Column | None = None, block: int | None = None) -> DataFrame:
+def last_bar_until(bars: DataFrame, asked: DataFrame, out: str = "last_no") -> DataFrame:
+    """Number of the last bar at or before ``until`` (epoch seconds) for every row of ``asked``.
+
+    Bars and questions are put in one order inside time chunks, whose width follows the density of
+    the bars; the chunk table carries the last bar of earlier chunks.  No bar is counted, so it does
+    not matter how many lie between.
+    """
+    seconds = F.unix_timestamp(F.col("bar_ts").cast("timestamp"))
+    events = bars.select("symbol", seconds.alias("_sec"), F.lit(0).alias("_ask"), F.col("bar_no").alias("_no"))
+    asks = asked.select("symbol", F.col("until").alias("_sec")).distinct()
+    events = events.unionByName(asks.select("symbol", "_sec", F.lit(1).alias("_ask"), F.lit(None).cast("bigint").alias("_no")))
+    events = events.withColumn("_chunk", F.floor(F.col("_sec") / chunk_width(bars)))
+    ends = events.groupBy("symbol", "_chunk").agg(F.max("_no").alias("_m"))
+    before = W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select("symbol", "_chunk", F.max("_m").over(before).alias("_c"))
+    inside = W.partitionBy("symbol", "_chunk").orderBy("_sec", "_ask").rowsBetween(W.unboundedPreceding, 0)
+    found = events.withColumn("_m", F.max("_no").over(inside)).where("_ask = 1").join(carried, ["symbol", "_chunk"])
+    found = found.select("symbol", F.col("_sec").alias("until"), F.coalesce("_m", "_c").alias(out))
+    return asked.join(found, ["symbol", "until"], "left")
+
+
+def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, use: Column | None = None) -> DataFrame:
     """First bar number at which a new trade may be decided once this one is taken.
 
     ``use`` switches the cooldown per row; without it a trade only blocks until its exit.
     """
-    reach = max(1, cooldown_days * bars_per_day)
     seconds = F.unix_timestamp(F.col("bar_ts").cast("timestamp"))
-    frame = W.partitionBy("symbol", "_blk").orderBy("_sec").rangeBetween(0, cooldown_days * 86400)
-    free = own_rows(
-        blocked(bars.select("symbol", "bar_no", "bar_ts"), ahead=reach + 1, block=block)
-        .withColumn("_sec", seconds)
-        .withColumn("_in", F.count(F.lit(1)).over(frame))
-    ).select("symbol", "bar_no", (F.col("bar_no") + F.col("_in")).alias("_after"))
-    out = trades.join(free, ["symbol", "bar_no"])
-    after = F.col("_after") if cooldown_days > 0 else F.col("bar_no") + 1
+    if cooldown_days > 0:
+        asked = trades.withColumn("until", seconds + cooldown_days * 86400)
+        out = last_bar_until(bars.select("symbol", "bar_no", "bar_ts"), asked).withColumn("_after", F.col("last_no") + 1).drop("until", "last_no")
+    else:
+        out = trades.withColumn("_after", F.col("bar_no") + 1)
+    after = F.col("_after")
     if use is not None:
         after = F.when(use, after).otherwise(F.col("bar_no") + 1)
     return out.withColumn("release_no", F.greatest(F.col("exit_no"), after)).drop("_after")
 
 
-def non_overlapping(trades: DataFrame, reach: int, run: int = 1024) -> DataFrame:
-    """Keep the trades a trader with one position at a time would take.
+def non_overlapping(trades: DataFrame, reach: int | None = None, run: int = 1024, min_history: int = 0) -> DataFrame:
+    """Keep the trades a trader with one position at a time would take, from bar ``min_history`` on.
 
-    Taking a trade at ``bar_no`` blocks decisions until ``release_no`` (at most ``reach`` bars
-    later).  The choice is sequential per symbol, but what one run of ``run`` bars hands to the
+    Taking a trade at ``bar_no`` blocks decisions until ``release_no``, at most ``reach`` bars later
+    (by default the farthest release in the data).  The choice is sequential per symbol, but what one run of ``run`` bars hands to the
     next is only how many of its first bars are blocked: fewer than ``reach`` cases.  So each run
     works out its answer to every case on its own, the answers are chained (per 1024 runs, then
     per symbol), and each run then replays its real case.
     """
-    t = cut_lineage(trades.where(F.col("release_no").isNotNull()))
+    t = cut_lineage(trades.where(F.col("release_no").isNotNull() & (F.col("bar_no") >= min_history)))
+    if reach is None:
+        reach = max(1, t.agg(F.max(F.col("release_no") - F.col("bar_no"))).first()[0] or 1)
     first = lambda size: F.col("blk") * size + 1
     sig = F.struct(F.col("bar_no").alias("at"), F.col("release_no").cast("bigint").alias("to"))
     runs = (
@@ -207,6 +227,13 @@ def non_overlapping(trades: DataFrame, reach: int, run: int = 1024) -> DataFrame
     return t.join(taken, ["symbol", "bar_no"], "left_semi")
 
 
+def cooldown_active(bars: DataFrame, positions: DataFrame) -> DataFrame:
+    """``bars`` with a flag: an accepted trade still blocks new decisions at this bar."""
+    blocked_bars = positions.select("symbol", F.explode(F.sequence(F.col("bar_no") + 1, F.greatest(F.col("bar_no") + 1, F.col("release_no") - 1))).alias("bar_no"), "release_no")
+    blocked_bars = blocked_bars.where(F.col("bar_no") < F.col("release_no")).select("symbol", "bar_no", F.lit(True).alias("cooldown_active")).distinct()
+    return bars.join(blocked_bars, ["symbol", "bar_no"], "left").withColumn("cooldown_active", F.coalesce("cooldown_active", F.lit(False)))
+
+
 def equity_curve(bars: DataFrame, positions: DataFrame, min_history: int = 80, block: int | None = None) -> DataFrame:
     """Equity, drawdown and in-position flag per evaluated bar; full equity in every trade.
 
@@ -252,7 +279,7 @@ def top_n_per_date(scored: DataFrame, n: int, score: str = "score", least: int =
 
 def next_dates(dates: DataFrame) -> DataFrame:
     """Each time with the time after it (equi-join on a dense number; no global sort)."""
-    chunk = F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / (2048 * 86400))
+    chunk = F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / chunk_width(dates, keys=[]))
     d = number_rows(dates.select("bar_ts").distinct().withColumn("_all", F.lit(1)), ["_all"], "bar_ts", "_no", chunk)
     after = d.select(F.col("bar_ts").alias("next_ts"), (F.col("_no") - 1).alias("_no"))
     return d.join(after, "_no").select("bar_ts", "next_ts")

@@ -63,7 +63,7 @@ FROM rel JOIN pos USING (symbol, vname, n) GROUP BY ALL"""
 
 @query("ablation_variants", "N9 M23 F18 H6", _ablation_sql())
 def ablation_variants(spark, sf):
-    s = gr.ablation(signals_table(spark, sf), cooldown_days=3, bars_per_day=24)
+    s = gr.ablation(signals_table(spark, sf), cooldown_days=3)
     return s.select("base_symbol", "variant", "total_trades", *rounded(s, ABL))
 
 

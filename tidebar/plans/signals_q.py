@@ -288,8 +288,8 @@ tier AS (SELECT *, CASE WHEN g > 0 OR (rg = 'VOLATILE' AND NOT ext) THEN 'NO_TRA
         CASE WHEN num AND NOT lay THEN CASE WHEN volatility_shock THEN 'Not strong: volatility shock' WHEN consensus_score < CASE rg WHEN 'TRENDING' THEN 0.64 ELSE 0.70 END THEN 'Not strong: consensus'
           WHEN stability_score < CASE rg WHEN 'TRENDING' THEN 0.54 ELSE 0.58 END THEN 'Not strong: path stability' WHEN trend_confirmation_score < CASE rg WHEN 'TRENDING' THEN 0.52 ELSE 0.56 END THEN 'Not strong: trend confirmation' END END,
         CASE WHEN td = 'STRONG_BUY' THEN 'Regime trending: bars relaxed' WHEN td = 'WEAK_BUY' AND rg = 'RANGING' THEN 'Regime ranging: tight bars' WHEN td = 'WEAK_BUY' AND rg = 'VOLATILE' THEN 'Regime volatile: extreme confidence' WHEN td = 'NO_TRADE' THEN 'No tier reached' END), '') END) END AS reasons,
-  concat_ws('|', CASE WHEN ag > 0.65 THEN 'agreement strong' END, CASE WHEN held THEN 'agreement stable' END, CASE WHEN lb = 'collapsing' THEN 'agreement collapsing' END, CASE WHEN dc > th THEN 'direction decisive' ELSE 'direction weak' END,
-    CASE WHEN volatility_shock OR v = 'HIGH' THEN 'volatility high' END, CASE WHEN em >= 0.025 THEN 'move actionable' END, CASE WHEN base_confidence > base_confidence * 0.9 + 0.06 AND ((ag > 0.65)::INT + held::INT + (lb = 'collapsing')::INT + 1 + (volatility_shock OR v = 'HIGH')::INT + (em >= 0.025)::INT) < 6 THEN 'risk penalties active' END) AS drivers FROM tier""",
+  concat_ws('|', CASE WHEN ag > 0.65 THEN 'members side together' END, CASE WHEN held THEN 'agreement holds over the path' END, CASE WHEN lb = 'collapsing' THEN 'agreement falls apart' END, CASE WHEN dc > th THEN 'one direction stands out' ELSE 'no direction stands out' END,
+    CASE WHEN volatility_shock OR v = 'HIGH' THEN 'large swings' END, CASE WHEN em >= 0.025 THEN 'move actionable' END, CASE WHEN base_confidence > base_confidence * 0.9 + 0.06 AND ((ag > 0.65)::INT + held::INT + (lb = 'collapsing')::INT + 1 + (volatility_shock OR v = 'HIGH')::INT + (em >= 0.025)::INT) < 6 THEN 'risk lowers confidence' END) AS drivers FROM tier""",
 )
 def trade_tiers(spark, sf):
     df = sg.with_trade_tier(signals_table(spark, sf))

@@ -49,13 +49,14 @@ trd AS (SELECT e.symbol, e.n, e.bar_ts, e.decision, e.market_regime, e.entry AS
   FROM ent e LEFT JOIN hit h USING (symbol, n) LEFT JOIN path p ON p.symbol = h.symbol AND p.n = h.n AND p.j = h.j)"""
 
 TAKEN_SQL = f"""rel AS (SELECT t.*, greatest(t.exit_no, t.n + (SELECT count(*) FROM bars b WHERE b.symbol = t.symbol
-  AND b.bar_ts BETWEEN t.bar_ts AND t.bar_ts + INTERVAL 3 DAY)) AS release_no FROM trd t WHERE exit_reason <> 'INVALID'),
+  AND b.bar_ts BETWEEN t.bar_ts AND t.bar_ts + INTERVAL 3 DAY)) AS release_no FROM trd t WHERE exit_reason <> 'INVALID' AND n >= 80),
 succ AS (SELECT r.symbol, r.n, (SELECT min(u.n) FROM rel u WHERE u.symbol = r.symbol AND u.n >= r.release_no) AS nx FROM rel r),
 pos(symbol, n) AS (SELECT symbol, min(n) FROM succ GROUP BY 1 UNION ALL
   SELECT p.symbol, s.nx FROM pos p JOIN succ s ON s.symbol = p.symbol AND s.n = p.n WHERE s.nx IS NOT NULL),
 taken AS (SELECT t.* FROM rel t JOIN pos p ON p.symbol = t.symbol AND p.n = t.n)"""
 
 COOLDOWN = 3
+MIN_HISTORY = 80  # bars before the first evaluated one
 
 
 def rule_trades(bars):
@@ -65,7 +66,7 @@ def rule_trades(bars):
 def rule_positions(bars):
     t = rule_trades(bars)
     t = t.where(F.col("exit_reason") != "INVALID")
-    return tr.non_overlapping(tr.with_release(t, bars, COOLDOWN), reach=COOLDOWN + 1)
+    return tr.non_overlapping(tr.with_release(t, bars, COOLDOWN), min_history=MIN_HISTORY)
 
 
 @query(
@@ -154,15 +155,17 @@ def regime_performance(spark, sf):
 
 @query(
     "strategy_health", "F9",
-    f"""WITH {bars_cte()}, {RULE_SQL}, a AS (SELECT *, CASE WHEN decision <> 'NO_TRADE' THEN n END AS hit_n FROM sig),
+    f"""WITH RECURSIVE {bars_cte()}, {RULE_SQL}, {TAKEN_SQL}, a AS (SELECT *, CASE WHEN decision <> 'NO_TRADE' THEN n END AS hit_n FROM sig WHERE n >= 80),
+cool AS (SELECT DISTINCT t.symbol, b.n FROM taken t JOIN bars b ON b.symbol = t.symbol AND b.n > t.n AND b.n < t.release_no),
 b AS (SELECT symbol, n, hit_n - lag(hit_n IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY n) AS gap FROM a)
 SELECT symbol, count(*)::BIGINT AS days_evaluated, round(avg((hit_n IS NOT NULL)::INT), 6) AS signal_frequency, round(avg((decision = 'STRONG_BUY')::INT), 6) AS strong_signal_frequency,
   round(avg((decision = 'WEAK_BUY')::INT), 6) AS weak_signal_frequency, round(avg((decision = 'PROBING_BUY')::INT), 6) AS probing_signal_frequency,
-  round(avg(b.gap), 6) AS average_time_between_signals, 0.0::DOUBLE AS percentage_days_blocked_by_cooldown, round(avg((hit_n IS NULL)::INT), 6) AS percentage_no_trade
-FROM a JOIN b USING (symbol, n) GROUP BY 1""",
+  round(avg(b.gap), 6) AS average_time_between_signals, round(avg((cool.n IS NOT NULL)::INT), 6) AS percentage_days_blocked_by_cooldown, round(avg((hit_n IS NULL)::INT), 6) AS percentage_no_trade
+FROM a JOIN b USING (symbol, n) LEFT JOIN cool USING (symbol, n) GROUP BY 1""",
 )
 def strategy_health(spark, sf):
-    s = rule_signals(numbered(spark, sf)).withColumn("cooldown_active", F.lit(False))
+    bars = numbered(spark, sf)
+    s = tr.cooldown_active(rule_signals(bars).where(F.col("bar_no") >= MIN_HISTORY), rule_positions(bars))
     h = mt.strategy_health(s, ["symbol"])
     return h.select("symbol", "days_evaluated", *rounded(h, [c for c in h.columns if c not in ("symbol", "days_evaluated")]))
 

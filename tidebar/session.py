@@ -37,9 +37,11 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session without one (tests) gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidebar-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

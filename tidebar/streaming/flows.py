@@ -23,13 +23,18 @@ def file_stream(spark: SparkSession, schema, path: str, files_per_trigger: int |
 
 
 def stream_bars(ticks: DataFrame, length: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Tumbling bars; a bar is emitted once the watermark passes its end, later ticks are dropped."""
+    """Tumbling bars; a bar is emitted once the watermark passes its end, later ticks are dropped.
+
+    The bars of the last ``lateness`` of a finite source are therefore never emitted.  Ticks with
+    equal times are ordered by ``seq``.
+    """
+    at = F.struct("ts", "seq")
     return (
         ticks.withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", length))
         .agg(
-            F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-            F.max_by("price", "ts").alias("close"), F.sum("size").cast("double").alias("volume"),
+            F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+            F.max_by("price", at).alias("close"), F.sum("size").cast("double").alias("volume"),
         )
         .select("symbol", F.col("window.start").alias("bar_ts"), "open", "high", "low", "close", "volume")
     )
