@@ -53,10 +53,14 @@ def with_variants(df: DataFrame) -> DataFrame:
 
 
 def variant_decisions(signals: DataFrame) -> DataFrame:
-    """Trade decision of every variant."""
+    """Trade decision of every variant; sentiment reaches alignment, signal strength and confidence."""
+    heard = lambda c: F.when(F.col("use_sentiment"), F.col(c)).otherwise(0.0)
+    backed = F.least(F.lit(0.045), F.least(F.lit(1.0), heard("twitter_volume") / 120.0) * F.least(F.lit(1.0), F.abs(heard("twitter_sentiment"))) * 0.03)
     df = signals.withColumns(
         {
-            "sentiment_alignment": F.when(F.col("use_sentiment"), F.col("sentiment_alignment")).otherwise(0.0),
+            "sentiment_alignment": heard("sentiment_alignment"),
+            "signal_strength_score": sg.with_sentiment_bump(F.col("signal_strength_score"), heard("twitter_sentiment"), heard("twitter_volume")),
+            "confidence_score": F.when(heard("sentiment_alignment") > 0, F.least(F.lit(1.0), F.col("confidence_score") * (backed + 1.0))).otherwise(F.col("confidence_score")),
             "market_regime": F.when(F.col("use_regime"), F.col("market_regime")).otherwise("RANGING"),
             "cooldown_active": F.lit(False),
         }

@@ -44,7 +44,8 @@ ABL = ["win_rate", "total_return", "profit_factor"]
 
 def _ablation_sql():
     base = SIGNALS_SQL.replace("\nsg AS (", "\nsg0 AS (").replace("i0 AS (SELECT symbol, bar_ts, n, close,", "i0 AS (SELECT symbol, bar_ts, n, open, high, low, close,")
-    sg = """, sgx AS (SELECT s.* REPLACE (CASE WHEN v.reg THEN market_regime ELSE 'RANGING' END AS market_regime, CASE WHEN v.snt THEN twitter_sentiment ELSE 0 END AS twitter_sentiment, false AS cooldown_active), v.name AS vname, v.cd, v.strict
+    sg = """, sgx AS (SELECT s.* REPLACE (CASE WHEN v.reg THEN market_regime ELSE 'RANGING' END AS market_regime, CASE WHEN v.snt THEN twitter_sentiment ELSE 0 END AS twitter_sentiment, least(1, signal_strength_score + CASE WHEN v.snt AND twitter_volume >= 5 THEN least(0.07, least(1, abs(twitter_sentiment)) * least(1, twitter_volume / 120.0) * 0.055) ELSE 0 END) AS signal_strength_score,
+    CASE WHEN v.snt AND twitter_sentiment > 0.5 THEN least(1, confidence_score * (1 + least(0.045, least(1, twitter_volume / 120.0) * least(1, abs(twitter_sentiment)) * 0.03))) ELSE confidence_score END AS confidence_score, false AS cooldown_active), v.name AS vname, v.cd, v.strict
   FROM sg0 s, (VALUES ('A_full', true, true, true, true), ('B_no_twitter', false, true, true, true), ('C_no_regime_filter', true, false, true, true), ('D_no_cooldown', true, true, false, true), ('E_weaker_thresholds', true, true, true, true), ('F_decision_layer_only', true, true, true, false)) v(name, snt, reg, cd, strict)), sg AS (SELECT * FROM sgx)"""
     tail = """, picked AS (SELECT t.symbol, t.vname, t.cd, t.n, t.bar_ts, CASE WHEN t.strict THEN t.td WHEN d.tsig = 'BUY' THEN CASE WHEN d.hc THEN 'STRONG_BUY' ELSE 'WEAK_BUY' END ELSE 'NO_TRADE' END AS decision FROM tier t JOIN dec d ON d.symbol = t.symbol AND d.n = t.n AND d.vname = t.vname),
 prof AS (SELECT *, CASE decision WHEN 'STRONG_BUY' THEN 0.02 ELSE 0.015 END AS sl, CASE decision WHEN 'STRONG_BUY' THEN 0.03 ELSE 0.02 END AS tp, CASE decision WHEN 'STRONG_BUY' THEN 3 ELSE 1 END AS hold FROM picked WHERE decision <> 'NO_TRADE'),
