@@ -13,17 +13,32 @@ from tidebar.plans.registry import query
 from tidebar.plans.signals_q import DECISION_SQL, SIGNALS_SQL
 from tidebar.plans.tables import EVENT_TICKS, bars_cte, event_ticks, ew, numbered, prev
 from tidebar.plans.trades_q import RULE_SQL, rule_signals
-from tidebar.session import shared_folder
+from tidebar.session import cut_lineage, shared_folder
 from tidebar.streaming import flows
 
 
 def as_stream(spark, df):
-    """The rows as a file stream; they arrive in one batch, so their order does not matter."""
+    """The rows as a file stream in one batch, for flows that do not depend on arrival order."""
     path = f"{shared_folder(spark)}/tidebar/source-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return flows.file_stream(spark, df.schema, path)
 
 
+PARTS, FILES = 4, 4  # micro-batches of a replayed table, files per batch
+
+
+def as_daily_stream(spark, df):
+    """The rows as a file stream whose batches follow each other in time: equal spans of days."""
+    path = f"{shared_folder(spark)}/tidebar/source-{uuid.uuid4().hex}"
+    df = cut_lineage(df.withColumn("_day", F.datediff(F.col("bar_ts"), F.lit("1970-01-01"))))
+    first, last = df.agg(F.min("_day"), F.max("_day")).first()
+    step = ((last or 0) - (first or 0)) // PARTS + 1
+    for part in range(PARTS):
+        inside = F.floor((F.col("_day") - (first or 0)) / step) == part
+        df.where(inside).drop("_day").repartition(FILES).write.mode("append").parquet(path)
+    return flows.file_stream(spark, df.drop("_day").schema, path, FILES)
+
+
 @query(
     "stream_bars", "P5",
     f"""WITH {bars_cte('hour')}, w AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM ticks) SELECT symbol, bar_ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume
@@ -55,7 +70,7 @@ SELECT s.symbol, s.bar_ts::DATE AS bar_day, bl.n IS NOT NULL AS blocked, CASE WH
 )
 def stream_cooldown(spark, sf):
     d = rule_signals(numbered(spark, sf)).select("symbol", "bar_ts", "decision")
-    return flows.run_to_table(flows.stream_cooldown(as_stream(spark, d), 3)).select("symbol", day_col(), "blocked", "decision")
+    return flows.run_to_table(flows.stream_cooldown(as_daily_stream(spark, d), 3)).select("symbol", day_col(), "blocked", "decision")
 
 
 @query(
@@ -64,7 +79,7 @@ def stream_cooldown(spark, sf):
 )
 def stream_idle_share(spark, sf):
     d = rule_signals(numbered(spark, sf)).select("symbol", "bar_ts", "decision")
-    s = flows.run_to_table(flows.stream_idle_share(as_stream(spark, d)))
+    s = flows.run_to_table(flows.stream_idle_share(as_daily_stream(spark, d)))
     return s.select("symbol", day_col(), F.round("recent_no_trade_fraction", 6).alias("recent_no_trade_fraction"))
 
 
@@ -74,7 +89,7 @@ def stream_idle_share(spark, sf):
 )
 def stream_trend_memory(spark, sf):
     d = numbered(spark, sf, "week").select("symbol", "bar_ts", (F.col("close") / 1e5).alias("score"))
-    s = flows.run_to_table(flows.stream_trend_memory(as_stream(spark, d)))
+    s = flows.run_to_table(flows.stream_trend_memory(as_daily_stream(spark, d)))
     return s.select("symbol", day_col(), F.round("trend_score", 6).alias("trend_score"))
 
 

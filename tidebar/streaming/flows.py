@@ -5,14 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebar.session import shared_folder
 
-DAY = pd.Timedelta(days=1)
-
 
 def file_stream(spark: SparkSession, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A directory of parquet files as a stream."""
@@ -26,9 +25,9 @@ def stream_bars(ticks: DataFrame, length: str = "1 hour", lateness: str = "2 hou
     """Tumbling bars; a bar is emitted once the watermark passes its end, later ticks are dropped.
 
     The bars of the last ``lateness`` of a finite source are therefore never emitted.  Ticks with
-    equal times are ordered by ``seq``.
+    equal times are ordered by ``seq`` where the source has it.
     """
-    at = F.struct("ts", "seq")
+    at = F.struct(*[c for c in ("ts", "seq") if c in ticks.columns])
     return (
         ticks.withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", length))
@@ -51,76 +50,70 @@ def stream_freshness(ticks: DataFrame) -> DataFrame:
 
 
 # --- keyed decision state ----------------------------------------------------------------------------
-# A micro-batch of one symbol is ordered by time and walked once; its size is bounded by the
-# trigger (files or bytes per batch).  Back-fills use the batch forms instead.
-
-
-def _walk(step: Callable, state_of: Callable, pack: Callable) -> Callable:
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("bar_ts")
-        memory = state_of(state.get if state.exists else None)
-        outs = []
-        for r in rows.itertuples(index=False):
-            memory, out = step(memory, r)
-            outs.append((key[0], r.bar_ts, *out))
-        state.update(pack(memory))
-        yield pd.DataFrame(outs)
-
-    return run
+# What a symbol brings in one micro-batch (bounded by the trigger) is put in time order and worked
+# on by column; a small state goes on to the next batch.  Batches must arrive in time order.
+# Back-fills use the batch forms instead.
 
 
-def _named(fn: Callable, columns: list[str]) -> Callable:
-    def run(key, frames, state):
-        for out in fn(key, frames, state):
-            out.columns = columns
-            yield out
+def _apply(rows: DataFrame, step: Callable, out: str, state: str) -> DataFrame:
+    """``step(state or None, frame in time order) -> (state, result columns)`` per symbol and batch."""
+    names = [c.split()[0] for c in out.split(", ")]
 
-    return run
+    def run(key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames), ignore_index=True).sort_values("bar_ts", kind="stable", ignore_index=True)
+        memory, columns = step(held.get if held.exists else None, frame)
+        held.update(memory)
+        yield pd.DataFrame({"symbol": key[0], "bar_ts": frame.bar_ts, **columns})[names]
 
-
-def _apply(rows: DataFrame, fn: Callable, out: str, state: str) -> DataFrame:
-    columns = [c.split()[0] for c in out.split(",")]
-    return rows.groupBy("symbol").applyInPandasWithState(
-        _named(fn, [c.strip() for c in columns]), out, state, "append", GroupStateTimeout.NoTimeout
-    )
+    return rows.groupBy("symbol").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_cooldown(decisions: DataFrame, days: int = 3) -> DataFrame:
-    """Block decisions until ``days`` after a strong or weak buy that was let through."""
+    """Block decisions until ``days`` after a strong or weak buy that was let through.
+
+    Only accepted buys are stepped through: each one leads to the next by a search in the sorted days.
+    """
     wait = max(1, min(14, days))
 
-    def step(until, r):
-        day = r.bar_ts.normalize()
-        blocked = until is not None and day <= until
-        if not blocked and r.decision in ("STRONG_BUY", "WEAK_BUY"):
-            until = day + wait * DAY
-        return until, (blocked, "NO_TRADE" if blocked else r.decision)
+    def step(state, f):
+        day = f.bar_ts.dt.normalize().to_numpy().astype("datetime64[D]").astype(np.int64)
+        buys = np.flatnonzero(f.decision.isin(["STRONG_BUY", "WEAK_BUY"]).to_numpy())
+        until = -(1 << 40) if state is None or state[0] is None else state[0]
+        blocked = day <= until
+        at = int(np.searchsorted(day[buys], until, "right"))
+        while at < len(buys):
+            row = int(buys[at])
+            until = int(day[row]) + wait
+            stop = int(np.searchsorted(day, until, "right"))
+            blocked[row + 1 : stop] = True
+            at = int(np.searchsorted(buys, max(stop, row + 1), "left"))
+        return (until,), {"blocked": blocked, "decision": f.decision.mask(blocked, "NO_TRADE")}
 
-    fn = _walk(step, lambda s: None if s is None or s[0] is None else pd.Timestamp(s[0]), lambda u: (None if u is None else str(u),))
-    return _apply(decisions, fn, "symbol string, bar_ts timestamp, blocked boolean, decision string", "until string")
+    return _apply(decisions, step, "symbol string, bar_ts timestamp, blocked boolean, decision string", "until bigint")
 
 
 def stream_idle_share(decisions: DataFrame, window: int = 96, least: int = 10) -> DataFrame:
     """Share of NO_TRADE among the last ``window`` decisions, read before the current one is recorded."""
 
-    def step(past, r):
-        share = sum(past) / len(past) if len(past) >= least else 0.0
-        return (past + [1 if r.decision == "NO_TRADE" else 0])[-window:], (share,)
+    def step(state, f):
+        past = list(state[0]) if state is not None else []
+        idle = pd.Series(past + (f.decision == "NO_TRADE").astype(int).tolist(), dtype=float)
+        share = idle.rolling(window, min_periods=least).mean().shift(1).fillna(0.0)
+        return (idle.tail(window).astype(int).tolist(),), {"recent_no_trade_fraction": share.to_numpy()[len(past) :]}
 
-    fn = _walk(step, lambda s: list(s[0]) if s is not None else [], lambda p: (p,))
-    return _apply(decisions, fn, "symbol string, bar_ts timestamp, recent_no_trade_fraction double", "past array<int>")
+    return _apply(decisions, step, "symbol string, bar_ts timestamp, recent_no_trade_fraction double", "past array<int>")
 
 
 def stream_trend_memory(scores: DataFrame, beta: float = 0.52) -> DataFrame:
     """Trend score pulled towards the last published one, which the result replaces."""
     b = max(0.35, min(0.72, beta))
 
-    def step(last, r):
-        z = r.score if last is None else b * last + (1.0 - b) * r.score
-        return z, (z,)
+    def step(state, f):
+        known = [state[0]] if state is not None else []
+        z = pd.Series(known + f.score.tolist(), dtype=float).ewm(alpha=1.0 - b, adjust=False).mean().to_numpy()
+        return (float(z[-1]),), {"trend_score": z[len(known) :]}
 
-    fn = _walk(step, lambda s: s[0] if s is not None else None, lambda z: (z,))
-    return _apply(scores, fn, "symbol string, bar_ts timestamp, trend_score double", "last double")
+    return _apply(scores, step, "symbol string, bar_ts timestamp, trend_score double", "last double")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
