@@ -1,10 +1,8 @@
-"""Text cleaning and lexicon sentiment, whole texts, inside the row."""
+"""Text cleaning and lexicon sentiment of whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-from tidebar.functions.arrays import asum, let
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A small default lexicon (word -> valence) and the words that negate the next one.
 LEXICON = {
@@ -17,21 +15,39 @@ LEXICON = {
 }
 NEGATIONS = ["no", "not", "never", "cannot", "without"]
 FLIP, NORM = -0.74, 15.0
+BROADCAST_WORDS = 200_000
+
+
+# What cleaning replaces, in this order.
+CLEANING = ((r"http\S+", " "), (r"www\.\S+", " "), (r"@\w+", " "), (r"#(\w+)", "$1"), (r"[^a-z\s]", " "), (r"\s+", " "))
 
 
 def clean_text(text: Column) -> Column:
     """Lower case, no links or mentions, tags as words, letters and single spaces only."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, into in ((r"http\S+", " "), (r"www\.\S+", " "), (r"@\w+", " "), (r"#(\w+)", "$1"), (r"[^a-z\s]", " "), (r"\s+", " ")):
+    for pattern, into in CLEANING:
         t = F.regexp_replace(t, pattern, into)
     return F.trim(t)
 
 
-def compound(cleaned: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Sum of word valences, flipped after a negation, squeezed into [-1, 1]; 0 for empty text."""
-    lex = LEXICON if lexicon is None else lexicon
-    table = F.create_map(*[F.lit(x) for pair in lex.items() for x in pair])
-    worth = lambda w, before: F.coalesce(F.try_element_at(table, w), F.lit(0.0)) * F.when(before.isin(NEGATIONS), FLIP).otherwise(1.0)
-    # the word list is bound once: inside the lambdas it is a variable, not the cleaning expression
-    score = lambda ws: asum(F.zip_with(ws, F.concat(F.array(F.lit("")), F.slice(ws, F.lit(1), F.size(ws) - 1)), worth))
-    return let(let(F.split(cleaned, " "), score), lambda s: s / F.sqrt(s * s + NORM))
+def lexicon_table(spark: SparkSession, words: dict[str, float] | None = None) -> DataFrame:
+    """(word, valence) rows of a lexicon."""
+    return spark.createDataFrame(sorted((LEXICON if words is None else words).items()), "word string, valence double")
+
+
+def with_compound(df: DataFrame, cleaned: str, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """``keys`` and compound: the sum of word valences, flipped after a negation, squeezed into [-1, 1].
+
+    ``keys`` tell the rows apart.  Words meet the lexicon by a join (broadcast while it has at most
+    ``BROADCAST_WORDS`` words) and are summed per row before the shuffle.  A text without known words
+    scores 0.
+    """
+    known = lexicon.groupBy("word").agg(F.max("valence").alias("valence"))
+    if known.count() <= BROADCAST_WORDS:
+        known = F.broadcast(known)
+    words = F.split(cleaned, " ")
+    before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.size(words) - 1))
+    rows = df.select(*keys, F.explode(F.arrays_zip(words.alias("word"), before.alias("before"))).alias("w")).select(*keys, "w.word", "w.before")
+    worth = F.col("valence") * F.when(F.col("before").isin(NEGATIONS), FLIP).otherwise(1.0)
+    s = F.coalesce(F.sum(worth), F.lit(0.0))
+    return rows.join(known, "word", "left").groupBy(*keys).agg(s.alias("_s")).withColumn("compound", F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORM)).drop("_s")

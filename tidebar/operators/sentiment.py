@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tidebar.functions.nulls import clip
-from tidebar.functions.text import clean_text, compound
+from tidebar.functions.text import clean_text, lexicon_table, with_compound
 from tidebar.operators.layout import blocked, lag, number_bars, own_rows, rolling
 
 
-def scored_posts(posts: DataFrame, lexicon: dict[str, float] | None = None) -> DataFrame:
-    """(symbol, day, compound) of posts (symbol, text, created_at)."""
-    return posts.select(
-        "symbol", F.to_date("created_at").alias("day"), compound(clean_text(F.col("text")), lexicon).alias("compound")
-    )
+def scored_posts(posts: DataFrame, lexicon: dict[str, float] | DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(symbol, day, compound) of posts (symbol, text, created_at); ``key`` tells posts apart."""
+    table = lexicon if isinstance(lexicon, DataFrame) else lexicon_table(posts.sparkSession, lexicon)
+    rows = posts.select(key, "symbol", F.to_date("created_at").alias("day"), clean_text(F.col("text")).alias("cleaned"))
+    return with_compound(rows, "cleaned", [key, "symbol", "day"], table).select("symbol", "day", "compound")
 
 
 def daily_sentiment(scored: DataFrame) -> DataFrame:

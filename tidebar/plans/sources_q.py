@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidebar.functions.text import clean_text, compound
+from tidebar.functions.text import clean_text, lexicon_table, with_compound
 from tidebar.operators import features as ft, metrics as mt, sentiment as se
 from tidebar.operators.layout import number_bars
 from tidebar.plans.features_q import DAY_SQL, day_col, full_sql
@@ -203,7 +203,9 @@ cmp AS (SELECT p.symbol, p.day, p.doc_id, cleaned, s / sqrt(s * s + 15) AS compo
 @query("sentiment_scores", "J3 J4", f"WITH {POSTS_SQL} SELECT doc_id, length(cleaned)::BIGINT AS clean_chars, md5(cleaned) AS clean_md5, round(compound, 6) AS compound FROM cmp")
 def sentiment_scores(spark, sf):
     p = posts(spark, sf).withColumn("c", clean_text(F.col("text")))
-    return p.select("doc_id", F.length("c").cast("bigint").alias("clean_chars"), F.md5("c").alias("clean_md5"), F.round(compound(F.col("c"), TEST_LEXICON), 6).alias("compound"))
+    p = p.select("doc_id", F.length("c").cast("bigint").alias("clean_chars"), F.md5("c").alias("clean_md5"), "c")
+    s = with_compound(p, "c", ["doc_id", "clean_chars", "clean_md5"], lexicon_table(spark, TEST_LEXICON))
+    return s.select("doc_id", "clean_chars", "clean_md5", F.round("compound", 6).alias("compound"))
 
 
 ROLL_SQL = """dly AS (SELECT symbol, day, avg(compound) AS sc_, count(*)::DOUBLE AS vol_ FROM cmp GROUP BY ALL),
