@@ -50,7 +50,7 @@ def test_probabilities_add_up():
     prefixes = Prefixes(pairs, counts)
     total = np.zeros(len(words) + 1)
     for bit in range(8):
-        x, gate, b = inputs(pairs, prefixes, bit, tables, None)
+        x, gate, b = inputs(pairs, prefixes, bit, slice(None), tables, 0)
         p = refine(np.einsum("ij,ij->i", x, w[gate]), gate, cells)
         here = pairs.place == 3
         total += np.log(np.where(b == 1, p, 1 - p)[here])

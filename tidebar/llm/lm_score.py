@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, slices, word_hashes
 from tidebar.session import cut_lineage
 
-BATCH = 8 << 20  # bytes of text whose documents share a list of pairs
+BATCH = 4 << 20  # bytes of text whose documents share a list of pairs
 BUCKET = 5 << 20  # bytes of input text per bucket
 CLASSES = 4  # of the word before
 SLOTS = 18  # bits of a hashed table
@@ -37,7 +37,8 @@ NEAR = 3  # bytes of a word that choose its bucket; longer prefixes are counted
 GATES = 12  # three for the first bytes of a word, then by how often the prefix was seen
 INPUTS = TABLES + 2  # the tables, the prefix, a constant
 STEP = 33  # cells of the refining table per gate
-CHUNK = 20_000  # pairs worked on at once
+CHUNK = 20_000  # pairs whose table counts are taken at once
+ROWS = 1 << 16  # bytes of pairs worked on at once
 RATE = 0.02
 SPACE = 32
 
@@ -66,17 +67,16 @@ class Pairs:
     def __init__(self, words: list[bytes], classes: np.ndarray):
         self.n = len(words)
         size = np.array([len(w) + 1 for w in words], np.int64)
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-        self.pair = np.repeat(np.arange(self.n), size)
+        self.byte = data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         start = np.cumsum(size) - size
-        self.place = np.arange(len(data)) - start[self.pair]
-        self.byte, self.cls = data, classes.astype(np.int64)[self.pair]
-        before = []
+        self.pair = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.place = (np.arange(len(data)) - start[self.pair]).astype(np.int32)
+        self.cls = classes.astype(np.uint8)[self.pair]
+        self.before = []  # the bytes in front: the space in front of the word, then zeros
         for k in range(1, 5):
-            b = np.full(len(data), SPACE, np.int64)
+            b = np.full(len(data), SPACE, np.uint8)
             b[k:] = data[:-k]
-            before.append(np.where(self.place >= k, b, np.where(self.place == k - 1, SPACE, 0)))
-        self.before = before
+            self.before.append(np.where(self.place >= k, b, np.where(self.place == k - 1, SPACE, 0)).astype(np.uint8))
         # fingerprint of the word's prefix at each byte, grown column by column
         self.prefix = np.zeros(len(data), np.uint64)
         left, h = np.flatnonzero(size > 1), np.full(int((size > 1).sum()), 7, np.uint64)
@@ -88,46 +88,61 @@ class Pairs:
             on = size[left] > at
             left, h = left[on], h[on]
 
-    def slots(self, bit: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Slot in each hashed table, node within the byte, and the bit itself."""
-        node = (1 << bit) | (self.byte >> (8 - bit))
-        b1, b2, b3, b4 = self.before
-        keys = [b1 << 8 | node, (b2 << 8 | b1) << 8 | node, ((b3 << 8 | b2) << 8 | b1) << 8 | node, (((b4 << 8 | b3) << 8 | b2) << 8 | b1) << 8 | node, (((self.cls << 2 | np.minimum(self.place, 3)) << 8 | b1) << 8 | np.where(self.place < 3, b2, 0)) << 8 | node]
-        slots = [keys[0]] + [(mix(k.astype(np.uint64) * np.uint64(8) + np.uint64(i)) >> np.uint64(64 - SLOTS)).astype(np.int64) for i, k in enumerate(keys[1:])]
-        return slots, node, (self.byte >> (7 - bit)) & 1
+    def parts(self):
+        """Slices of rows that are worked on at once."""
+        return [slice(a, a + ROWS) for a in range(0, len(self.byte), ROWS)]
+
+    def node(self, bit: int, rows: slice) -> np.ndarray:
+        """Bits of the byte before this one, behind a leading 1."""
+        return (1 << bit) | (self.byte[rows].astype(np.int64) >> (8 - bit))
+
+    def bit(self, bit: int, rows: slice) -> np.ndarray:
+        return (self.byte[rows].astype(np.int64) >> (7 - bit)) & 1
+
+    def slots(self, bit: int, rows: slice) -> list[np.ndarray]:
+        """Slot in each hashed table."""
+        node, place = self.node(bit, rows), self.place[rows].astype(np.int64)
+        b1, b2, b3, b4 = (b[rows].astype(np.int64) for b in self.before)
+        cls = self.cls[rows].astype(np.int64)
+        keys = [
+            (b2 << 8 | b1) << 8 | node,
+            ((b3 << 8 | b2) << 8 | b1) << 8 | node,
+            (((b4 << 8 | b3) << 8 | b2) << 8 | b1) << 8 | node,
+            (((cls << 2 | np.minimum(place, 3)) << 8 | b1) << 8 | np.where(place < 3, b2, 0)) << 8 | node,
+        ]
+        return [b1 << 8 | node] + [(mix(k.astype(np.uint64) * np.uint64(8) + np.uint64(i)) >> np.uint64(64 - SLOTS)).astype(np.int64) for i, k in enumerate(keys)]
 
 
 class Prefixes:
     """Exact counts of both bits after every prefix (with node) of the words of a bucket."""
 
     def __init__(self, pairs: Pairs, counts: np.ndarray):
-        self.rows = np.flatnonzero(pairs.place >= NEAR)
-        weight = counts[pairs.pair[self.rows]].astype(np.float64)
-        self.n = np.zeros((8, 2, len(self.rows)), np.float32)
+        rows = np.flatnonzero(pairs.place >= NEAR)
+        self.long = pairs.place >= NEAR
+        self.n = np.zeros((8, 2, len(pairs.byte)), np.float32)
+        if not len(rows):
+            return
+        weight, data, prefix = counts[pairs.pair[rows]].astype(np.float64), pairs.byte[rows], pairs.prefix[rows]
         for bit in range(8):
-            node = ((1 << bit) | (pairs.byte[self.rows] >> (8 - bit))).astype(np.uint64)
-            is_one = ((pairs.byte[self.rows] >> (7 - bit)) & 1).astype(bool)
-            _, at = np.unique(mix(pairs.prefix[self.rows] + node * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
+            node = ((1 << bit) | (data.astype(np.int64) >> (8 - bit))).astype(np.uint64)
+            is_one = ((data >> (7 - bit)) & 1).astype(bool)
+            _, at = np.unique(mix(prefix + node * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
             for b in (0, 1):
-                self.n[bit, b] = np.bincount(at, weight * (is_one == b), minlength=at.max() + 1 if len(at) else 0)[at] if len(at) else 0
+                self.n[bit, b, rows] = np.bincount(at, weight * (is_one == b))[at]
 
 
-def inputs(pairs: Pairs, prefixes: Prefixes, bit: int, tables: np.ndarray, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixer inputs, gate and bit of every row; ``without`` takes one occurrence of the row itself out."""
-    slots, _, b = pairs.slots(bit)
+def inputs(pairs: Pairs, prefixes: Prefixes, bit: int, rows: slice, tables: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mixer inputs, gate and bit of some rows; ``own`` = 1 takes one occurrence of the row itself out."""
+    b = pairs.bit(bit, rows)
     x = np.zeros((len(b), INPUTS), np.float32)
-    own = 0 if without is None else without
-    for t, s in enumerate(slots):
-        n1, n0 = tables[t, 1, s] - own * (b == 1), tables[t, 0, s] - own * (b == 0)
-        x[:, t] = stretch((np.maximum(n1, 0) + 0.4) / (np.maximum(n0, 0) + np.maximum(n1, 0) + 0.8))
-    gate = np.minimum(pairs.place, 2)
-    r = prefixes.rows
-    if len(r):
-        mine = own if np.isscalar(own) else own[r]
-        n1, n0 = np.maximum(prefixes.n[bit, 1] - mine * (b[r] == 1), 0), np.maximum(prefixes.n[bit, 0] - mine * (b[r] == 0), 0)
-        x[r, TABLES] = stretch((n1 + 0.05) / (n0 + n1 + 0.1))
-        gate[r] = 3 + np.minimum(np.log2(n0 + n1 + 1).astype(np.int64), GATES - 4)
+    for t, s in enumerate(pairs.slots(bit, rows)):
+        n1, n0 = np.maximum(tables[t, 1, s] - own * (b == 1), 0), np.maximum(tables[t, 0, s] - own * (b == 0), 0)
+        x[:, t] = stretch((n1 + 0.4) / (n0 + n1 + 0.8))
+    long = prefixes.long[rows]
+    n1, n0 = np.maximum(prefixes.n[bit, 1, rows] - own * (b == 1), 0), np.maximum(prefixes.n[bit, 0, rows] - own * (b == 0), 0)
+    x[:, TABLES] = np.where(long, stretch((n1 + 0.05) / (n0 + n1 + 0.1)), 0)
     x[:, TABLES + 1] = 0.3
+    gate = np.where(long, 3 + np.minimum(np.log2(n0 + n1 + 1).astype(np.int64), GATES - 4), np.minimum(pairs.place[rows], 2))
     return x, gate * 8 + bit, b
 
 
@@ -260,11 +275,10 @@ def table_counts(buckets: DataFrame) -> np.ndarray:
             for words, classes, counts in pairs_of(pa.table(rows.columns, names=rows.schema.names)):
                 for w, c, n_of in chunks(words, classes, counts):
                     pairs = Pairs(w, c)
-                    weight = n_of[pairs.pair].astype(float)
                     any_row = True
-                    for bit in range(8):
-                        slots, _, b = pairs.slots(bit)
-                        for t, s in enumerate(slots):
+                    for bit, part in [(x, y) for x in range(8) for y in pairs.parts()]:
+                        weight, b = n_of[pairs.pair[part]].astype(float), pairs.bit(bit, part)
+                        for t, s in enumerate(pairs.slots(bit, part)):
                             for v in (0, 1):
                                 n[t, v] += np.bincount(s[b == v], weight[b == v], 1 << SLOTS)
         if any_row:
@@ -297,11 +311,12 @@ def mixer(buckets: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
                     continue
                 pairs = Pairs(words, classes)
                 prefixes = Prefixes(pairs, counts)
-                weight = counts[pairs.pair].astype(float)
-                ready = [inputs(pairs, prefixes, bit, tables.value, np.ones(len(weight), np.float32)) for bit in range(8)]
-                for a in range(0, len(weight), 4096):
-                    for x, gate, b in ready:
-                        learner.learn(x[a : a + 4096], gate[a : a + 4096], b[a : a + 4096], weight[a : a + 4096])
+                for part in pairs.parts():
+                    weight = counts[pairs.pair[part]].astype(float)
+                    ready = [inputs(pairs, prefixes, bit, part, tables.value, 1) for bit in range(8)]
+                    for a in range(0, len(weight), 4096):
+                        for x, gate, b in ready:
+                            learner.learn(x[a : a + 4096], gate[a : a + 4096], b[a : a + 4096], weight[a : a + 4096])
                 total += counts.sum()
         if total:
             yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps((learner.w, learner.cells, total))], pa.binary())})
@@ -320,10 +335,10 @@ def score_words(words, classes, counts, tables, w, cells) -> np.ndarray:
     pairs = Pairs(words, classes)
     prefixes = Prefixes(pairs, counts)
     out = np.zeros(pairs.n)
-    for bit in range(8):
-        x, gate, b = inputs(pairs, prefixes, bit, tables, None)
+    for bit, part in [(x, y) for x in range(8) for y in pairs.parts()]:
+        x, gate, b = inputs(pairs, prefixes, bit, part, tables, 0)
         p = refine(np.einsum("ij,ij->i", x, w[gate]), gate, cells)
-        out += np.bincount(pairs.pair, np.log10(np.where(b == 1, p, 1 - p)), pairs.n)
+        out += np.bincount(pairs.pair[part], np.log10(np.where(b == 1, p, 1 - p)), pairs.n)
     return out
 
 
