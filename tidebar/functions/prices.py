@@ -24,6 +24,7 @@ def round_price(x: Column, reference: Column) -> Column:
 
 # Name parts that put a feature in the volatility/momentum view, and the whole
 # names and name starts that put it in the interaction/trend view.
+# Feature name groups.
 MOMENTUM_PARTS = [
     "atr_14", "rolling_volatility_14", "ewma_vol", "rolling_std_logret", "vol_regime_encoded", "vol_expansion",
     "compression_expansion", "bb_", "macd_", "rsi_14", "roc_", "daily_return", "return_", "log_return_1d",

@@ -16,6 +16,7 @@ from tidebar.operators.layout import blocked, lag, own_rows, rolling, trailing
 
 KEY = ["symbol", "bar_ts", "bar_no"]
 
+# Feature names, in order, and the lags used.
 CORE = [
     "return_1d", "return_5d", "return_10d", "return_20d", "realized_vol_5d", "realized_vol_20d",
     "vol_ratio", "rsi_14", "bb_position", "close_vs_sma20", "volume_ratio", "volume_trend",
