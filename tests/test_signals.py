@@ -131,3 +131,23 @@ def test_row_audit(spark):
     df = spark.createDataFrame([(1.0, None, float("inf"), 1e9, 5.0)], "a double, b double, c double, d double, target_x double")
     issues = df.select(rp.audit_issues(["a", "b", "c", "d", "target_x"]).alias("i")).first().i
     assert issues == ["NaN in b", "Non-finite in c", "Extreme magnitude in d"]
+
+
+def test_decision_sentence(spark):
+    row = {**BASE, "final_prediction": 100.5}
+    df = sg.with_decision(spark.createDataFrame([tuple(BASE.values()), tuple(row.values())], list(BASE)))
+    yes, no = [r[0] for r in df.select(sg.decision_sentence()).collect()]
+    assert yes == "BUY allowed: move STRONG"
+    assert no.startswith("NO_TRADE: ") and "expected move too small" in no
+
+
+def test_member_prices_follow_the_smoothed_path(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    prices = F.array(F.lit(90.0), F.lit(110.0))
+    assert one(ph.scaled_members(prices, F.lit(100.0), F.lit(105.0))) == pytest.approx([94.5, 115.5])
+    assert one(ph.scaled_members(prices, F.lit(0.0), F.lit(5.0))) == [90.0, 110.0]
+
+
+@pytest.mark.parametrize("vol,level", [(None, "UNKNOWN"), (0.01, "LOW"), (0.015, "MEDIUM"), (0.04, "HIGH")])
+def test_volatility_level(spark, vol, level):
+    assert spark.range(1).select(ph.volatility_level(F.lit(vol).cast("double"))).first()[0] == level

@@ -200,6 +200,15 @@ sc AS (SELECT doc_id, coalesce(sum(CASE WHEN p IN ('no', 'not', 'never', 'cannot
 cmp AS (SELECT p.symbol, p.day, p.doc_id, cleaned, s / sqrt(s * s + 15) AS compound FROM posts p JOIN sc USING (doc_id))"""
 
 
+@query("union_of_assets", "A4", f"WITH {bars_cte()} SELECT symbol, {DAY_SQL}, round(open, 6) AS open, round(close, 6) AS close, volume FROM bars")
+def union_of_assets(spark, sf):
+    """One frame per asset, put together again."""
+    bars = cut_lineage(daily(spark, sf))
+    frames = {s: bars.where(F.col("symbol") == s).drop("symbol") for s in SEGMENTS}
+    u = src.union_assets(frames)
+    return u.select("symbol", day_col(), *rounded(u, ["open", "close"]), "volume")
+
+
 @query("sentiment_scores", "J3 J4", f"WITH {POSTS_SQL} SELECT doc_id, length(cleaned)::BIGINT AS clean_chars, md5(cleaned) AS clean_md5, round(compound, 6) AS compound FROM cmp")
 def sentiment_scores(spark, sf):
     p = posts(spark, sf).withColumn("c", clean_text(F.col("text")))
