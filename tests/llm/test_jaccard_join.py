@@ -58,10 +58,10 @@ def corpus(seed, families=14, common=True):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,least", [(1, 16), (2, 4), (3, 1000)])
-def test_brute_force(docs_of, seed, least):
+@pytest.mark.parametrize("seed,least,most,frequent", [(1, 16, 16, 4000000), (2, 4, 2, 4000000), (3, 2, 5, 60), (4, 1000, 1, 10)])
+def test_brute_force(docs_of, seed, least, most, frequent):
     rows = corpus(seed)
-    got = jaccard_components(docs_of(rows), least_df=least, bucket=20000)
+    got = jaccard_components(docs_of(rows), least_df=least, bucket=20000, most=most, frequent=frequent)
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows))
 
 

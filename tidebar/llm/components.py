@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidebar.session import cut_lineage
 
+EDGES = 100_000  # edges per task
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) for every node of links (a, b).
@@ -19,14 +21,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(edges)
     state = _state(edges)
     while True:
+        few = max(4, state[0] // EDGES + 1)  # the shuffle's partitions are read by as many tasks as the edges need
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.where("u <> v").distinct())
+        large = cut_lineage(large.where("u <> v").distinct().coalesce(few))
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(least, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        edges = cut_lineage(small.where("u <> v").distinct())
+        edges = cut_lineage(small.where("u <> v").distinct().coalesce(few))
         now = _state(edges)
         if now == state:
             break

@@ -1,17 +1,17 @@
 """Exact Jaccard join on word shingles by a grouped prefix join, and its components.
 
-1. *Order.*  Shingles are counted over all documents.  Those in at least ``least_df`` documents are
-   frequent; the bound keeps their number under ``FREQUENT`` whatever the corpus (occurrences of all
-   shingles divided by ``least_df``), so the table is broadcast.  The global order puts rarer
+1. *Order.*  Shingles are counted over all documents.  Those in at least ``LEAST_DF`` documents are
+   frequent; if there are more than ``FREQUENT``, only those above the first power of two that
+   leaves no more are, so the table has a bounded size and is broadcast.  The global order puts rarer
    shingles first, by powers of two of their count, then by hash.
 2. *Prefixes.*  Two sets with the wanted similarity share a shingle among the first
    ``n - ceil(t * n) + 1`` of each.  Documents with the same prefix and size form one group, and only
    groups are indexed, each under the shingles of its prefix.
-3. *Group pairs.*  Groups that share a rare shingle and have sizes within the bound become pairs; a
+3. *Group pairs.*  Groups in one list of the index that have sizes within the bound become pairs; a
    pair stays if the shared prefix shingles and the rest of the sets can still reach the overlap.
-   Shingles that are frequent stand in a prefix only where nearly the whole set is frequent (large
-   families of near copies).  Their lists are never paired off: every group meets the list's two
-   hubs, and afterwards only groups that are not yet in the list's main component meet the others.
+   Lists of more than ``LONG`` groups are never paired off (with the order above they arise only where
+   nearly all shingles of a set are frequent, in large families of near copies): their groups meet a
+   few hubs, and afterwards only groups that are not yet in the list's main component meet the others.
 4. *Members.*  Pairs are expanded to distinct sets and verified on the texts, first along hubs, then
    every candidate pair whose ends lie in different components.  Pairs inside a component cannot
    change it, so no link between components is lost and families are not paired off.
@@ -32,12 +32,14 @@ from tidebar.session import cut_lineage
 
 SHINGLE = 5  # words
 SHARE = 75  # hundredths of the union that the intersection must reach
-FREQUENT = 8_000_000  # bound on the table of frequent shingles
+FREQUENT = 4_000_000  # bound on the table of frequent shingles (five bytes each)
 LEAST_DF = 16
+LONG = 16  # groups in a list of the index that are still paired off
+HUBS = 4  # hubs that each group outside a list's main component meets per round
+ROUNDS = 2
 BUCKET = 12_000_000  # bytes of text whose shingles one bucket holds
-FLUSH = 4_000_000  # shingles gathered before they are dealt to buckets
+FLUSH = 2_000_000  # shingles gathered before they are dealt to buckets
 SIZE = (1 << 24) - 1  # largest set size that a group id holds; larger ones share it
-MIXED = 1 << 24  # bit of a group id: its prefix holds frequent shingles
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -78,8 +80,8 @@ def spread(keys: np.ndarray, bits: int):
         yield int(bucket[a]), a, b
 
 
-def frequent_shingles(docs: DataFrame, bits: int, least_df: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (the first 32 + bits bits) of frequent shingles, sorted, and the level of each."""
+def frequent_shingles(docs: DataFrame, bits: int, least_df: int, most: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (the first 32 + bits bits) of frequent shingles, sorted, and the level of each; at most ``most``."""
 
     def count(batches):
         held, size = [], 0
@@ -108,9 +110,26 @@ def frequent_shingles(docs: DataFrame, bits: int, least_df: int, k: int) -> tupl
         total = np.add.reduceat(n, first)
         often = total >= least_df
         level = np.floor(np.log2(total[often])).astype(np.uint8)
-        return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([keys[first][often].tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary())})
-
-    found = docs.mapInArrow(count, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(common, "bucket int, keys binary, levels binary").where("length(keys) > 0").collect()
+        sizes = np.bincount(level, minlength=64)
+        return pa.table({"bucket": table.column("bucket")[:1], "keys": pa.array([keys[first][often].tobytes()], pa.binary()), "levels": pa.array([level.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
+
+    kinds = "bucket int, keys binary, levels binary, sizes array<long>"
+    counted = cut_lineage(docs.mapInArrow(count, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(common, kinds).where("length(keys) > 0"))
+    sizes = {r.pos: r.n for r in counted.select(F.posexplode("sizes").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+    least = 0
+    while sum(n for level, n in sizes.items() if level >= least) > most:
+        least += 1
+
+    def above(batches):
+        for rows in batches:
+            keys, levels = [], []
+            for x, y in zip(rows.column("keys").to_pylist(), rows.column("levels").to_pylist()):
+                level = np.frombuffer(y, np.uint8)
+                keys.append(np.frombuffer(x, np.uint32)[level >= least].tobytes())
+                levels.append(level[level >= least].tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column("bucket"), pa.array(keys, pa.binary()), pa.array(levels, pa.binary())], ["bucket", "keys", "levels"])
+
+    found = counted.select("bucket", "keys", "levels").mapInArrow(above, "bucket int, keys binary, levels binary").collect()
     found.sort(key=lambda r: r.bucket)
     keys = [np.frombuffer(r["keys"], np.uint32).astype(np.uint64) + np.uint64(r.bucket << 32) for r in found]
     none = [np.zeros(0, np.uint64)]
@@ -139,8 +158,8 @@ class Order:
         return (level << np.uint64(58)) | (tokens >> np.uint64(6))
 
 
-def index(docs: DataFrame, order, bits: int, share: int, k: int, buckets: int) -> DataFrame:
-    """kind 0: documents (doc_id, group, set, n); kind 1: group pairs (a, b, shared); kind 2: frequent lists (rank, group)."""
+def index(docs: DataFrame, order, bits: int, share: int, k: int, buckets: int, most: int) -> DataFrame:
+    """kind 0: documents (doc_id, group, set, n); kind 1: group pairs (a, b, shared); kind 2: long lists (rank, group)."""
 
     def postings(batches):
         ranks, groups, size, no = [], [], 0, 0
@@ -172,8 +191,7 @@ def index(docs: DataFrame, order, bits: int, share: int, k: int, buckets: int) -
                 pedge = np.concatenate([[0], np.cumsum(take)])[:-1][full]
                 whole[full] = mix(np.add.reduceat(mix(tokens), edge[:-1][full]) + n[full].astype(np.uint64))
                 head[full] = mix(np.add.reduceat(mix(flat), pedge))
-                mixed = np.maximum.reduceat(flat, pedge) >> np.uint64(58) > 0
-                head[full] = (head[full] << np.uint64(25)) | (mixed.astype(np.uint64) * np.uint64(MIXED)) | np.minimum(n[full], SIZE).astype(np.uint64)
+                head[full] = (head[full] << np.uint64(24)) | np.minimum(n[full], SIZE).astype(np.uint64)
                 ranks.append(flat)
                 groups.append(np.repeat(head, take))
                 size += len(flat)
@@ -208,7 +226,9 @@ def index(docs: DataFrame, order, bits: int, share: int, k: int, buckets: int) -
         some[1:] |= same
         some[:-1] |= same
         rank, group, n = rank[some], group[some], n[some]
-        hot = rank >> np.uint64(58) > 0
+        first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, np.int64)
+        length = np.diff(np.append(first, len(rank)))
+        hot = np.repeat(length > most, length)
         lists = (rank[hot].view(np.int64), group[hot].view(np.int64))
         rank, group, n = rank[~hot], group[~hot], n[~hot]
         left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -240,9 +260,11 @@ def similar(pairs: DataFrame, texts: DataFrame, share: int, k: int) -> DataFrame
 
     def verify(batches):
         for rows, left in slices(batches, "text_a"):
-            la, lb = shingle_sets(left, k), shingle_sets([t or b"" for t in rows.column("text_b").cast(pa.binary()).to_pylist()], k)
+            right = [t or b"" for t in rows.column("text_b").cast(pa.binary()).to_pylist()]
+            each = list(dict.fromkeys(left + right))  # a hub stands in many pairs
+            sets = dict(zip(each, shingle_sets(each, k)))
             ok = []
-            for x, y in zip(la, lb):
+            for x, y in zip(map(sets.get, left), map(sets.get, right)):
                 both = np.sort(np.concatenate([x, y]))
                 inside = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * inside >= share * (len(both) - inside))
@@ -254,7 +276,7 @@ def similar(pairs: DataFrame, texts: DataFrame, share: int, k: int) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, frequent: int = FREQUENT, least_df: int = LEAST_DF, bucket: int = BUCKET) -> DataFrame:
+def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, frequent: int = FREQUENT, least_df: int = LEAST_DF, bucket: int = BUCKET, most: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of ``docs``.
 
     Words are runs of non-blank characters with A-Z lowered.  A document with fewer than ``k`` words
@@ -267,52 +289,69 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (max(1, total // bucket) - 1).bit_length())
-    least_df = max(least_df, -(-total // (2 * frequent)))  # a shingle occurrence takes two bytes at least
-    order = spark.sparkContext.broadcast(Order(*frequent_shingles(texts, bits, least_df, k), bits))
-    found = cut_lineage(index(texts, order, bits, share, k, 1 << bits))
+    order = spark.sparkContext.broadcast(Order(*frequent_shingles(texts, bits, least_df, frequent, k), bits))
+    found = cut_lineage(index(texts, order, bits, share, k, 1 << bits, most))
 
     members = found.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("g"), F.col("z").alias("set_id"), F.col("w").alias("n"))
-    sets = members.where("n > 0").groupBy("set_id", "g").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    sets = members.where("n > 0").groupBy("set_id", "g").agg(F.min("doc_id").alias("doc_id"))
     by_group = sets.groupBy("g").agg(F.min("set_id").alias("rep"), F.count("*").alias("sets"))
+    many = by_group.where("sets > 1")
+    lists = found.where("kind = 2").select(F.col("x").alias("rank"), F.col("y").alias("g"))
 
     size = lambda c: F.col(c).bitwiseAND(SIZE)
-    rest = lambda c: size(c) - (size(c) - F.floor((share * size(c) + 99) / 100) + 1)
+    rest = lambda c: F.floor((share * size(c) + 99) / 100) - 1  # noqa: E731  elements outside the prefix
     need = F.ceil(share * (size("a") + size("b")) / (100 + share))
-    unsure = (F.col("a").bitwiseAND(MIXED) + F.col("b").bitwiseAND(MIXED) > 0) | (F.greatest(size("a"), size("b")) == SIZE)
+    in_long = lists.groupBy("g").agg(F.count("*").alias("q"))
     pairs = found.where("kind = 1").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("z").alias("c"))
-    pairs = cut_lineage(pairs.where(unsure | (F.col("c") + F.greatest(rest("a"), rest("b")) >= need)).select("a", "b"))
-    lists = found.where("kind = 2").select(F.col("x").alias("rank"), F.col("y").alias("g"))
+    for c in ("a", "b"):
+        pairs = pairs.join(in_long.select(F.col("g").alias(c), F.col("q").alias(f"q{c}")), c, "left")
+    seen = F.col("c") + F.least(F.coalesce("qa", F.lit(0)), F.coalesce("qb", F.lit(0)))  # shared in the prefixes, at most
+    pairs = cut_lineage(pairs.where((seen + F.greatest(rest("a"), rest("b")) >= need) | (F.greatest(size("a"), size("b")) == SIZE)).select("a", "b"))
     fits = lambda a, b: (100 * F.least(size(a), size(b)) >= share * F.greatest(size(a), size(b))) | (F.greatest(size(a), size(b)) == SIZE)
 
-    # first round: every group with its smallest and largest partner, with the hubs of its lists, and inside itself
+    # first: every group with two partners that its neighbours are likely to choose too, and every group inside itself
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both.groupBy("a").agg(F.min("b").alias("h0"), F.max("b").alias("h1"))
-    hubs = hubs.select("a", F.explode(F.array("h0", "h1")).alias("b"))
-    listed = lists.groupBy("rank").agg(F.min("g").alias("h0"), F.max("g").alias("h1")).select("rank", F.explode(F.array("h0", "h1")).alias("h"))
-    listed = lists.join(listed, "rank").where(fits("g", "h")).select(F.col("g").alias("a"), F.col("h").alias("b"))
-    group_pairs = hubs.unionByName(listed).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    chosen = lambda c, salt: F.min_by(c, F.xxhash64(c, F.lit(salt)))
+    salts = (0, 1)
+    heads = lists.groupBy("rank").agg(*[chosen("g", i).alias(f"h{i}") for i in salts])
+    near = lists.join(heads, "rank").groupBy("g").agg(*[chosen(f"h{i}", i).alias(f"h{i}") for i in salts])
+    near = near.unionByName(both.groupBy(F.col("a").alias("g")).agg(*[chosen("b", i).alias(f"h{i}") for i in salts]))
+    near = near.select(F.col("g").alias("a"), F.explode(F.array(*[f"h{i}" for i in salts])).alias("b")).where(F.col("a") != F.col("b")).where(fits("a", "b"))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     ga, gb = (by_group.select(F.col("g").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b"))
-    starts = group_pairs.join(ga, "a").join(gb, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    inside = sets.join(by_group.where("sets > 1"), "g").select(F.col("rep").alias("a"), F.col("set_id").alias("b"))
-    first = cut_lineage(starts.unionByName(inside).where("a <> b").distinct())
+    starts = near.join(ga, "a").join(gb, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    inside = sets.join(many, "g").select(F.col("rep").alias("a"), F.col("set_id").alias("b"))
 
     # texts of all sets that can take part in any round
-    asked = both.select(F.col("a").alias("g")).unionByName(lists.select("g")).unionByName(by_group.where("sets > 1").select("g")).distinct()
+    asked = both.select(F.col("a").alias("g")).unionByName(lists.select("g")).unionByName(many.select("g")).distinct()
     asked = cut_lineage(sets.join(asked, "g", "left_semi"))
     plain = texts.withColumnRenamed("doc_id", "id")
-    picked = asked.join(plain, F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text")
-    picked = cut_lineage(_own_texts(picked, k))
-    links = cut_lineage(similar(first, picked, share, k))
+    picked = cut_lineage(_own_texts(asked.join(plain, F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), k))
+    links = cut_lineage(similar(starts.unionByName(inside).where("a <> b").distinct(), picked, share, k))
     roots = components(links)
 
-    # second round: candidate pairs whose ends are not in one component yet
-    placed = cut_lineage(asked.select("set_id", "g").join(roots, F.col("set_id") == F.col("node"), "left").select("g", "set_id", F.coalesce("root", "set_id").alias("root")))
+    groups = asked.select("set_id", "g")
+    listed = cut_lineage(lists.select(F.col("rank").alias("key"), "g").unionByName(many.select(F.col("g").alias("key"), "g")).join(groups, "g"))
+    for turn in range(ROUNDS):
+        # sets outside the main component of a list meet some of it
+        hot = _split(listed, roots)
+        hubs = hot.where("root = main").groupBy("key").agg(*[chosen("set_id", 10 * turn + i + 2).alias(f"h{i}") for i in range(HUBS)])
+        out = hot.where("root <> main").join(hubs, "key").groupBy("set_id").agg(*[chosen(f"h{i}", 10 * turn + i + 2).alias(f"h{i}") for i in range(HUBS)])
+        more = out.select("set_id", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("h"))
+        more = cut_lineage(similar(more.select(F.least("set_id", "h").alias("a"), F.greatest("set_id", "h").alias("b")).distinct(), picked, share, k))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+
+    # last: every candidate pair whose ends are not in one component yet
+    placed = cut_lineage(groups.join(roots, F.col("set_id") == F.col("node"), "left").select("g", "set_id", F.coalesce("root", "set_id").alias("root")))
     pa_, pb_ = (placed.select(F.col("g").alias(x), F.col("set_id").alias(f"s{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
-    cross = pairs.join(pa_, "a").join(pb_, "b").where("ra <> rb").select("sa", "sb")
-    many = placed.join(by_group.where("sets > 1").select("g"), "g", "left_semi")
-    cross = cross.unionByName(_meet(many.withColumnRenamed("g", "key"), F.lit(True)))
-    hot = lists.join(placed, "g").select(F.col("rank").alias("key"), "g", "set_id", "root")
-    cross = cross.unionByName(_meet(hot, fits("g", "og")))
+    cross = pairs.join(pa_, "a").join(pb_, "b").where("ra <> rb")
+    hot = _split(listed, roots)
+    other = hot.where("root <> main").select("key", F.col("g").alias("og"), F.col("set_id").alias("oset"), F.col("root").alias("oroot"))
+    met = hot.join(other, "key").where(F.col("root") != F.col("oroot")).where(fits("g", "og"))
+    cross = cross.select("sa", "sb").unionByName(met.select(F.col("set_id").alias("sa"), F.col("oset").alias("sb")))
     cross = cross.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
     more = cut_lineage(similar(cross, picked, share, k))
     if not more.isEmpty():
@@ -340,12 +379,12 @@ def _own_texts(picked: DataFrame, k: int) -> DataFrame:
     return picked.mapInArrow(check, picked.schema).dropDuplicates(["set_id"])
 
 
-def _meet(rows: DataFrame, fits) -> DataFrame:
-    """Pairs of rows of a list (key) in different components, one end outside the list's main component."""
-    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    split = rows.join(main.select("key", "main"), "key")
-    other = split.where("root <> main").select("key", *[F.col(c).alias(f"o{c}") for c in rows.columns if c != "key"])
-    return split.join(other, "key").where(F.col("root") != F.col("oroot")).where(fits).select(F.col("set_id").alias("sa"), F.col("oset_id").alias("sb")).distinct()
+def _split(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists (key, g, set_id) that hold several components, with each row's root and the list's main root."""
+    rows = listed.join(roots, F.col("set_id") == F.col("node"), "left").select("key", "g", "set_id", F.coalesce("root", "set_id").alias("root"))
+    rows = cut_lineage(rows.coalesce(max(4, roots.sparkSession.sparkContext.defaultParallelism)))
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    return rows.join(main, "key")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
