@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-LAST = np.uint64(1 << 63)  # set in the order of values that are too frequent to lead a bucket
+from tidebar.session import cut_lineage
+
+LAST = np.uint64(1 << 63)  # set in the order of values that are too frequent to lead a bucket; others lack it
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -43,12 +45,18 @@ def frequent(leads: DataFrame, most: int) -> np.ndarray:
 
     ``leads`` has (value, runs), counted per batch before the shuffle.
     """
-    counted = leads.groupBy("value").agg(F.sum("runs").alias("runs"))
-    total = leads.agg(F.sum("runs")).first()[0] or 0
-    rows = counted.where(F.col("runs") > max(1000, total // most)).select("value").collect()
+    counted = cut_lineage(leads.groupBy("value").agg(F.sum("runs").alias("runs")))
+    total = counted.where("value = -1").agg(F.sum("runs")).first()[0] or 0
+    rows = counted.where((F.col("value") >= 0) & (F.col("runs") > max(1000, total // most))).select("value").collect()
     return np.sort(np.array([r.value for r in rows], np.int64).view(np.uint64))
 
 
 def lead_rows(values: np.ndarray) -> pa.RecordBatch:
-    values, runs = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(runs.astype(np.int64))], ["value", "runs"])
+    """Runs per leading value of a batch, and of all under -1.
+
+    A value that leads one in a few thousand runs leads several in any batch, so values that lead a
+    single one are left out.
+    """
+    found, runs = np.unique(values, return_counts=True)
+    found, runs = found[runs > 1], runs[runs > 1]
+    return pa.RecordBatch.from_arrays([pa.array(np.append(found.astype(np.int64), -1)), pa.array(np.append(runs, len(values)).astype(np.int64))], ["value", "runs"])

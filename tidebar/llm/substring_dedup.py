@@ -24,23 +24,23 @@ from tidebar.session import cut_lineage
 
 WINDOW = 50  # words
 GRAM = 4  # words of a minimiser
-BATCH = 8 << 20  # bytes of text settled together before the shuffle
-BUCKET = 6 << 20  # bytes of input text per bucket (super-k-mers overlap, so a bucket holds about three times that)
-LEADS = 100_000  # a minimiser that leads more than one in so many runs is frequent
+BATCH = 4 << 20  # bytes of text settled together before the shuffle
+BUCKET = 4 << 20  # bytes of input text per bucket (super-k-mers overlap, so a bucket holds about three times that)
+LEADS = 10_000  # a minimiser that leads more than one in so many runs is frequent
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: larger than any other
 
 
 class Batch:
     """Windows of some documents, with those settled that repeat a smaller document among them."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, window: int):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, window: int, settle: bool = True):
         self.words, self.window = Words(texts), window
         w = self.words
         self.at = np.flatnonzero(w.left >= window)  # word index of every window
         self.doc = w.doc[self.at]
         self.ids = ids
         self.settled = np.zeros(len(self.at), bool)
-        if len(self.at):
+        if settle and len(self.at):
             self.key = ngram_hashes(w.hashes, window)[self.at]
             self.settled = repeats(w, self.at, self.key, ids[self.doc], window)
 
@@ -102,7 +102,7 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
 
     def counted(batches):
         for rows, texts in slices(batches, limit=batch):
-            b = Batch(texts, ids_of(rows), window)
+            b = Batch(texts, ids_of(rows), window, settle=False)
             lead = b.leads(gram, none)
             starts = [a for a, _ in b.runs(~b.settled, lead)]
             yield lead_rows(lead[starts])

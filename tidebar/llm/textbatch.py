@@ -27,6 +27,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+LETTERS = mix(np.arange(1, 257, dtype=np.uint64))  # one number per byte
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
@@ -96,17 +99,22 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each byte span."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+    """A 64-bit fingerprint of each byte span; about ``part`` bytes are worked on at once."""
+    out = np.zeros(len(starts), np.uint64)
     lens = (ends - starts).astype(np.int64)
-    edge = np.concatenate([[0], np.cumsum(lens)])
-    inside = np.arange(edge[-1]) - np.repeat(edge[:-1], lens)
-    letters = buf[inside + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)
-    parts = mix(letters) if len(letters) < 512 else mix(np.arange(1, 257, dtype=np.uint64))[letters.astype(np.int64) - 1]
-    parts *= powers(BASE, int(lens.max()))[inside]
-    return mix(np.add.reduceat(parts, edge[:-1]))
+    upto = np.cumsum(lens)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + part, "right")))
+        n = lens[a:b]
+        edge = np.cumsum(n) - n
+        inside = np.arange(int(n.sum())) - np.repeat(edge, n)
+        parts = LETTERS[buf[inside + np.repeat(starts[a:b], n)]]
+        parts *= powers(BASE, int(n.max()))[inside]
+        out[a:b] = mix(np.add.reduceat(parts, edge))
+        a = b
+    return out
 
 
 def ngram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
