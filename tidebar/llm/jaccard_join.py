@@ -331,7 +331,9 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
     roots = components(links)
 
     groups = asked.select("set_id", "g")
-    listed = cut_lineage(lists.select(F.col("rank").alias("key"), "g").unionByName(many.select(F.col("g").alias("key"), "g")).join(groups, "g"))
+    # with how many long lists a group is in: what two groups can share there
+    listed = lists.join(in_long, "g").select(F.col("rank").alias("key"), "g", "q")
+    listed = cut_lineage(listed.unionByName(many.select(F.col("g").alias("key"), "g", F.lit(1 << 40).alias("q"))).join(groups, "g"))
     for turn in range(ROUNDS):
         # sets outside the main component of a list meet some of it
         hot = _split(listed, roots)
@@ -349,8 +351,10 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
     pa_, pb_ = (placed.select(F.col("g").alias(x), F.col("set_id").alias(f"s{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
     cross = pairs.join(pa_, "a").join(pb_, "b").where("ra <> rb")
     hot = _split(listed, roots)
-    other = hot.where("root <> main").select("key", F.col("g").alias("og"), F.col("set_id").alias("oset"), F.col("root").alias("oroot"))
-    met = hot.join(other, "key").where(F.col("root") != F.col("oroot")).where(fits("g", "og"))
+    other = hot.where("root <> main").select("key", F.col("g").alias("og"), F.col("set_id").alias("oset"), F.col("root").alias("oroot"), F.col("q").alias("oq"))
+    # pairs that also share short lists are in ``pairs``; these share long ones only, at most as many as either is in
+    reach = F.least("q", "oq") + F.greatest(rest("g"), rest("og")) >= F.ceil(share * (size("g") + size("og")) / (100 + share))
+    met = hot.join(other, "key").where((F.col("root") != F.col("oroot")) & fits("g", "og") & (reach | (F.greatest(size("g"), size("og")) == SIZE)))
     cross = cross.select("sa", "sb").unionByName(met.select(F.col("set_id").alias("sa"), F.col("oset").alias("sb")))
     cross = cross.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
     more = cut_lineage(similar(cross, picked, share, k))
@@ -380,8 +384,8 @@ def _own_texts(picked: DataFrame, k: int) -> DataFrame:
 
 
 def _split(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists (key, g, set_id) that hold several components, with each row's root and the list's main root."""
-    rows = listed.join(roots, F.col("set_id") == F.col("node"), "left").select("key", "g", "set_id", F.coalesce("root", "set_id").alias("root"))
+    """Lists (key, g, set_id, q) that hold several components, with each row's root and the list's main root."""
+    rows = listed.join(roots, F.col("set_id") == F.col("node"), "left").select("key", "g", "set_id", "q", F.coalesce("root", "set_id").alias("root"))
     rows = cut_lineage(rows.coalesce(max(4, roots.sparkSession.sparkContext.defaultParallelism)))
     main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     return rows.join(main, "key")
