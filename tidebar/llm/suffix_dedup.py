@@ -35,9 +35,9 @@ from tidebar.session import cut_lineage
 
 WINDOW = 100  # bytes, at most 255
 GRAM = 16  # bytes of an anchor
-BATCH = 4 << 20  # bytes of text settled together before the shuffle
+BATCH = 2 << 20  # bytes of text settled together before the shuffle
 BUCKET = 5 << 20  # bytes of input text per bucket (the windows sent there are about three times that)
-LEADS = 100_000  # an anchor that leads more than one in so many runs is frequent
+LEADS = 10_000  # an anchor that leads more than one in so many runs is frequent
 QUEUE = 60_000  # suffix tuples held in memory before a sorted run goes to disk
 INDUCE = 60_000  # anchors that are induced together; more only if they share their first bytes
 OFFSET = np.uint64(127)
@@ -47,7 +47,7 @@ FREQUENT = np.uint64(1 << 63)
 class Batch:
     """Windows of some documents in order of precedence, with those settled that repeat an earlier one."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, window: int):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, hashes: np.ndarray, window: int, settle: bool = True):
         order = np.lexsort((hashes, ids))
         order = order[run_starts(ids[order], hashes[order])] if len(order) else order  # repeats of a row are one
         self.ids, self.hashes, self.window = ids[order], hashes[order], window
@@ -58,7 +58,7 @@ class Batch:
         self.doc = np.repeat(np.arange(len(size)), count)
         self.at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.first[self.doc]
         letters = mix(np.arange(256, dtype=np.uint64))[np.frombuffer(self.data, np.uint8)]
-        self.settled = earlier(self.data, self.at, ngram_hashes(letters, window)[self.at], window) if len(self.at) else np.zeros(0, bool)
+        self.settled = earlier(self.data, self.at, ngram_hashes(letters, window)[self.at], window) if settle and len(self.at) else np.zeros(len(self.at), bool)
         self.letters = letters
 
     def anchors(self, gram: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +88,10 @@ class Batch:
 
 def earlier(data: bytes, at: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
     """Which windows repeat one before them: by fingerprint, confirmed on the bytes stretch by stretch."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = run_starts(key[order])
     lead = np.empty(len(at), np.int64)
-    lead[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
+    lead[order] = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
     out = lead < np.arange(len(at))
     check = np.flatnonzero(out)
     if not len(check):
@@ -226,7 +226,7 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
 
     def counted(batches):
         for rows, texts in slices(batches, limit=batch):
-            b = Batch(texts, ids_of(rows), rows.column("h").to_numpy(), window)
+            b = Batch(texts, ids_of(rows), rows.column("h").to_numpy(), window, settle=False)
             value, anchor = b.anchors(gram, none)
             yield lead_rows(value[b.runs(~b.settled, anchor)[0]])
 
