@@ -1,10 +1,11 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidebar.llm.queries import QUERIES
-from tidebar.llm.toxicity import clean_rows, toxicity
+from tidebar.llm.toxicity import clean_rows, fit, term_pairs, toxicity
 
 
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
@@ -31,6 +32,30 @@ def test_interaction(spark, docs_of):
     assert all(got[i] == kinds[i % 4][1] for i in got)
 
 
+def many_neutral(n=1600):
+    """Pairs decide: each of the four terms is as frequent in one class as in the other; 20000 other words say nothing."""
+    rng = np.random.default_rng(1)
+    kinds = [("red blue", 1), ("green gold", 1), ("red gold", 0), ("green blue", 0)]
+    return [(i, " ".join(f"{x:05x}" for x in rng.integers(0, 20000, 60)) + " " + kinds[i % 4][0], kinds[i % 4][1]) for i in range(n)]
+
+
+def test_interaction_among_neutral_words(spark, docs_of):
+    rows = many_neutral()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity(docs_of([r[:2] for r in rows]), labels).collect() if r.held_out]
+    assert len(got) > 250 and sum(r.predicted == rows[r.doc_id][2] for r in got) > 0.95 * len(got)
+
+
+def test_every_bucket_has_parameters():
+    # an insult in five texts of 1605 and 20000 words that differ by chance
+    rows = many_neutral() + [(0, "zounds", 1)] * 5
+    doc, bucket = term_pairs([t.encode() for _, t, _ in rows])
+    model = fit(doc, bucket, np.array([y for *_, y in rows]), 0.5)
+    assert set(model["chosen"]) == set(bucket) and (model["v"] != 0).any(1).all()
+    rare = term_pairs([b"zounds"])[1]
+    assert (model["w"][np.isin(model["chosen"], rare)] > 0).all()
+
+
 def test_edges(spark, docs_of):
     docs = docs_of([(1, None), (2, ""), (None, "x"), (3, "y " * 10000), (3, "y")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

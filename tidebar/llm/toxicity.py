@@ -5,7 +5,8 @@ The pair term is computed as half of (sum_i v_i)^2 - sum_i v_i^2 per factor.  Te
 words and their first four and five bytes, so inflected forms share what was learned.
 
 The model is fitted on a bounded sample of labelled rows (``PER_CLASS`` rows of each label, those
-with the smallest hash of doc_id); its size is fixed (``TERMS`` buckets), so it is broadcast.
+with the smallest hash of doc_id).  Every bucket of their terms has a weight and factors; the
+hashed space bounds the model (``BITS``), so it is broadcast.
 """
 
 from __future__ import annotations
@@ -20,11 +21,15 @@ from tidebar.llm.textbatch import ALNUM_LOWER, Words, slices, word_hashes
 
 PER_CLASS = 8000  # labelled rows of each class that the fit may use
 BITS = 20  # hashed term space
-TERMS = 4096  # buckets that keep parameters: those that separate the classes best
 FACTORS = 8
 EPOCHS = 12
-RATE = 0.02
-DECAY = 1e-4
+RATE = 0.2
+DECAY = 1e-4  # of factors, per row
+START = 0.1  # of the squared gradients
+SHRINK_W = 40  # evidence at which a weight learns at half its scale
+SHRINK_V = 1000  # documents at which factors do
+BATCH = 256  # rows of a minibatch
+TERMS_AT_ONCE = 1 << 18
 PREFIXES = (4, 5)
 
 
@@ -44,58 +49,85 @@ def term_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def choose(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """Buckets whose document shares differ most between the classes, in standard errors."""
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    c1 = np.bincount(bucket[y[doc] == 1], minlength=1 << BITS)
-    c0 = np.bincount(bucket[y[doc] == 0], minlength=1 << BITS)
-    share = (c1 + c0 + 1.0) / (n1 + n0 + 2.0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
-    z[c1 + c0 < 3] = 0
-    best = np.argsort(-z, kind="stable")[:terms]
-    return np.sort(best[z[best] > 0])
+def evidence(cols: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared difference of each bucket's document shares between the classes, in standard errors."""
+    c, share, n = np.bincount(cols).astype(float), y.mean(), len(y)
+    return (np.bincount(cols, toxic) - c * share) ** 2 / (c * share * (1 - share) * np.maximum(1 - c / n, 1 / n))
+
+
+def sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of the rows between edges; an empty run gives 0."""
+    upto = np.zeros((len(x) + 1, x.shape[1]))
+    np.cumsum(x, axis=0, dtype=float, out=upto[1:])
+    return upto[edge[1:]] - upto[edge[:-1]]
+
+
+def minibatches(order: np.ndarray, size: np.ndarray):
+    """Runs of at most BATCH rows, shorter ones where rows have many terms."""
+    a, upto = 0, np.cumsum(size[order])
+    while a < len(order):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + TERMS_AT_ONCE, "right"))
+        b = max(a + 1, min(a + BATCH, b))
+        yield order[a:b]
+        a = b
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, prior: float, seed: int = 7) -> dict:
-    """Adam on the logistic loss over dense minibatches of the chosen buckets."""
-    chosen = choose(doc, bucket, y)
-    slot = np.full(1 << BITS, -1, np.int32)
-    slot[chosen] = np.arange(len(chosen))
-    inside = slot[bucket] >= 0
-    order = np.argsort(doc[inside], kind="stable")
-    rows, cols = doc[inside][order], slot[bucket[inside]][order]
-    edge = np.searchsorted(rows, np.arange(len(y) + 1))
+    """Sparse minibatches (AdaGrad, logistic loss) over every bucket that occurs in the rows.
+
+    Parameters are learnt times a fixed scale: of a weight by the evidence for the bucket, of factors
+    by its documents.  Chance differences of the many rare buckets so move slowly, none is left out.
+    """
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
+    chosen, cols = np.unique(bucket[order], return_inverse=True)
+    cols = cols.astype(np.int32)
+    found, seen = evidence(cols, y[doc], y) + 1, np.bincount(cols)
+    scale = np.repeat((seen / (seen + SHRINK_V)).astype(np.float32)[:, None], 1 + FACTORS, 1)
+    scale[:, 0] = found / (found + SHRINK_W)
+    edge = np.searchsorted(doc, np.arange(len(y) + 1))
+    size = np.diff(edge)
     rng = np.random.default_rng(seed)
     share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    params = [np.array([np.log(share / (1 - share))], np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.02, (len(chosen), FACTORS)).astype(np.float32)]
-    m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    w0, s0 = np.log(share / (1 - share)), START
+    p = rng.normal(0, 0.02, (len(chosen), 1 + FACTORS)).astype(np.float32)  # weight, factors
+    p[:, 0] = 0
+    s = np.full_like(p, START)
     for _ in range(EPOCHS):
-        mixed = rng.permutation(len(y))
-        for a in range(0, len(y), 256):
-            pick = mixed[a : a + 256]
-            x = np.zeros((len(pick), len(chosen)), np.float32)
-            for r, d in enumerate(pick):
-                x[r, cols[edge[d] : edge[d + 1]]] = 1
-            w0, w, v = params
-            xv = x @ v
-            z = w0 + x @ w + 0.5 * (xv**2 - x @ v**2).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-            xg = x.T @ g
-            grads = [np.array([g.sum()]), xg + DECAY * w, x.T @ (g[:, None] * xv) - xg[:, None] * v + DECAY * v]
-            t += 1
-            for i, d in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * d
-                s[i] = 0.999 * s[i] + 0.001 * d**2
-                params[i] -= (RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        for pick in minibatches(rng.permutation(len(y)), size):
+            n = size[pick]
+            at = np.concatenate([[0], np.cumsum(n)])
+            c = cols[np.arange(at[-1]) + np.repeat(edge[pick] - at[:-1], n)]
+            x = p[c] * scale[c]
+            total = sums(x, at)
+            xv = total[:, 1:]
+            z = w0 + total[:, 0] + 0.5 * ((xv**2).sum(1) - sums(x[:, 1:] ** 2, at).sum(1))
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]
+            s0 += g.sum() ** 2
+            w0 -= RATE * g.sum() / np.sqrt(s0)
+            if not len(c):
+                continue
+            by = np.argsort(c, kind="stable")
+            first = np.flatnonzero(np.diff(c[by], prepend=-1))
+            u, row = c[by[first]], np.repeat(np.arange(len(pick)), n)[by]
+            d = np.empty((len(c), 1 + FACTORS), np.float32)
+            d[:, 0] = g[row]
+            d[:, 1:] = d[:, :1] * xv[row]
+            d = np.add.reduceat(d, first, 0)
+            d[:, 1:] = (d[:, 1:] - d[:, :1] * p[u, 1:] * scale[u, 1:]) * scale[u, 1:] + DECAY * len(pick) * p[u, 1:]
+            d[:, 0] *= scale[u, 0]
+            s[u] += d**2
+            p[u] -= RATE * d / np.sqrt(s[u])
+    p *= scale
     prior = min(max(prior, 1e-6), 1 - 1e-6)
-    params[0] += np.float32(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))  # the sample is balanced, the corpus is not
-    return {"chosen": chosen, "w0": float(params[0][0]), "w": params[1], "v": params[2]}
+    w0 += np.log(prior / (1 - prior)) - np.log(share / (1 - share))  # the sample is balanced, the corpus is not
+    return {"chosen": chosen, "w0": float(w0), "w": p[:, 0].copy(), "v": p[:, 1:].copy()}
 
 
 def predict(model: dict, texts: list[bytes]) -> np.ndarray:
     doc, bucket = term_pairs(texts)
     slot = model["slot"][bucket]
-    key = np.unique(doc[slot >= 0] * np.int64(1 << BITS) + slot[slot >= 0])
+    key = np.unique((doc[slot >= 0].astype(np.int64) << BITS) + slot[slot >= 0])
     doc, slot = key >> BITS, key & ((1 << BITS) - 1)
     v, n = model["v"][slot], len(texts)
     z = model["w0"] + np.bincount(doc, model["w"][slot], n)
@@ -147,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """Every row of ``docs`` with its columns and ``_score``; the score reads the text alone (null: empty)."""
-    slot = np.full(1 << BITS, -1, np.int64)
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[model["chosen"]] = np.arange(len(model["chosen"]))
     shared = docs.sparkSession.sparkContext.broadcast({**model, "slot": slot})
     names = docs.columns
