@@ -5,7 +5,8 @@
 3. N-gram Jaccard join: of each group of near copies (linked directly or by others) the row with the
    smallest doc_id stays.
 4. Benchmark decontamination: documents with a passage of a test item go.
-5. Pieces: what is left is encoded; the best segmentations and their scores are the result.
+5. Pieces: what is left is encoded and decoded again; the best segmentations, their scores, the
+   decoded text's sha256 and whether it is the text are the result.
 
 The first four return the columns of documents.  A stage keeps nulls and empty texts like any other
 row, and an empty table passes through all of them.
@@ -36,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs)
+    return pieces.round_trip(docs)
 
 
 STAGES = [

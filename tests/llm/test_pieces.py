@@ -1,10 +1,14 @@
+import hashlib
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, changed, decode, encode
+import corpus_pipeline
+from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, _decoded, _surfaces, changed, decode, encode
+from tidebar.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +76,19 @@ def test_rows(spark, docs_of):
         assert all(a >= b - 1e-9 for a, b in itertools.pairwise(scores))
     assert encode(docs_of([])).count() == 0
     assert decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text == ""
+
+
+def test_query_and_stage_decode(spark, docs_of, sf_of):
+    odd = [None, "", " ", "  a  ", "\n\n", "a\r\nb\t", "▁é▁", "\x00\x01\x7f", "e\u0301 \u200d👩‍👩‍👧 \ufeff", "x" * 300000, "日本語" * 20000, " ".join(f"w{i}" for i in range(60000))]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(None, "a"), (3, "a again")]
+    sf = sf_of(rows)
+    want = sorted([(i, hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t in rows], key=repr)
+    for out in (QUERIES["op4_sentencepiece_nbest"](spark, sf), corpus_pipeline.encode_pieces(spark, docs_of(rows), sf)):
+        assert sorted([(r.doc_id, r.text_sha256, r.same) for r in out.collect()], key=repr) == want
+
+
+def test_lost_pieces_show():
+    encoder = Encoder(MODEL, 1)
+    ids = np.frombuffer(encoder.encode(encoder.units("some text"))[1], np.int32)
+    back = _decoded(pa.array([ids.tolist(), ids[:-1].tolist()], pa.list_(pa.int32())), _surfaces(MODEL))
+    assert back[0] == b"some text" != back[1]

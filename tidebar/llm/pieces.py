@@ -16,6 +16,7 @@ equal in whatever order they were added.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -274,6 +275,41 @@ class Encoder:
         return np.concatenate([below, np.flatnonzero(loss == bound)[: self.n - 1 - len(below)]])
 
 
+ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, alternatives array<struct<score:double,changes:array<struct<first:int,n:int,ids:array<int>>>>>"
+
+
+def _encoded(batches, model: str, nbest: int):
+    """The texts of some rows and what ``encode`` gives for them."""
+    change = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
+    encoder = Encoder(model, nbest)
+    for rows, texts in slices(batches):
+        units = [encoder.units(t.decode()) if t else [] for t in texts]
+        encoder.learn(units)
+        worth, ids, more = zip(*map(encoder.encode, units))
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        other = [[{"score": (w - lost) / UNIT, "changes": [dict(zip(("first", "n", "ids"), c)) for c in changes]} for lost, changes in m] for w, m in zip(worth, more)]
+        yield texts, pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), best, pa.array(size), pa.array(np.array(worth) / UNIT, pa.float64()), pa.array(other, kind)],
+            ["doc_id", "ids", "n_pieces", "score", "alternatives"],
+        )
+
+
+def _surfaces(model: str) -> list[bytes]:
+    surface = Vocabulary(model).surface
+    return [surface.get(i, b"") for i in range(max(surface) + 1)]
+
+
+def _decoded(ids: pa.Array, table: list[bytes]) -> list[bytes]:
+    """Text of each list of ids, without the leading space mark."""
+    flat, at, texts = ids.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+    for n in np.diff(ids.offsets.to_numpy()).tolist():
+        texts.append(b"".join([table[i] for i in flat[at : at + n]])[1:])
+        at += n
+    return texts
+
+
 def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
     """doc_id, ids, n_pieces, score, alternatives: one row per row of ``docs``.
 
@@ -282,25 +318,26 @@ def encode(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame
     Ties prefer longer pieces at the end of a unit, then earlier units.  Null and empty texts have no
     pieces and score 0.  Very long texts and words are searched whole.  An empty table gives no rows.
     """
-    change = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: (out for _, out in _encoded(batches, model, nbest)), ENCODED)
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, nbest: int = NBEST) -> DataFrame:
+    """As ``encode``, with the ids of the best segmentation decoded again for every row.
+
+    ``text_sha256`` is that of the decoded text, ``same`` says that it is the text byte for byte
+    (null: the empty text).
+    """
 
     def run(batches):
-        encoder = Encoder(model, nbest)
-        for rows, texts in slices(batches):
-            units = [encoder.units(t.decode()) if t else [] for t in texts]
-            encoder.learn(units)
-            worth, ids, more = zip(*map(encoder.encode, units))
-            size = np.array([len(i) // 4 for i in ids], np.int64)
-            best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            other = [[{"score": (w - lost) / UNIT, "changes": [dict(zip(("first", "n", "ids"), c)) for c in changes]} for lost, changes in m] for w, m in zip(worth, more)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), best, pa.array(size), pa.array(np.array(worth) / UNIT, pa.float64()), pa.array(other, kind)],
-                ["doc_id", "ids", "n_pieces", "score", "alternatives"],
-            )
+        table = _surfaces(model)
+        for texts, out in _encoded(batches, model, nbest):
+            back = _decoded(out.column("ids"), table)
+            more = [pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()), pa.array([a == b for a, b in zip(back, texts)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*out.columns, *more], [*out.schema.names, "text_sha256", "same"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_pieces long, score double, alternatives array<struct<score:double,changes:array<struct<first:int,n:int,ids:array<int>>>>>")
+    return rows.mapInArrow(run, ENCODED + ", text_sha256 string, same boolean")
 
 
 def changed(ids: list[int], changes) -> list[int]:
@@ -315,16 +352,9 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFram
     """doc_id and text from piece ids, the exact inverse of ``encode`` (null: the empty text)."""
 
     def run(batches):
-        surface = Vocabulary(model).surface
-        table = [surface.get(i, b"") for i in range(max(surface) + 1)]
+        table = _surfaces(model)
         for rows in batches:
-            column = rows.column(1)
-            flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), 0
-            texts = []
-            for n in np.diff(column.offsets.to_numpy()).tolist():
-                texts.append(b"".join([table[i] for i in flat[at : at + n]])[1:])
-                at += n
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_decoded(rows.column(1), table), pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, "doc_id long, text string")

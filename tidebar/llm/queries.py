@@ -72,8 +72,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_sentencepiece_nbest")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four best segmentations of every text."""
-    return pieces.encode(table(spark, sf_dir, "documents"))
+    """The four best segmentations of every text, and whether the best one decodes to it."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
 @query("op9_token_counts")
