@@ -91,7 +91,7 @@ def single_class(df: DataFrame, label: str) -> bool:
     return df.select(label).distinct().limit(2).count() < 2
 
 
-def fit_classifier(train: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42) -> PipelineModel:
+def fit_classifier(train: DataFrame, features: list[str], label: str, trees: int = 500, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Class-balanced boosted trees with P(label = 1)."""
     stages = [
         VectorAssembler(inputCols=features, outputCol="x"),
@@ -124,7 +124,7 @@ def calibrated(model: PipelineModel | None, df: DataFrame, prob: str = "y_prob")
     return score(model, df, "_cal").withColumn(prob, F.col("_cal")).drop("_cal")
 
 
-def walk_forward(df: DataFrame, features: list[str], label: str, fold: str = "fold", splits: int = 5, trees: int = 100, depth: int = 5, seed: int = 42) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], label: str, fold: str = "fold", splits: int = 5, trees: int = 500, depth: int = 5, seed: int = 42) -> DataFrame:
     """Out-of-fold probabilities: train on everything before a fold, calibrate and score on it."""
     df = cut_lineage(df)
     parts = []

@@ -1,7 +1,7 @@
 """Queries for splits, scaling, training and scoring.
 
 Fitted models have no SQL counterpart: the tests check their operators on small frames.  The
-queries train small members (MEMBERS holds the full sizes) on the pooled table of all symbols.
+queries train members of the operators' full sizes on the pooled daily bars of all symbols.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from tidebar.sources.bars import latest_rows
 OK = " AND ".join(c + " IS NOT NULL" for c in ft.CROSS)
 
 
-def labelled(spark, sf, freq="week", horizon=5):
+def labelled(spark, sf, freq="day", horizon=5):
     """Cross features with the cross-sectional label, complete rows only."""
     bars = numbered(spark, sf, freq)
     y = lb.cross_sectional_label(bars, horizon).select("symbol", "bar_no", "label")
@@ -69,7 +69,7 @@ def folded(spark, sf):
 
 @query("walk_forward_classifier", "K1 K5 K6 F14 F13")
 def walk_forward_classifier(spark, sf):
-    preds = cut_lineage(ml.walk_forward(folded(spark, sf), ft.CROSS, "label", trees=6, depth=3))
+    preds = cut_lineage(ml.walk_forward(folded(spark, sf), ft.CROSS, "label"))
     m = mt.classification_metrics(preds.withColumn("y_true", F.col("label")), ["fold"])
     m = cut_lineage(m.withColumn("model", F.lit("classifier")))
     return m.join(mt.over_folds(m, ["model"], ["accuracy", "brier_score", "roc_auc"]), "model")
@@ -96,7 +96,7 @@ def cross_sectional_ranker(spark, sf):
     x = ml.with_date_no(x).withColumn("split", ml.chronological_split(F.col("date_no"), F.col("n_dates")))
     x = cut_lineage(x)
     known = x.where(F.col("label").isNotNull())
-    model = ml.fit_classifier(known.where(F.col("split") == "train"), ft.CROSS, "label", trees=6, depth=3)
+    model = ml.fit_classifier(known.where(F.col("split") == "train"), ft.CROSS, "label")
     cal = ml.fit_calibrator(ml.score(model, known.where(F.col("split") == "cal")), "label")
     test = ml.calibrated(cal, ml.score(model, x.where(F.col("split") == "test"))).withColumn("score", F.col("y_prob"))
     p = portfolio_of(cut_lineage(test.select("symbol", "bar_ts", "score")), bars).withColumn("strategy", F.lit("ranker"))
@@ -111,7 +111,7 @@ def latest_prediction(spark, sf):
     x = cut_lineage(x)
     no, n = F.col("date_no"), F.col("n_dates")
     known = x.where(F.col("label").isNotNull() & (no < n))
-    model = ml.fit_classifier(known, ft.CROSS, "label", trees=6, depth=3)
+    model = ml.fit_classifier(known, ft.CROSS, "label")
     cal = ml.fit_calibrator(ml.score(model, known.where(no >= n - F.greatest(F.lit(1), F.floor(n * 0.1)))), "label")
     now = ml.calibrated(cal, ml.score(model, latest_rows(x)))
     signal, reasons = tr.gate(F.col("y_prob"), F.col("realized_vol_5d"), F.lit(False))
@@ -119,8 +119,8 @@ def latest_prediction(spark, sf):
 
 
 def with_targets(spark, sf):
-    """Weekly core features with the next return and the five-bar direction."""
-    bars = numbered(spark, sf, "week")
+    """Daily core features with the next return and the five-bar direction."""
+    bars = numbered(spark, sf)
     y = lb.directional_forward_label(lb.next_log_return(bars)).select("symbol", "bar_no", "close", "target_log_return_1d", "direction")
     x = drop_incomplete(ft.core_features(bars), ft.CORE).join(y, ["symbol", "bar_no"])
     return cut_lineage(ml.with_date_no(x))
@@ -134,7 +134,7 @@ def train_part(x, share=0.7):
 def ensemble_regressors(spark, sf):
     x = with_targets(spark, sf)
     x = cut_lineage(ml.robust_scale(x, ft.CORE, ml.robust_stats(train_part(x), ft.CORE)))
-    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"), size=0.03)
+    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"))
     test = x.where((F.col("date_no") > F.floor(F.col("n_dates") * 0.7)) & F.col("target_log_return_1d").isNotNull())
     p = ml.predict_members(models, test)
     long = p.select("symbol", F.col("target_log_return_1d").alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("y_pred")) for m in models])).alias("c")).select("symbol", "y", "c.*")
@@ -144,7 +144,7 @@ def ensemble_regressors(spark, sf):
 @query("direction_heads", "K8 K9 K10 K15")
 def direction_heads(spark, sf):
     x = with_targets(spark, sf)
-    heads = ml.fit_direction_heads(train_part(x).where(F.col("direction").isNotNull()), ft.CORE, "direction", trees=5, depth=4)
+    heads = ml.fit_direction_heads(train_part(x).where(F.col("direction").isNotNull()), ft.CORE, "direction")
     now = ml.score_direction(heads, latest_rows(x))
     m = sg.merged_probs("head_linear", "head_trees")
     now = now.withColumns({**m, "directional_model_agreement": sg.distribution_agreement("head_linear", "head_trees")})
@@ -154,7 +154,7 @@ def direction_heads(spark, sf):
 @query("one_step_forecast", "K14 L8")
 def one_step_forecast(spark, sf):
     x = with_targets(spark, sf)
-    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"), size=0.03)
+    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"))
     now = ml.predict_members(models, latest_rows(x)).withColumns({"vol": F.col("realized_vol_20d") / SCALE, "p99_daily": F.lit(None).cast("double")})
     f = ml.one_step_forecast(now, list(models), [0.5, 0.3, 0.2])
     return f.select("symbol", "ensemble_log_return", "direction", "confidence", "predicted_price", "lower_bound", "upper_bound")
@@ -190,9 +190,9 @@ def recursive_forecast(spark, sf):
 
 @query("recursive_model_forecast", "L1 K7 K13")
 def recursive_model_forecast(spark, sf):
-    bars = numbered(spark, sf, "week")
+    bars = numbered(spark, sf)
     x = with_targets(spark, sf)
-    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"), size=0.02)
+    models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"))
 
     def feats(h):
         f = ft.core_features(h)
