@@ -1,4 +1,4 @@
-"""Repeated byte strings by external induced sorting of suffixes.
+"""Repeated byte strings by external sorting of anchors and induced sorting of suffixes in memory.
 
 A position is sampled where the hash of its ``GRAM`` bytes is the smallest of a window of
 ``WINDOW`` bytes (its anchor).  Windows with the same anchor travel together, with their bytes, to
@@ -6,11 +6,13 @@ the bucket of the anchor's hash, so equal windows meet, with the anchor at the s
 
 A bucket sorts the suffixes that start at its anchors with a priority queue on disk: sorted runs are
 written to the task's temporary folder and merged, so a bucket may be far larger than memory.  The
-queue yields suffix tuples in order, with the common prefix of neighbours.  From them the order and
-common prefixes of the suffixes that start one byte earlier are induced (a stable pass over the
-preceding bytes; the common prefix is one more than the least between the two before), and so on
-recursively until the first window of every anchor is reached.  At each step the windows that start
-there are equal exactly where the common prefix spans the window.
+queue yields suffix tuples in order; only this sort of the anchors is external.  Stretches of the
+sorted tuples that share an anchor are then worked on in memory, without a bound but the shared
+anchor: common prefixes of neighbours come from their bytes, and from them the order and common
+prefixes of the suffixes that start one byte earlier are induced (a stable pass over the preceding
+bytes; the common prefix is one more than the least between the two before), and so on until the
+first window of every anchor is reached.  At each step the windows that start there are equal
+exactly where the common prefix spans the window.
 
 Windows repeated inside a batch are settled before the shuffle, and anchors that are too frequent
 rank behind all others, as in ``substring_dedup``.
