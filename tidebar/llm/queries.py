@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import decontaminate, licenses, pieces
+from tidebar.llm.conversation_trie import conversation_trie
 from tidebar.llm.exact_dedup import exact_dedup
 from tidebar.llm.jaccard_join import jaccard_components
 from tidebar.llm.lm_score import lm_scores
@@ -150,3 +151,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("doc_id") % 97 > 0, F.col("lang"))
     part = F.when((F.col("doc_id") % 97 > 0) & (F.col("doc_id") % 13 > 0), F.concat(F.lit("part"), F.expr("doc_id div 1000").cast("string")))
     return licenses.license_scan(docs, F.concat_ws("/", "source", level, part, F.col("doc_id").cast("string")))
+
+
+@query(
+    "op13_conversation_trie",
+    """WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)),
+  lambda r, b: list_reduce(list_concat([xor(r, b)], list_transform(range(8), lambda i: 0::UBIGINT)),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT) % 6 AS h FROM own),
+path AS (SELECT own.conv_id, list_concat(coalesce(list_slice(head.t, 1, h), []), list_slice(own.t, h + 1, len(own.t))) AS p
+  FROM own JOIN crc USING (conv_id) LEFT JOIN own head ON head.conv_id = own.conv_id - own.conv_id % 100),
+step AS (SELECT conv_id, p, len(p) AS n, unnest(range(0, len(p) + 1)) AS d FROM path),
+node AS (SELECT d, list_slice(p, 1, d) AS k, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM step GROUP BY d, k),
+full_ AS (SELECT node.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM node c WHERE c.d = node.d + 1 AND list_slice(c.k, 1, node.d) = node.k) AS n_children
+  FROM node LEFT JOIN node up ON up.d = node.d - 1 AND up.k = list_slice(node.k, 1, node.d - 1)),
+spread AS (SELECT unnest(range(0, d + 1)) AS a, k, n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].text) END AS saved FROM full_),
+below AS (SELECT a AS d, list_slice(k, 1, a) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM spread GROUP BY ALL)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_ JOIN below USING (d, k)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
