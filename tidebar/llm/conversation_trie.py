@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidebar.operators.heavy import spread_join
 from tidebar.session import cut_lineage
 
-SHARD = 100_000  # turns of distinct paths in a shard
+SHARD = 25_000  # turns of distinct paths in a shard
 PIECE = 4096  # consecutive conversation ids packed into one row
 FEW = 1_000_000  # border nodes that are broadcast at most
 SEEDS = 8

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidebar.llm import decontaminate, licenses, pieces
+from tidebar.llm.centroid_clusters import centroid_clusters
 from tidebar.llm.conversation_trie import conversation_trie
 from tidebar.llm.exact_dedup import exact_dedup
 from tidebar.llm.jaccard_join import jaccard_components
@@ -153,6 +154,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(docs, F.concat_ws("/", "source", level, part, F.col("doc_id").cast("string")))
 
 
+def _rounds_sql() -> str:
+    """Three rounds of moved centroids (c1 to c3) from c0, and the last assignment."""
+    steps = []
+    for i in range(4):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT row, vec_id, x, least.d AS distance, least.j AS cluster FROM (SELECT row, any_value(vec_id) AS vec_id, any_value(v.x) AS x,
+  min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT, 'j': c.j}}) AS least FROM v, c{i} c GROUP BY row))""")
+        if i < 3:
+            steps.append(f"""m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY p) AS x
+  FROM (SELECT cluster, p, sum(x[p])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) r(p) GROUP BY cluster, p) GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} ON cluster = j)""")
+    return ",\n".join(steps)
+
+
+@query(
+    "op12_centroid_clusters",
+    f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, x FROM v ORDER BY h, x LIMIT 16)),
+{_rounds_sql()}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c3.x, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON j = cluster""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 @query(
     "op13_conversation_trie",
     """WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
