@@ -36,7 +36,7 @@ SHINGLE = 3  # words
 SHARE = 85  # hundredths of the union that the intersection must reach
 BANDS, ROWS = 24, 4
 LONG = 16  # members of a bucket that are still paired off
-HUBS, TURNS = 4, 2  # hubs that a set outside the main component meets per turn
+HUBS, TURNS = 4, 2  # hubs that a set outside the main components of its buckets meets per turn
 HEAVY = 20_000  # rows of one bucket or set that a task takes as they come
 SIDE, TILE = 256, 1024  # sets of a tile: outside the main component, of all
 HOLD = 1_000_000  # shingles of either side of a tile
@@ -253,8 +253,11 @@ def circulant_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE,
         crowd = left.where(F.col("m") > long)
         if crowd.isEmpty():
             break
-        hubs = crowd.where("root = main").groupBy("key").agg(F.array(*[chosen(HUBS * turn + i + 1) for i in range(HUBS)]).alias("hubs"))
-        out = spread_join(crowd.where("root <> main"), hubs, "key", "inner", hot).select(F.col("set_id").alias("a"), F.explode("hubs").alias("b"))
+        names = [f"h{i}" for i in range(HUBS)]
+        hubs = crowd.where("root = main").groupBy("key").agg(*[chosen(HUBS * turn + i + 1).alias(h) for i, h in enumerate(names)])
+        met = spread_join(crowd.where("root <> main").select("key", "set_id"), hubs, "key", "inner", hot)
+        met = met.groupBy("set_id").agg(*[F.min_by(h, F.xxhash64(h, F.lit(HUBS * turn + i + 1))).alias(h) for i, h in enumerate(names)])
+        out = met.select(F.col("set_id").alias("a"), F.explode(F.array(*names)).alias("b"))
         found = verified(out, sets, texts, share, k, size)
         if found.isEmpty():
             break
