@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from tidebar.functions.nulls import clip
 from tidebar.functions.prices import model_feature_view
-from tidebar.operators.paths import HORIZON, clip_step, daily_cap, diversity_agreement, weighted_mean
+from tidebar.operators.paths import clip_step, daily_cap, diversity_agreement, weighted_mean
 from tidebar.operators.quantiles import exact_quantiles
 from tidebar.operators.scan import number_rows
-from tidebar.session import cut_lineage
+from tidebar.session import cut_lineage, shared_folder
 
 # --- splits ----------------------------------------------------------------------------------------
 
@@ -79,9 +81,32 @@ def robust_scale(df: DataFrame, features: list[str], stats: DataFrame) -> DataFr
 # --- classifiers -----------------------------------------------------------------------------------
 
 
+CLASSES = 1000  # values a class label may have
+
+
+PART_ROWS = 50_000  # rows of a training partition: boosting runs thousands of jobs, so small tables take few tasks
+
+
+def for_fit(train: DataFrame) -> DataFrame:
+    """Training rows in partitions of about ``PART_ROWS``, with the context ready to cut the lineage of long fits."""
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(train.sparkSession))
+    return train.coalesce(max(1, -(-train.count() // PART_ROWS)))
+
+
+def side_by_side(spark, tasks: list[Callable]) -> list:
+    """Results of independent fits, whose jobs run at the same time."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(wrap(t)) for t in tasks]]
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Class weights n / (classes * n_class); the class counts are a handful of rows."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    """Class weights n / (classes * n_class) of at most ``CLASSES`` classes."""
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().limit(CLASSES + 1).collect()}
+    if len(counts) > CLASSES:
+        raise ValueError(f"{label} has more than {CLASSES} values: not a class label")
     n, k = sum(counts.values()), len(counts)
     table = F.create_map(*[F.lit(x) for key, c in counts.items() for x in (key, n / (k * c))])
     return df.withColumn("class_weight", table[F.col(label)])
@@ -97,7 +122,7 @@ def fit_classifier(train: DataFrame, features: list[str], label: str, trees: int
         VectorAssembler(inputCols=features, outputCol="x"),
         GBTClassifier(featuresCol="x", labelCol=label, weightCol="class_weight", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(balanced(train, label))
+    return Pipeline(stages=stages).fit(for_fit(balanced(train, label)))
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "y_prob") -> DataFrame:
@@ -125,15 +150,21 @@ def calibrated(model: PipelineModel | None, df: DataFrame, prob: str = "y_prob")
 
 
 def walk_forward(df: DataFrame, features: list[str], label: str, fold: str = "fold", splits: int = 5, trees: int = 500, depth: int = 5, seed: int = 42) -> DataFrame:
-    """Out-of-fold probabilities: train on everything before a fold, calibrate and score on it."""
+    """Out-of-fold probabilities: train on everything before a fold, calibrate and score on it.
+
+    Folds are fitted side by side over one written table: boosting is a long chain of small jobs, so
+    a fold alone leaves most of a cluster idle.
+    """
     df = cut_lineage(df)
-    parts = []
-    for k in range(splits):
+
+    def one(k: int) -> DataFrame | None:
         train = df.where(F.col(fold).isNull() | (F.col(fold) < k))
         if single_class(train, label):
-            continue
+            return None
         raw = score(fit_classifier(train, features, label, trees, depth, seed), df.where(F.col(fold) == k))
-        parts.append(calibrated(fit_calibrator(raw, label), raw))
+        return cut_lineage(calibrated(fit_calibrator(raw, label), raw))
+
+    parts = [p for p in side_by_side(df.sparkSession, [lambda k=k: one(k) for k in range(splits)]) if p is not None]
     if not parts:
         raise ValueError("every fold has a single class")
     out = parts[0]
@@ -142,16 +173,39 @@ def walk_forward(df: DataFrame, features: list[str], label: str, fold: str = "fo
     return out.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
 
 
-def fit_direction_heads(train: DataFrame, features: list[str], label: str, trees: int = 160, depth: int = 5, seed: int = 42) -> dict[str, PipelineModel]:
-    """Three-class heads: balanced logistic regression and a forest (boosting in Spark is binary)."""
+class BoostedHead:
+    """One boosted binary model per class; probabilities are divided by their sum."""
+
+    def __init__(self, models: list[PipelineModel]):
+        self.models = models
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, model in enumerate(self.models):
+            df = score(model, df, f"_p{c}")
+        p = [F.col(f"_p{c}") for c in range(len(self.models))]
+        total = sum(p[1:], p[0])
+        each = [F.when(total > 0, x / total).otherwise(1.0 / len(p)) for x in p]
+        return df.withColumn("probability", array_to_vector(F.array(*each))).drop(*[f"_p{c}" for c in range(len(p))])
+
+
+def fit_boosted_head(train: DataFrame, features: list[str], label: str, classes: int = 3, trees: int = 160, depth: int = 5, seed: int = 42) -> BoostedHead:
+    """One-against-the-rest boosting over the labels 0 .. classes - 1, fitted side by side.
+
+    A class that no row has gets a weight of zero rows: its model says never.
+    """
+    train = cut_lineage(train.select(*features, label))
+    tasks = [lambda c=c: fit_classifier(train.withColumn("_is", (F.col(label) == c).cast("int")), features, "_is", trees, depth, seed) for c in range(classes)]
+    return BoostedHead(side_by_side(train.sparkSession, tasks))
+
+
+def fit_direction_heads(train: DataFrame, features: list[str], label: str, trees: int = 160, depth: int = 5, seed: int = 42) -> dict:
+    """Three-class heads: balanced multinomial regression and one-against-the-rest boosting."""
     assemble = VectorAssembler(inputCols=features, outputCol="x")
-    weighted = balanced(train, label)
     lr = LogisticRegression(featuresCol="x", labelCol=label, weightCol="class_weight", family="multinomial", maxIter=100)
-    rf = RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return {"linear": Pipeline(stages=[assemble, lr]).fit(weighted), "trees": Pipeline(stages=[assemble, rf]).fit(weighted)}
+    return {"linear": Pipeline(stages=[assemble, lr]).fit(balanced(train, label)), "trees": fit_boosted_head(train, features, label, trees=trees, depth=depth, seed=seed)}
 
 
-def score_direction(heads: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
+def score_direction(heads: dict, df: DataFrame) -> DataFrame:
     """One struct (down, neutral, up) per head."""
     for name, model in heads.items():
         p = vector_to_array("probability")
@@ -178,13 +232,13 @@ def fit_members(train: DataFrame, features: list[str], label: str, no: Column, n
 
     ``size`` scales the members (1.0 is the full ensemble); training pools all symbols.
     """
-    models = {}
-    for name, make in MEMBERS.items():
+
+    def one(name: str, make: Callable) -> PipelineModel:
         rows = train.where(no > F.floor(n * (1.0 - RECENT_SHARE))) if name == "gradient_boosting" else train
         view = model_feature_view(VIEW_OF[name], features)
-        stages = [VectorAssembler(inputCols=view, outputCol="x"), make(size).setLabelCol(label)]
-        models[name] = Pipeline(stages=stages).fit(rows)
-    return models
+        return Pipeline(stages=[VectorAssembler(inputCols=view, outputCol="x"), make(size).setLabelCol(label)]).fit(for_fit(rows))
+
+    return dict(zip(MEMBERS, side_by_side(train.sparkSession, [lambda i=i: one(*i) for i in MEMBERS.items()])))
 
 
 def predict_members(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
@@ -213,48 +267,3 @@ def one_step_forecast(df: DataFrame, members: list[str], weights: list[float], b
             "upper_bound": price * F.exp(half),
         }
     ).drop("_row")
-
-
-TAIL = 1000
-
-
-def recursive_forecast(bars: DataFrame, features: Callable[[DataFrame], DataFrame], members: Callable[[DataFrame], DataFrame], names: list[str], weights: list[float], horizon: int = HORIZON, tail: int = TAIL) -> DataFrame:
-    """Path of every symbol in which each step sees the bars predicted before it.
-
-    ``features`` turns numbered bars into feature rows with vol, p99_daily and
-    vol_regime_encoded; ``members`` adds one ``p_<name>`` column per model.  All symbols advance
-    together, one written table per step; only the last ``tail`` bars of a symbol take part.
-    """
-    last = bars.groupBy("symbol").agg(F.max("bar_no").alias("_last"))
-    hist = bars.join(last, "symbol").where(F.col("bar_no") > F.col("_last") - tail)
-    hist = hist.withColumn("bar_no", F.col("bar_no") - F.greatest(F.col("_last") - tail, F.lit(0).cast("bigint")))
-    cols = ["symbol", "bar_ts", "bar_no", "open", "high", "low", "close", "volume"]
-    hist = cut_lineage(hist.select(*cols))
-    path = None
-    for step in range(1, horizon + 1):
-        newest = hist.groupBy("symbol").agg(F.max("bar_no").alias("bar_no"))
-        now = members(features(hist).join(newest, ["symbol", "bar_no"]))
-        vol = F.greatest(F.coalesce(F.col("vol"), F.lit(0.02)), F.lit(0.005))
-        cap = daily_cap(vol, F.col("p99_daily"))
-        row = F.array(*[clip_step(F.col(f"p_{m}"), cap) for m in names])
-        ens = clip_step(weighted_mean(row, F.array(*map(F.lit, weights))), cap)
-        base = hist.join(newest, ["symbol", "bar_no"]).select("symbol", "bar_no", "bar_ts", "close", "volume")
-        scale = F.coalesce(clip(F.col("vol_regime_encoded"), 0.0, 2.0) * 0.12 + 0.88, F.lit(1.0))
-        nxt = (
-            base.join(now.select("symbol", row.alias("row"), ens.alias("ens"), vol.alias("vol"), scale.alias("bs")), "symbol")
-            .withColumn("price", F.col("close") * F.exp("ens"))
-            .withColumn("half", F.col("vol") * F.col("bs") * (2.0 * step**0.5))
-        )
-        nxt = cut_lineage(
-            nxt.select(
-                "symbol", (F.col("bar_ts") + F.expr("INTERVAL 1 DAY")).alias("bar_ts"), (F.col("bar_no") + 1).alias("bar_no"), "price", "volume",
-                F.lit(step).alias("step"), "ens", "row", "vol", (F.col("price") * F.exp(-F.col("half"))).alias("lower"), (F.col("price") * F.exp("half")).alias("upper"),
-                diversity_agreement(F.col("row")).alias("agree"),
-            )
-        )
-        p = F.col("price")
-        made = nxt.select("symbol", "bar_ts", "bar_no", p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), "volume")
-        hist = hist.unionByName(made)
-        out = nxt.select("symbol", "step", "ens", "price", "lower", "upper", "agree", "vol", "row")
-        path = out if path is None else path.unionByName(out)
-    return path

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.functions.nulls import drop_incomplete
-from tidebar.operators import features as ft, labels as lb, metrics as mt, models as ml, paths as ph, signals as sg, trades as tr
+from tidebar.operators import features as ft, fold as fd, labels as lb, metrics as mt, models as ml, paths as ph, signals as sg, trades as tr
 from tidebar.operators.layout import blocked, lead, own_rows, rolling
 from tidebar.plans.features_q import CROSS_SQL, DAY_SQL, day_col, full_sql
-from tidebar.plans.paths_q import MODELS, SCALE, WEIGHTS, member_frame
+from tidebar.plans.paths_q import SCALE, WEIGHTS
 from tidebar.plans.registry import query, rounded, sql_rounded
 from tidebar.plans.tables import bars_cte, led, numbered
 from tidebar.plans.trades_q import METRIC_COLS, portfolio_of, with_log_growth
@@ -160,10 +160,6 @@ def one_step_forecast(spark, sf):
     return f.select("symbol", "ensemble_log_return", "direction", "confidence", "predicted_price", "lower_bound", "upper_bound")
 
 
-def member_features(bars):
-    return member_frame(bars).withColumn("p99_daily", F.lit(0.04))
-
-
 def _recursive_sql():
     """The same path as a recursion over (last seven returns, smoothed moments)."""
     a = 2 / 15
@@ -184,20 +180,16 @@ SELECT symbol, step::INT AS step, round(ens, 8) AS ens, round(close, 4) AS price
 
 @query("recursive_forecast", "L1 L2 L3 L4 L7", _recursive_sql())
 def recursive_forecast(spark, sf):
-    path = ml.recursive_forecast(numbered(spark, sf), member_features, lambda d: d, MODELS, WEIGHTS)
+    path = fd.fold_steps(fd.recursive_fold(numbered(spark, sf), fd.ReturnState, None, WEIGHTS, p99=0.04, scale=SCALE, guard=False))
     return path.select("symbol", "step", F.round("ens", 8).alias("ens"), F.round("price", 4).alias("price"), F.round("vol", 8).alias("vol"), F.round("agree", 6).alias("agree"))
 
 
-@query("recursive_model_forecast", "L1 K7 K13")
+@query("recursive_model_forecast", "L1 L6 K7 K13")
 def recursive_model_forecast(spark, sf):
     bars = numbered(spark, sf)
     x = with_targets(spark, sf)
     models = ml.fit_members(train_part(x), ft.CORE, "target_log_return_1d", F.col("date_no"), F.col("n_dates"))
-
-    def feats(h):
-        f = ft.core_features(h)
-        vol = F.col("realized_vol_20d") / SCALE
-        return f.withColumns({"vol": vol, "p99_daily": F.lit(None).cast("double"), "vol_regime_encoded": F.lit(1.0)}).fillna(0.5, subset=ft.CORE)
-
-    path = ml.recursive_forecast(bars, feats, lambda d: ml.predict_members(models, d), list(models), [0.5, 0.3, 0.2])
-    return path.select("symbol", "step", "ens", "price", "lower", "upper", "agree")
+    path = fd.recursive_fold(bars, fd.CoreState, fd.flat_members(models, ft.CORE), [0.5, 0.3, 0.2], scale=SCALE)
+    names = list(models)
+    steps = fd.fold_steps(path, "clip_saturation", "missing_fill_ratio", "guardrail")
+    return steps.select("symbol", "step", "ens", "price", "lower", "upper", "agree", *[F.col("member_prices")[i].alias(f"price_{m}") for i, m in enumerate(names)], "clip_saturation", "missing_fill_ratio", "guardrail")
