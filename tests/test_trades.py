@@ -69,7 +69,7 @@ def test_positions_match_a_sequential_trader(spark, density, run):
             if rng.random() < density:
                 rows.append((sym, i, i + int(rng.integers(1, reach + 1))))
     df = spark.createDataFrame(rows, "symbol string, bar_no bigint, release_no bigint")
-    got = {(r.symbol, r.bar_no) for r in tr.non_overlapping(df, reach=reach, run=run).collect()}
+    got = {(r.symbol, r.bar_no) for r in tr.non_overlapping(df, run=run, factor=4).collect()}
     want, free = set(), {}
     for sym, at, to in rows:
         if at >= free.get(sym, 1):
@@ -78,6 +78,25 @@ def test_positions_match_a_sequential_trader(spark, density, run):
     assert got == want
 
 
+@pytest.mark.parametrize("far", [(40, 140_000), (1, 100_000), (139_990, 140_500)])
+def test_one_far_release(spark, far):
+    """A release 100 000 bars away blocks what lies between and costs nothing elsewhere."""
+    n = 150_000
+    df = spark.range(1, n, 3).select(F.lit("s").alias("symbol"), F.col("id").alias("bar_no"), F.when(F.col("id") == far[0], far[1]).otherwise(F.col("id") + 4).alias("release_no"))
+    got = sorted(r.bar_no for r in tr.non_overlapping(df).collect())
+    free, want = 0, []
+    for at in range(1, n, 3):
+        if at >= free:
+            want.append(at)
+            free = far[1] if at == far[0] else at + 4
+    assert got == want
+
+
+def test_no_trades(spark):
+    df = spark.createDataFrame([], "symbol string, bar_no bigint, release_no bigint")
+    assert tr.non_overlapping(df).count() == 0
+
+
 @pytest.mark.parametrize("per_day", [200, 1])
 def test_release_counts_no_bars(spark, per_day):
     n = 9000 if per_day > 1 else 400

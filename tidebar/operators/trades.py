@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidebar.functions.nulls import all_of, clip, div, ladder, truth
+from tidebar.operators.chains import FACTOR, RUN, chain, followers, levels
 from tidebar.operators.layout import blocked, chunk_width, order, own_rows, rolling
 from tidebar.operators.scan import number_rows, running
 from tidebar.session import cut_lineage
@@ -139,91 +140,16 @@ def with_release(trades: DataFrame, bars: DataFrame, cooldown_days: int, use: Co
     return out.withColumn("release_no", F.greatest(F.col("exit_no"), after)).drop("_after")
 
 
-def non_overlapping(trades: DataFrame, reach: int | None = None, run: int = 1024, min_history: int = 0) -> DataFrame:
+def non_overlapping(trades: DataFrame, run: int = RUN, factor: int = FACTOR, min_history: int = 0) -> DataFrame:
     """Keep the trades a trader with one position at a time would take, from bar ``min_history`` on.
 
-    Taking a trade at ``bar_no`` blocks decisions until ``release_no``, at most ``reach`` bars later
-    (by default the farthest release in the data).  The choice is sequential per symbol, but what one run of ``run`` bars hands to the
-    next is only how many of its first bars are blocked: fewer than ``reach`` cases.  So each run
-    works out its answer to every case on its own, the answers are chained (per 1024 runs, then
-    per symbol), and each run then replays its real case.
+    Taking a trade at ``bar_no`` blocks decisions until ``release_no``.  Each trade is linked to the first
+    one at or after its release, and the links are followed level by level (see ``chains``), so a release
+    may lie at any distance.  Of trades of one bar the one released first counts, and all rows of a taken bar stay.
     """
     t = cut_lineage(trades.where(F.col("release_no").isNotNull() & (F.col("bar_no") >= min_history)))
-    if reach is None:
-        reach = max(1, t.agg(F.max(F.col("release_no") - F.col("bar_no"))).first()[0] or 1)
-    first = lambda size: F.col("blk") * size + 1
-    sig = F.struct(F.col("bar_no").alias("at"), F.col("release_no").cast("bigint").alias("to"))
-    runs = (
-        t.groupBy("symbol", F.floor((F.col("bar_no") - 1) / run).alias("blk"))
-        .agg(F.array_sort(F.collect_list(sig)).alias("sigs"))
-        .withColumn("start", first(run))
-    )
-    cases = F.sequence(F.lit(0).cast("bigint"), F.lit(reach - 1).cast("bigint"))
-    through = lambda free, s: F.when(s["at"] >= free, s["to"]).otherwise(free)
-    runs = runs.withColumn("next_start", F.col("start") + run).withColumn(
-        "answers",
-        F.transform(
-            cases,
-            lambda d: F.greatest(F.aggregate("sigs", F.col("start") + d, through) - F.col("next_start"), F.lit(0).cast("bigint")),
-        ),
-    )
-
-    runs = cut_lineage(runs)
-
-    def enter(free: Column, b: Column) -> Column:
-        blocked_for = F.greatest(free - b["start"], F.lit(0).cast("bigint"))
-        return b["next_start"] + F.element_at(b["answers"], (blocked_for + 1).cast("int"))
-
-    step = F.struct("start", "next_start", "answers")
-    packs = (
-        runs.groupBy("symbol", F.floor(F.col("blk") / 1024).alias("pack"))
-        .agg(F.array_sort(F.collect_list(step)).alias("steps"))
-        .withColumn("start", F.element_at("steps", 1)["start"])
-        .withColumn("next_start", F.element_at("steps", -1)["next_start"])
-        .withColumn(
-            "answers",
-            F.transform(
-                cases,
-                lambda d: F.greatest(F.aggregate("steps", F.col("start") + d, enter) - F.col("next_start"), F.lit(0).cast("bigint")),
-            ),
-        )
-    )
-
-    packs = cut_lineage(packs)
-
-    def trace(acc: Column, b: Column) -> Column:
-        return F.struct(
-            enter(acc["free"], b).alias("free"),
-            F.concat(acc["seen"], F.array(F.struct(b["start"].alias("start"), acc["free"].alias("free")))).alias("seen"),
-        )
-
-    zero = lambda free: F.struct(
-        free.cast("bigint").alias("free"),
-        F.array().cast("array<struct<start:bigint,free:bigint>>").alias("seen"),
-    )
-    chained = (
-        packs.groupBy("symbol")
-        .agg(F.array_sort(F.collect_list(step)).alias("all"))
-        .select("symbol", F.explode(F.aggregate("all", zero(F.lit(1)), trace)["seen"]).alias("e"))
-        .select("symbol", F.col("e.start").alias("start"), F.col("e.free").alias("free"))
-    )
-    entered = (
-        packs.join(chained, ["symbol", "start"])
-        .select("symbol", F.explode(F.aggregate("steps", zero(F.col("free")), trace)["seen"]).alias("e"))
-        .select("symbol", F.col("e.start").alias("start"), F.col("e.free").alias("free"))
-    )
-
-    def take(acc: Column, s: Column) -> Column:
-        free_now = s["at"] >= acc["free"]
-        return F.struct(
-            F.when(free_now, s["to"]).otherwise(acc["free"]).alias("free"),
-            F.when(free_now, F.concat(acc["seen"], F.array(s["at"]))).otherwise(acc["seen"]).alias("seen"),
-        )
-
-    nothing = F.struct(F.col("free").cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("seen"))
-    taken = runs.join(entered, ["symbol", "start"]).select(
-        "symbol", F.explode(F.aggregate("sigs", nothing, take)["seen"]).alias("bar_no")
-    )
+    once = t.groupBy("symbol", F.col("bar_no").cast("bigint").alias("at")).agg(F.min(F.col("release_no").cast("bigint")).alias("free"))
+    taken = chain(followers(once, run), levels(once, run, factor), run, factor).withColumnRenamed("at", "bar_no")
     return t.join(taken, ["symbol", "bar_no"], "left_semi")
 
 
