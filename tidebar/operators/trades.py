@@ -8,12 +8,14 @@ from tidebar.functions.nulls import all_of, clip, div, ladder, truth
 from tidebar.operators.chains import FACTOR, RUN, chain, followers, levels
 from tidebar.operators.layout import blocked, chunk_width, order, own_rows, rolling
 from tidebar.operators.scan import number_rows, running
+from tidebar.operators.touch import far_exits
 from tidebar.session import cut_lineage
 
 ACTIONABLE = ["STRONG_BUY", "WEAK_BUY", "PROBING_BUY"]
 # Stop, target and longest holding by conviction.
 PROFILES = {"STRONG_BUY": (0.02, 0.03, 3), "WEAK_BUY": (0.015, 0.02, 1), "PROBING_BUY": (0.015, 0.02, 1)}
 SLIPPAGE = 0.001
+FAR = 64  # bars that a row still lists
 
 
 def with_profile(signals: DataFrame, decision: str = "decision") -> DataFrame:
@@ -56,8 +58,10 @@ def first_touch_exits(signals: DataFrame, max_hold: int = 3, block: int | None =
     Within a bar an opening gap through a level counts first, then the stop, then the target;
     the last allowed bar leaves at its close.  The bars a trade can see are a window of
     ``max_hold`` rows, so no join is needed.  Trades without an entry or whose bars run out are
-    INVALID.
+    INVALID.  Holds above ``FAR`` bars search range tables instead of listing the bars.
     """
+    if max_hold > FAR:
+        return far_exits(signals, max_hold, block)
     df = blocked(signals, ahead=max_hold, block=block).withColumn("_bars", _next_bars(max_hold))
     df = own_rows(df.where(F.col("hold").isNotNull()))
     entry = F.try_element_at("_bars", F.lit(1))["open"]
