@@ -17,7 +17,7 @@ from tidebar.functions.nulls import clip
 from tidebar.functions.prices import model_feature_view
 from tidebar.operators.paths import clip_step, daily_cap, diversity_agreement, weighted_mean
 from tidebar.operators.quantiles import exact_quantiles
-from tidebar.operators.scan import number_rows
+from tidebar.operators.scan import number_by_range
 from tidebar.session import cut_lineage, shared_folder
 
 # --- splits ----------------------------------------------------------------------------------------
@@ -25,9 +25,7 @@ from tidebar.session import cut_lineage, shared_folder
 
 def with_date_no(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
     """Add ``date_no`` (dense 1-based over all distinct times) and ``n_dates``."""
-    chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (2048 * 86400))
-    dates = number_rows(df.select(ts).distinct().withColumn("_all", F.lit(1)), ["_all"], ts, "date_no", chunk)
-    dates = cut_lineage(dates.drop("_all"))
+    dates = cut_lineage(number_by_range(df, ts, "date_no"))
     return df.join(dates, ts).withColumn("n_dates", dates.agg(F.max("date_no")).scalar())
 
 

@@ -53,3 +53,17 @@ def number_rows(df: DataFrame, keys: list[str], ts: str, out: str, chunk: Column
         .withColumn(out, F.col("_b") + F.col("_p"))
         .drop("_ch", "_b", "_p")
     )
+
+
+def number_by_range(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Dense 1-based number of the distinct values of ``by`` (nulls first), over the whole table.
+
+    Values are dealt by ranges, numbered inside their range, and moved on by the counts of the ranges
+    before.  How densely values lie does not matter: a burst is cut like any other stretch.
+    """
+    dealt = df.select(by).distinct().repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    pos = F.row_number().over(W.partitionBy("_part").orderBy(by))
+    return dealt.withColumn("_p", pos).join(F.broadcast(base), "_part").select(by, (F.col("_b") + F.col("_p")).alias(out))

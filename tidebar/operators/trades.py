@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tidebar.functions.nulls import all_of, clip, div, ladder, truth
 from tidebar.operators.chains import FACTOR, RUN, chain, followers, levels
 from tidebar.operators.layout import blocked, chunk_width, order, own_rows, rolling
-from tidebar.operators.scan import number_rows, running
+from tidebar.operators.scan import number_by_range, running
 from tidebar.operators.touch import far_exits
 from tidebar.session import cut_lineage
 
@@ -209,8 +209,7 @@ def top_n_per_date(scored: DataFrame, n: int, score: str = "score", least: int =
 
 def next_dates(dates: DataFrame) -> DataFrame:
     """Each time with the time after it (equi-join on a dense number; no global sort)."""
-    chunk = F.floor(F.unix_timestamp(F.col("bar_ts").cast("timestamp")) / chunk_width(dates, keys=[]))
-    d = number_rows(dates.select("bar_ts").distinct().withColumn("_all", F.lit(1)), ["_all"], "bar_ts", "_no", chunk)
+    d = cut_lineage(number_by_range(dates, "bar_ts", "_no"))
     after = d.select(F.col("bar_ts").alias("next_ts"), (F.col("_no") - 1).alias("_no"))
     return d.join(after, "_no").select("bar_ts", "next_ts")
 
