@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidebar.operators.heavy import BYTES, checked_join
+
 # A small default lexicon (word -> valence) and the words that negate the next one.
 LEXICON = {
     "amazing": 2.8, "awful": -2.0, "bad": -2.5, "bearish": -2.1, "best": 3.2, "boom": 1.8, "breakout": 1.4,
@@ -15,7 +17,6 @@ LEXICON = {
 }
 NEGATIONS = ["no", "not", "never", "cannot", "without"]
 FLIP, NORM = -0.74, 15.0
-BROADCAST_WORDS = 200_000
 
 
 # What cleaning replaces, in this order.
@@ -35,19 +36,17 @@ def lexicon_table(spark: SparkSession, words: dict[str, float] | None = None) ->
     return spark.createDataFrame(sorted((LEXICON if words is None else words).items()), "word string, valence double")
 
 
-def with_compound(df: DataFrame, cleaned: str, keys: list[str], lexicon: DataFrame) -> DataFrame:
+def with_compound(df: DataFrame, cleaned: str, keys: list[str], lexicon: DataFrame, most: int = BYTES) -> DataFrame:
     """``keys`` and compound: the sum of word valences, flipped after a negation, squeezed into [-1, 1].
 
-    ``keys`` tell the rows apart.  Words meet the lexicon by a join (broadcast while it has at most
-    ``BROADCAST_WORDS`` words) and are summed per row before the shuffle.  A text without known words
-    scores 0.
+    ``keys`` tell the rows apart.  Words meet the lexicon by a join: it is broadcast while it is below
+    ``most`` bytes, beyond that words that many texts hold are dealt to many tasks.  A text without known
+    words scores 0.
     """
     known = lexicon.groupBy("word").agg(F.max("valence").alias("valence"))
-    if known.count() <= BROADCAST_WORDS:
-        known = F.broadcast(known)
     words = F.split(cleaned, " ")
     before = F.concat(F.array(F.lit("")), F.slice(words, F.lit(1), F.size(words) - 1))
     rows = df.select(*keys, F.explode(F.arrays_zip(words.alias("word"), before.alias("before"))).alias("w")).select(*keys, "w.word", "w.before")
     worth = F.col("valence") * F.when(F.col("before").isin(NEGATIONS), FLIP).otherwise(1.0)
     s = F.coalesce(F.sum(worth), F.lit(0.0))
-    return rows.join(known, "word", "left").groupBy(*keys).agg(s.alias("_s")).withColumn("compound", F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORM)).drop("_s")
+    return checked_join(rows, known, "word", "left", most).groupBy(*keys).agg(s.alias("_s")).withColumn("compound", F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + NORM)).drop("_s")

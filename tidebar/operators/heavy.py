@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 HEAVY = 20_000  # rows of one key that a task still takes as they come
 SPREAD = 64  # pieces that a heavy key is dealt to
 KEYS = 1_000_000  # heavy keys that are broadcast at most
+BYTES = 32 << 20  # bytes of a table that is broadcast whole
+ROW = 48  # bytes of a row beside its key
 
 
 def heavy_keys(left: DataFrame, key: str, heavy: int = HEAVY) -> DataFrame:
@@ -33,3 +35,16 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     one = left.join(marks, key, "left").withColumn("_piece", F.when(F.col("_heavy"), deal).otherwise(0)).drop("_heavy")
     two = right.join(marks, key, "left").withColumn("_piece", F.explode(F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0))))).drop("_heavy")
     return one.join(two, [key, "_piece"], how).drop("_piece")
+
+
+def fits(right: DataFrame, key: str, most: int = BYTES) -> bool:
+    """Whether a narrow table (a key and a few numbers) stays below ``most`` bytes: counted, not estimated."""
+    size = right.agg(F.sum(F.octet_length(F.col(key).cast("string")) + ROW)).first()[0]
+    return (size or 0) <= most
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", most: int = BYTES, **spread) -> DataFrame:
+    """Join with a narrow table of unique keys: broadcast below ``most`` bytes, else with heavy keys dealt to many tasks."""
+    if fits(right, key, most):
+        return left.join(F.broadcast(right), key, how)
+    return spread_join(left, right, key, how, **spread)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from tidebar.operators.heavy import BYTES, checked_join
+
 PRICES = ["open", "high", "low", "close", "volume"]
 BARS = T.StructType(
     [T.StructField("symbol", T.StringType()), T.StructField("bar_ts", T.TimestampType())]
@@ -167,16 +169,18 @@ def bars_from_ticks(ticks: DataFrame, freq: str, tie: str | None = None) -> Data
     )
 
 
-def with_source_fallback(primary: DataFrame, secondary: DataFrame, least: int = 100) -> DataFrame:
+def with_source_fallback(primary: DataFrame, secondary: DataFrame, least: int = 100, most: int = BYTES) -> DataFrame:
     """Per symbol: the primary source when it has ``least`` rows, else the secondary one.
 
-    The per-symbol counts decide; each source is then filtered by its own list of symbols.
+    The per-symbol counts decide; each source is then filtered by the list of symbols, which is
+    broadcast while it is small.  Beyond that the rows of a heavy symbol are dealt to many tasks.
+    Rows without a symbol have no primary count and come from the secondary source.
     """
-    n1 = primary.groupBy("symbol").agg(F.count(F.lit(1)).alias("n1"))
-    chosen = n1.where(F.col("n1") >= least).select("symbol")
-    return primary.join(chosen, "symbol", "left_semi").unionByName(
-        secondary.join(chosen, "symbol", "left_anti")
-    )
+    n1 = primary.where(F.col("symbol").isNotNull()).groupBy("symbol").agg(F.count(F.lit(1)).alias("n1"))
+    chosen = n1.where(F.col("n1") >= least).select("symbol", F.lit(True).alias("_chosen"))
+    first = checked_join(primary, chosen, "symbol", "inner", most)
+    other = checked_join(secondary, chosen, "symbol", "left", most).where("_chosen IS NULL")
+    return first.drop("_chosen").select(primary.columns).unionByName(other.drop("_chosen"))
 
 
 def symbol_dim(spark: SparkSession) -> DataFrame:
