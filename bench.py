@@ -19,7 +19,7 @@ HEADLINE = [
 
 def main() -> None:
     from tidebar.plans.catalog import QUERIES
-    from tidebar.session import build_session
+    from tidebar.session import build_session, scoped_tables
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -30,8 +30,9 @@ def main() -> None:
         seen = []
         for _ in range(runs):
             start = time.perf_counter()
-            QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            seen.append(time.perf_counter() - start)
+            with scoped_tables(spark):
+                QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                seen.append(time.perf_counter() - start)
         times[name] = round(min(seen), 3)
         print(name, times[name], file=sys.stderr, flush=True)
     total = round(sum(times.values()), 3)

@@ -48,7 +48,7 @@ def _ablation_sql():
     CASE WHEN v.snt AND twitter_sentiment > 0.5 THEN least(1, confidence_score * (1 + least(0.045, least(1, twitter_volume / 120.0) * least(1, abs(twitter_sentiment)) * 0.03))) ELSE confidence_score END AS confidence_score, false AS cooldown_active), v.name AS vname, v.cd, v.strict
   FROM sg0 s, (VALUES ('A_full', true, true, true, true), ('B_no_twitter', false, true, true, true), ('C_no_regime_filter', true, false, true, true), ('D_no_cooldown', true, true, false, true), ('E_weaker_thresholds', true, true, true, true), ('F_decision_layer_only', true, true, true, false)) v(name, snt, reg, cd, strict)), sg AS (SELECT * FROM sgx)"""
     tail = """, picked AS (SELECT t.symbol, t.vname, t.cd, t.n, t.bar_ts, CASE WHEN t.strict THEN t.td WHEN d.tsig = 'BUY' THEN CASE WHEN d.hc THEN 'STRONG_BUY' ELSE 'WEAK_BUY' END ELSE 'NO_TRADE' END AS decision FROM tier t JOIN dec d ON d.symbol = t.symbol AND d.n = t.n AND d.vname = t.vname),
-prof AS (SELECT *, CASE decision WHEN 'STRONG_BUY' THEN 0.02 ELSE 0.015 END AS sl, CASE decision WHEN 'STRONG_BUY' THEN 0.03 ELSE 0.02 END AS tp, CASE decision WHEN 'STRONG_BUY' THEN 3 ELSE 1 END AS hold FROM picked WHERE decision <> 'NO_TRADE'),
+prof AS (SELECT *, CASE decision WHEN 'STRONG_BUY' THEN 0.02 ELSE 0.015 END AS sl, CASE decision WHEN 'STRONG_BUY' THEN 0.03 ELSE 0.02 END AS tp, CASE decision WHEN 'STRONG_BUY' THEN 3 ELSE 1 END AS hold FROM picked WHERE decision <> 'NO_TRADE' AND n >= 80),
 ent AS (SELECT p.*, b.open AS entry FROM prof p LEFT JOIN bars b ON b.symbol = p.symbol AND b.n = p.n + 1),
 pth AS (SELECT e.symbol, e.vname, e.n, b.n - e.n AS j, CASE WHEN b.open <= entry*(1-sl) THEN 1 WHEN b.open >= entry*(1+tp) THEN 1 WHEN b.low <= entry*(1-sl) THEN 1 WHEN b.high >= entry*(1+tp) THEN 1 WHEN b.n - e.n = hold THEN 1 END AS why,
   CASE WHEN b.open <= entry*(1-sl) THEN b.open WHEN b.open >= entry*(1+tp) THEN b.open WHEN b.low <= entry*(1-sl) THEN entry*(1-sl) WHEN b.high >= entry*(1+tp) THEN entry*(1+tp) ELSE b.close END AS px FROM ent e JOIN bars b ON b.symbol = e.symbol AND b.n BETWEEN e.n + 1 AND e.n + e.hold),

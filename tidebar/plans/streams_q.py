@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tidebar.operators.ewm import WARMUP, Ewm, with_ewm
 from tidebar.operators.layout import blocked, own_rows
@@ -24,19 +24,25 @@ def as_stream(spark, df):
     return flows.file_stream(spark, df.schema, path)
 
 
-PARTS, FILES = 4, 4  # micro-batches of a replayed table, files per batch
+PARTS, FILES = 4, 4  # micro-batches of a replayed table at least, files per batch
+BATCH_ROWS = 20_000  # rows that one symbol may bring in a micro-batch
 
 
 def as_daily_stream(spark, df):
     """The rows as a file stream whose batches follow each other in time: equal spans of days."""
     path = f"{shared_folder(spark)}/tidebar/source-{uuid.uuid4().hex}"
     df = cut_lineage(df.withColumn("_day", F.datediff(F.col("bar_ts"), F.lit("1970-01-01"))))
-    first, last = df.agg(F.min("_day"), F.max("_day")).first()
-    step = ((last or 0) - (first or 0)) // PARTS + 1
-    for part in range(PARTS):
-        inside = F.floor((F.col("_day") - (first or 0)) / step) == part
-        df.where(inside).drop("_day").repartition(FILES).write.mode("append").parquet(path)
-    return flows.file_stream(spark, df.drop("_day").schema, path, FILES)
+    # rows of the busiest symbol a day, so that no batch brings more than BATCH_ROWS of one symbol
+    # (a single day is not cut: it is the unit in which decisions may not be reordered)
+    days = cut_lineage(df.groupBy("_day", "symbol").agg(F.count("*").alias("n")).groupBy("_day").agg(F.max("n").alias("n")))
+    before = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    total = days.agg(F.sum("n")).first()[0] or 1
+    size = max(1, min(BATCH_ROWS, -(-total // PARTS)))
+    part = days.select("_day", F.floor(F.coalesce(before, F.lit(0)) / size).cast("int").alias("_batch"))
+    df = cut_lineage(df.join(F.broadcast(part), "_day"))  # a row per day
+    for r in part.select("_batch").distinct().orderBy("_batch").collect():
+        df.where(F.col("_batch") == r["_batch"]).drop("_day", "_batch").repartition(FILES).write.mode("append").parquet(path)
+    return flows.file_stream(spark, df.drop("_day", "_batch").schema, path, FILES)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,32 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+WRITTEN: list[str] = []  # intermediate tables of this process, oldest first
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables written after the first ``since`` ones; returns how many there were.
+
+    For use once a result has been stored or collected: a result that is still lazy reads them.
+    """
+    gone, WRITTEN[since:] = WRITTEN[since:], []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+    return len(gone)
+
+
+@contextmanager
+def scoped_tables(spark: SparkSession):
+    """Intermediate tables written inside go at the end, whether the block succeeds or not."""
+    start = len(WRITTEN)
+    try:
+        yield
+    finally:
+        drop_tables(spark, start)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and go on from the written table.
 
@@ -56,5 +83,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidebar/{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
