@@ -307,13 +307,14 @@ def trade_tiers(spark, sf):
     + """, o AS (SELECT *, list_filter([CASE WHEN rsi_14 < 30 THEN 'RSI is oversold' END, CASE WHEN rsi_14 > 70 THEN 'RSI is stretched' END, CASE WHEN return_7d > 0.02 THEN 'weekly momentum is positive' END, CASE WHEN return_7d < -0.02 THEN 'weekly momentum is negative' END,
   CASE WHEN macd_histogram > 0 THEN 'MACD is building' END, CASE WHEN macd_histogram < 0 THEN 'MACD is fading' END], lambda x: x IS NOT NULL) AS ob FROM sg),
 p AS (SELECT *, CASE WHEN len(ob) = 0 THEN ['indicators are mixed'] ELSE ob END || list_filter(['weights lean on gradient trees 50%, forest 30%', CASE WHEN mean_agreement < 0.55 THEN 'models disagree' WHEN mean_agreement > 0.8 THEN 'models agree' END,
-  'classifier leans ' || CASE WHEN p_up >= greatest(p_down, p_neutral) THEN 'up' WHEN p_down = pm THEN 'down' ELSE 'neutral' END, CASE WHEN confidence_score >= 0.58 THEN 'confidence is fairly strong' WHEN confidence_score <= 0.32 THEN 'confidence is limited' END], lambda x: x IS NOT NULL) AS parts FROM o)
-SELECT symbol, n AS bar_no, 'Trend: ' || lower(trend_label) || '. ' || array_to_string(parts[1:5], '; ') || '.' AS explanation FROM p""",
+  'classifier leans ' || CASE WHEN p_up >= greatest(p_down, p_neutral) THEN 'up' WHEN p_down = pm THEN 'down' ELSE 'neutral' END, CASE WHEN ln(final_prediction / close) > 0.002 AND p_down - p_up > 0.08 THEN 'classifier contradicts the rising path' WHEN ln(final_prediction / close) < -0.002 AND p_up - p_down > 0.08 THEN 'classifier contradicts the falling path' END,
+  CASE WHEN confidence_score >= 0.58 THEN 'confidence is fairly strong' WHEN confidence_score <= 0.32 THEN 'confidence is limited' END], lambda x: x IS NOT NULL) AS parts FROM o)
+SELECT symbol, n AS bar_no, 'Trend: ' || CASE trend_label WHEN 'STRONG UP' THEN 'strongly upward' WHEN 'UP' THEN 'mildly upward' WHEN 'SIDEWAYS' THEN 'range-bound' WHEN 'NEUTRAL' THEN 'range-bound' WHEN 'DOWN' THEN 'mildly downward' WHEN 'STRONG DOWN' THEN 'strongly downward' ELSE 'neutral' END || '. ' || array_to_string(parts[1:5], '; ') || '.' AS explanation FROM p""",
 )
 def explanations(spark, sf):
     w = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(x).alias("weight")) for m, x in (("forest", 0.3), ("gradient_trees", 0.5), ("linear", 0.2))])
     df = signals_table(spark, sf)
-    return df.select("symbol", "bar_no", sg.explanation(w, F.col("mean_agreement"), F.col("confidence_score"), F.col("trend_label")).alias("explanation"))
+    return df.select("symbol", "bar_no", sg.explanation(w, F.col("mean_agreement"), F.col("confidence_score"), F.col("trend_label"), F.log(F.col("final_prediction") / F.col("close"))).alias("explanation"))
 
 
 @query(
