@@ -95,3 +95,7 @@ def test_components(spark):
                 todo += near[x]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+def test_query_like_its_sql(same_as_oracle):
+    assert len(same_as_oracle("op10_ngram_jaccard_join")) > 100

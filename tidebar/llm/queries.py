@@ -85,7 +85,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("op10_ngram_jaccard_join")
+def _components_sql(k: int, share: int, last: str = "") -> str:
+    """Sets of k-word shingles, links by their exact similarity, the smallest doc_id reachable."""
+    return rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({DUCK_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < {k} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {k - 1}], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {share} * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id{last}
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id"""
+
+
+@query("op10_ngram_jaccard_join", _components_sql(5, 75))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -155,19 +169,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(docs, F.concat_ws("/", "source", level, part, F.col("doc_id").cast("string")))
 
 
-@query(
-    "op11_circulant_minhash",
-    rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({DUCK_LOWER.format('text')}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-link AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
-  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
-c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id""",
-)
+@query("op11_circulant_minhash", _components_sql(3, 85, ", coalesce(component_id, d.doc_id) = d.doc_id AS kept"))
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_components(table(spark, sf_dir, "documents"))
 
