@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from tidebar.llm import jaccard_join
 from tidebar.llm.components import components
-from tidebar.llm.jaccard_join import jaccard_components, representatives
+from tidebar.llm.jaccard_join import bitmap, jaccard_components, representatives
 
 
 def shingles(text, k=5):
@@ -65,6 +67,41 @@ def test_brute_force(docs_of, seed, least, most, frequent):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows))
 
 
+def test_small_tiles(docs_of):
+    rows = corpus(6, families=10)
+    got = jaccard_components(docs_of(rows), least_df=2, bucket=20000, most=2, side=3, tile=7)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute(rows))
+
+
+def test_bitmap_never_exceeds_the_difference():
+    rng = np.random.default_rng(1)
+    for size in (1, 30, 500, 9000):
+        a = rng.integers(0, 2**63, size, np.uint64)
+        b = np.unique(np.concatenate([a[size // 4 :], rng.integers(0, 2**63, size // 5, np.uint64)]))
+        a = np.unique(a)
+        differ = int(np.bitwise_count(np.frombuffer(bitmap(a), np.uint64) ^ np.frombuffer(bitmap(b), np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_unlike_documents_with_a_common_line(docs_of, monkeypatch):
+    # a line as long as a prefix, too short for a link, in 600 unlike documents and 40 near copies
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    line, base = [word() for _ in range(34)], [word() for _ in range(30)]
+    rows = [(i, " ".join(line + [word() for _ in range(30)])) for i in range(600)]
+    rows += [(600 + i, " ".join(line + base[:-1] + [word()])) for i in range(40)]
+    asked, plain = [], jaccard_join.similar
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "similar", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs_of(rows), least_df=2).collect()}
+    assert got == {i: min(i, 600) for i in range(640)}
+    assert sum(asked) < 20 * len(rows)  # 179 700 pairs of unlike documents share the line
+
+
 def test_ids(docs_of):
     text = "some words that are long enough to count here"
     rows = [(None, text), (7, text), (5, text + " more"), (5, "other text of six words only"), (None, "quite different words without any copy here"), (9, None), (5, text + " more")]

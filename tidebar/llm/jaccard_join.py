@@ -11,7 +11,9 @@
    pair stays if the shared prefix shingles and the rest of the sets can still reach the overlap.
    Lists of more than ``LONG`` groups are never paired off (with the order above they arise only where
    nearly all shingles of a set are frequent, in large families of near copies): their groups meet a
-   few hubs, and afterwards only groups that are not yet in the list's main component meet the others.
+   few hubs, and afterwards only sets that are not yet in the list's main component meet the others, in
+   tiles of bounded size that hold a parity bitmap of each set instead of its text: bits that differ
+   bound the difference of two sets from below, so no similar pair is lost and few others leave a tile.
 4. *Members.*  Pairs are expanded to distinct sets and verified on the texts, first along hubs, then
    every candidate pair whose ends lie in different components.  Pairs inside a component cannot
    change it, so no link between components is lost and families are not paired off.
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidebar.llm.components import components
 from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, ngram_hashes, slices
+from tidebar.operators.heavy import spread_join
 from tidebar.session import cut_lineage
 
 SHINGLE = 5  # words
@@ -37,6 +40,10 @@ LEAST_DF = 16
 LONG = 16  # groups in a list of the index that are still paired off
 HUBS = 4  # hubs that each group outside a list's main component meets per round
 ROUNDS = 2
+SIDE, TILE = 512, 2048  # sets of a tile: outside the list's main component, of all
+BITMAP = 2048  # bits of a set's parity bitmap
+FIRST = 32  # lists of a set that tell whether a pair was met in an earlier list
+FEW = 2_000_000  # rows of two ids that are broadcast at most
 BUCKET = 12_000_000  # bytes of text whose shingles one bucket holds
 FLUSH = 2_000_000  # shingles gathered before they are dealt to buckets
 SIZE = (1 << 24) - 1  # largest set size that a group id holds; larger ones share it
@@ -255,6 +262,17 @@ def index(docs: DataFrame, order, bits: int, share: int, k: int, buckets: int, m
     return docs.mapInArrow(postings, "bucket int, x binary, y binary").groupBy("bucket").applyInArrow(joined, "kind int, x long, y long, z long, w long")
 
 
+def bitmap(shingles: np.ndarray, size: int = BITMAP) -> bytes:
+    """Parity of the number of shingles per slot: bits that differ between two sets are at most the shingles that do."""
+    odd = np.bincount((mix(shingles) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for a broadcast if it has at most ``FEW`` rows (counted)."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def similar(pairs: DataFrame, texts: DataFrame, share: int, k: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are similar; ``texts`` has one text per set (set_id, text)."""
 
@@ -271,12 +289,15 @@ def similar(pairs: DataFrame, texts: DataFrame, share: int, k: int) -> DataFrame
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([rows.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
+    pairs = cut_lineage(pairs)
+    asked = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    texts = texts.join(_small(asked), "set_id", "left_semi")  # only these are shuffled
     one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, frequent: int = FREQUENT, least_df: int = LEAST_DF, bucket: int = BUCKET, most: int = LONG) -> DataFrame:
+def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, frequent: int = FREQUENT, least_df: int = LEAST_DF, bucket: int = BUCKET, most: int = LONG, side: int = SIDE, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), one row per row of ``docs``.
 
     Words are runs of non-blank characters with A-Z lowered.  A document with fewer than ``k`` words
@@ -326,14 +347,13 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
     asked = both.select(F.col("a").alias("g")).unionByName(lists.select("g")).unionByName(many.select("g")).distinct()
     asked = cut_lineage(sets.join(asked, "g", "left_semi"))
     plain = texts.withColumnRenamed("doc_id", "id")
-    picked = cut_lineage(_own_texts(asked.join(plain, F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), k))
+    picked = cut_lineage(_own_texts(plain.join(_small(asked), F.col("doc_id").eqNullSafe(F.col("id"))).select("set_id", "text"), k))
     links = cut_lineage(similar(starts.unionByName(inside).where("a <> b").distinct(), picked, share, k))
     roots = components(links)
 
     groups = asked.select("set_id", "g")
-    # with how many long lists a group is in: what two groups can share there
-    listed = lists.join(in_long, "g").select(F.col("rank").alias("key"), "g", "q")
-    listed = cut_lineage(listed.unionByName(many.select(F.col("g").alias("key"), "g", F.lit(1 << 40).alias("q"))).join(groups, "g"))
+    listed = lists.select(F.col("rank").alias("key"), "g")
+    listed = cut_lineage(listed.unionByName(many.select(F.col("g").alias("key"), "g")).join(groups, "g"))
     for turn in range(ROUNDS):
         # sets outside the main component of a list meet some of it
         hot = _split(listed, roots)
@@ -350,13 +370,9 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
     placed = cut_lineage(groups.join(roots, F.col("set_id") == F.col("node"), "left").select("g", "set_id", F.coalesce("root", "set_id").alias("root")))
     pa_, pb_ = (placed.select(F.col("g").alias(x), F.col("set_id").alias(f"s{x}"), F.col("root").alias(f"r{x}")) for x in ("a", "b"))
     cross = pairs.join(pa_, "a").join(pb_, "b").where("ra <> rb")
-    hot = _split(listed, roots)
-    other = hot.where("root <> main").select("key", F.col("g").alias("og"), F.col("set_id").alias("oset"), F.col("root").alias("oroot"), F.col("q").alias("oq"))
-    # pairs that also share short lists are in ``pairs``; these share long ones only, at most as many as either is in
-    reach = F.least("q", "oq") + F.greatest(rest("g"), rest("og")) >= F.ceil(share * (size("g") + size("og")) / (100 + share))
-    met = hot.join(other, "key").where((F.col("root") != F.col("oroot")) & fits("g", "og") & (reach | (F.greatest(size("g"), size("og")) == SIZE)))
-    cross = cross.select("sa", "sb").unionByName(met.select(F.col("set_id").alias("sa"), F.col("oset").alias("sb")))
-    cross = cross.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+    # pairs that share long lists; many of them are in ``pairs`` too
+    met = tiles(_split(listed, roots), picked, share, side, tile)
+    cross = cross.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).unionByName(met).distinct()
     more = cut_lineage(similar(cross, picked, share, k))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
@@ -371,24 +387,62 @@ def jaccard_components(docs: DataFrame, share: int = SHARE, k: int = SHINGLE, fr
 
 
 def _own_texts(picked: DataFrame, k: int) -> DataFrame:
-    """One text per set id, the one whose set it is (rows that share a doc_id bring others along)."""
+    """One text per set id, the one whose set it is (rows that share a doc_id bring others along), its size and bitmap."""
 
     def check(batches):
         for rows, texts in slices(batches):
             sets = shingle_sets(texts, k)
             ids = np.array([int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) for s in sets], np.uint64).view(np.int64)
-            keep = pa.array(rows.column("set_id").to_numpy() == ids)
-            yield rows.filter(keep)
+            rows = pa.RecordBatch.from_arrays([rows.column("set_id"), rows.column("text"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], ["set_id", "text", "n", "bits"])
+            yield rows.filter(pa.array(rows.column("set_id").to_numpy() == ids))
+
+    return picked.mapInArrow(check, "set_id long, text string, n long, bits binary").dropDuplicates(["set_id"])
+
+
+def tiles(hot: DataFrame, picked: DataFrame, share: int, side: int, tile: int) -> DataFrame:
+    """Pairs (a, b) between sets outside a list's main component and all its sets whose bitmaps allow a link.
+
+    A pair that meets in several lists leaves the first one only, as far as the ``FIRST`` smallest lists
+    of its sets tell: if these have a list in common, the smallest one is the first of all.
+    """
 
-    return picked.mapInArrow(check, picked.schema).dropDuplicates(["set_id"])
+    def match(t: pa.Table) -> pa.Table:
+        key = t.column("key")[0].as_py()
+        ids, n = t.column("set_id").to_numpy(), t.column("n").to_numpy()
+        root, main, outer = t.column("root").to_numpy(), t.column("main").to_numpy(), t.column("outer").to_numpy()
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        lists = [set(x) for x in t.column("lists").to_pylist()]
+        others = np.flatnonzero(~outer)
+        left, right = [], []
+        for x in np.flatnonzero(outer).tolist():
+            # two sets outside the main component meet once
+            y = others[(root[others] != root[x]) & ((root[others] == main[x]) | (ids[others] > ids[x]))]
+            y = y[100 * np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x])]
+            both = n[y] + n[x]
+            differ = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+            for i in y[(100 + share) * (both - differ) >= 2 * share * both].tolist():
+                if min(lists[x] & lists[i], default=key) == key:
+                    left.append(min(ids[x], ids[i]))
+                    right.append(max(ids[x], ids[i]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    lists = hot.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST).alias("lists"))
+    sets = cut_lineage(lists.join(picked.select("set_id", "n", "bits"), "set_id"))
+    deal = lambda salt, pieces: F.pmod(F.xxhash64("set_id", F.lit(salt)), pieces)
+    placed = hot.withColumn("_o", F.ceil(F.col("rest") / side)).withColumn("_i", F.ceil(F.col("m") / tile))
+    upto = lambda pieces: F.explode(F.sequence(F.lit(0).cast("long"), F.col(pieces) - 1))
+    outer = placed.where("root <> main").select("key", "set_id", "root", "main", F.lit(True).alias("outer"), deal(1, F.col("_o")).alias("x"), upto("_i").alias("y"))
+    inner = placed.select("key", "set_id", "root", "main", F.lit(False).alias("outer"), upto("_o").alias("x"), deal(2, F.col("_i")).alias("y"))
+    rows = outer.unionByName(inner).join(sets, "set_id")
+    return rows.groupBy("key", "x", "y").applyInArrow(match, "a long, b long")
 
 
 def _split(listed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Lists (key, g, set_id, q) that hold several components, with each row's root and the list's main root."""
-    rows = listed.join(roots, F.col("set_id") == F.col("node"), "left").select("key", "g", "set_id", "q", F.coalesce("root", "set_id").alias("root"))
+    """Rows (key, set_id, root, main, m, rest) of lists with several components: m sets, rest outside the main one."""
+    rows = listed.join(roots, F.col("set_id") == F.col("node"), "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     rows = cut_lineage(rows.coalesce(max(4, roots.sparkSession.sparkContext.defaultParallelism)))
-    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    return rows.join(main, "key")
+    main = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("rest"), F.count("*").alias("parts"))
+    return cut_lineage(spread_join(rows, main.where("parts > 1").drop("parts"), "key", "inner"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
