@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidebar.llm.suffix_dedup import DiskQueue, between, earlier, range_min, suffix_dedup
+from tidebar.llm.suffix_dedup import DiskQueue, between, earlier, pack_meta, range_min, repeated, suffix_dedup, unpack_meta
 
 
 def brute(rows, window):
@@ -74,3 +74,20 @@ def test_default_windows(docs_of):
     got = [(r.doc_id, r.n_bytes, tuple((s.first, s.end) for s in r.spans), bytes(r.kept)) for r in suffix_dedup(docs_of(rows)).collect()]
     assert sorted(got) == sorted(brute(rows, 100))
     assert suffix_dedup(docs_of([])).count() == 0
+
+
+def test_meta_round_trip():
+    rng = np.random.default_rng(2)
+    for rows in (1, 2, 500):
+        doc = np.sort(rng.integers(-3, rows, rows))
+        meta = np.stack([doc, doc * -(2**61), *rng.integers(0, 2**40, (3, rows))], axis=1)
+        assert (unpack_meta(pack_meta(meta)) == meta).all()
+
+
+def test_repeated_keys():
+    rng = np.random.default_rng(3)
+    for most in (1, 5, 1000, 2**64 - 1):
+        key = rng.integers(0, most, 700, np.uint64, endpoint=True)
+        values, counts = np.unique(key, return_counts=True)
+        assert repeated(key).tolist() == np.flatnonzero(np.isin(key, values[counts > 1])).tolist()
+    assert not len(repeated(np.zeros(0, np.uint64)))

@@ -42,6 +42,7 @@ BUCKET = 5 << 20  # bytes of input text per bucket (the windows sent there are a
 LEADS = 10_000  # an anchor that leads more than one in so many runs is frequent
 QUEUE = 60_000  # suffix tuples held in memory before a sorted run goes to disk
 INDUCE = 60_000  # anchors that are induced together; more only if they share their first bytes
+SAMPLE = (64, 1024)  # texts, and characters of each, in the compression dictionary
 OFFSET = np.uint64(127)
 FREQUENT = np.uint64(1 << 63)
 
@@ -88,13 +89,27 @@ class Batch:
         return index[first], index[np.append(first[1:], len(index)) - 1]
 
 
+def repeated(key: np.ndarray) -> np.ndarray:
+    """Positions of the keys that occur more than once (sorting values costs far less than sorting positions)."""
+    each = np.sort(key)
+    twice = np.unique(each[1:][each[1:] == each[:-1]])
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[twice >> np.uint64(44)] = True
+    at = np.flatnonzero(maybe[key >> np.uint64(44)])
+    return at[twice[np.minimum(np.searchsorted(twice, key[at]), len(twice) - 1)] == key[at]]
+
+
 def earlier(data: bytes, at: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
     """Which windows repeat one before them: by fingerprint, confirmed on the bytes stretch by stretch."""
-    order = np.argsort(key)
-    first = run_starts(key[order])
-    lead = np.empty(len(at), np.int64)
-    lead[order] = np.repeat(np.minimum.reduceat(order, first), np.diff(np.append(first, len(order))))
-    out = lead < np.arange(len(at))
+    again = repeated(key)
+    again = again[np.argsort(key[again])]
+    out, lead = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+    if len(again):
+        first = run_starts(key[again])
+        lead[again] = np.repeat(np.minimum.reduceat(again, first), np.diff(np.append(first, len(again))))
+        out[again] = lead[again] < again
     check = np.flatnonzero(out)
     if not len(check):
         return out
@@ -112,6 +127,30 @@ def earlier(data: bytes, at: np.ndarray, key: np.ndarray, window: int) -> np.nda
     return out
 
 
+def pack_meta(meta: np.ndarray) -> bytes:
+    """Rows (doc_id, h, first, n, anchor) as byte planes of columns, ids once per run of rows of a document."""
+    start = run_starts(meta[:, 0], meta[:, 1])
+    flat = np.concatenate([[len(start)], meta[start, 0], meta[start, 1], np.diff(np.append(start, len(meta))), meta[:, 2], meta[:, 3], meta[:, 4]])
+    return zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_meta(blob: bytes) -> np.ndarray:
+    flat = np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+    k = int(flat[0])
+    ids, rest = flat[1 : 1 + 3 * k].reshape(3, -1), flat[1 + 3 * k :].reshape(3, -1)
+    return np.stack([np.repeat(ids[0], ids[2]), np.repeat(ids[1], ids[2]), *rest], axis=1)
+
+
+def sample_text(docs: DataFrame) -> bytes:
+    """The start of a few texts: only a dictionary for the compression of windows; no result depends on it."""
+    found = docs.where("text <> ''").select(F.substring("text", 1, SAMPLE[1]).alias("t")).limit(SAMPLE[0]).collect()
+    return b" ".join(r.t.encode() for r in found).ljust(64)
+
+
+def dictionary(sample: bytes) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 class DiskQueue:
     """Priority queue of (suffix, ...) tuples: sorted runs on disk, merged when emptied."""
 
@@ -234,8 +273,10 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
 
     hot = spark.sparkContext.broadcast(frequent(docs.mapInArrow(counted, "value long, runs long"), leads))
 
+    sample = spark.sparkContext.broadcast(sample_text(docs))
+
     def sent(batches):
-        no = 0
+        no, packer = 0, zstandard.ZstdCompressor(level=3, dict_data=dictionary(sample.value))
         for rows, texts in slices(batches, limit=batch):
             b = Batch(texts, ids_of(rows), rows.column("h").to_numpy(), window)
             out = []
@@ -253,7 +294,7 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
             for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(to)]):
                 some = to[i:j]
                 packed = b"".join([b.data[x : y + window] for x, y in zip(b.at[a[some]].tolist(), b.at[z[some]].tolist())])
-                out.append((int(where[to[i]]), zstandard.compress(np.ascontiguousarray(meta[some]).tobytes(), 1), zstandard.compress(packed, 3)))
+                out.append((int(where[to[i]]), pack_meta(meta[some]), packer.compress(packed)))
             no += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "meta", "packed"])
@@ -264,6 +305,7 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
     def met(batches):
         """Rows come sorted by bucket; one bucket at a time goes through the queue."""
         waiting, now = DiskQueue(queue), None
+        unpacker = zstandard.ZstdDecompressor(dict_data=dictionary(sample.value))
         for rows in batches:
             for at, meta, packed in zip(*(rows.column(c).to_pylist() for c in ("bucket", "meta", "packed"))):
                 if at >= buckets:
@@ -272,8 +314,8 @@ def repeated_ranges(docs: DataFrame, window: int, gram: int, batch: int, bucket:
                 if now is not None and at != now:
                     yield from map(record, emptied(waiting))
                 now = at
-                text, items, end = zstandard.decompress(packed), [], 0
-                for d, h, first, n, anchor in np.frombuffer(zstandard.decompress(meta), np.int64).reshape(-1, 5).tolist():
+                text, items, end = unpacker.decompress(packed), [], 0
+                for d, h, first, n, anchor in unpack_meta(meta).tolist():
                     begin, end = end, end + n + window - 1
                     items.append((text[begin + anchor : min(end, begin + anchor + window)], text[begin : begin + anchor][::-1], d, h, first, n))
                 waiting.push(items)
