@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidebar.llm.lm_score import CLASSES, Learner, Pairs, Prefixes, lm_scores, score_words, squash, SLOTS, STEP, TABLES
+from tidebar.llm import lm_score as lm
+from tidebar.llm.lm_score import lm_scores
 from tidebar.llm.queries import QUERIES
+from tidebar.llm.textbatch import word_hashes
 
 
 def words_of(t):
@@ -36,36 +38,133 @@ def test_base_and_edges(docs_of):
     assert lm_scores(docs_of([])).count() == 0
 
 
-def test_probabilities_add_up():
-    # over all words of an alphabet and their ends: what is left after each byte splits exactly
-    rng = np.random.default_rng(2)
-    tables = rng.integers(0, 9, (TABLES, 2, 1 << SLOTS)).astype(np.float32)
-    w, cells = Learner().w, np.tile(squash(np.linspace(-8, 8, STEP)), (Learner().w.shape[0], 1))
-    words = [b"abc" + bytes([x]) for x in range(256) if x != 32]
-    counts = rng.integers(0, 5, len(words) + 1)
+def fitted(rng, gates):
+    cells = rng.integers(0, 50, gates * lm.LEVELS**2)
+    return lm.Mixer(gates, 2, lm.LEVELS, lm.SPAN).learn(cells)
+
+
+def test_codes_add_up():
+    rng = np.random.default_rng(3)
+    codes = np.sort(rng.choice(1 << lm.DEPTH, 300, replace=False))
+    leaves = np.zeros(1 << lm.DEPTH, np.int64)
+    leaves[codes] = rng.integers(1, 9, 300)
+    known = lm.Counts(leaves, 10**9)
+    keys = (np.uint64(0x123456789ABC) << np.uint64(16)) | codes.astype(np.uint64)
+    score = lm.score_codes(keys, rng.integers(0, 4, 300), known, fitted(rng, lm.GATES))
+    assert abs((10**score).sum() - 1) < 1e-6
+
+
+def test_spellings_add_up():
     # the byte after "abc" is one of 256, the space that ends the word among them
-    pairs = Pairs([*words, b"abc"], np.ones(len(words) + 1, np.uint8))
-    from tidebar.llm.lm_score import inputs, refine
-
-    prefixes = Prefixes(pairs, counts)
-    total = np.zeros(len(words) + 1)
-    for bit in range(8):
-        x, gate, b = inputs(pairs, prefixes, bit, slice(None), tables, 0)
-        p = refine(np.einsum("ij,ij->i", x, w[gate]), gate, cells)
-        here = pairs.place == 3
-        total += np.log(np.where(b == 1, p, 1 - p)[here])
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(0, 9, (2, 1 << s)) for s in lm.SLOTS]
+    mixer = fitted(rng, lm.SPELL_GATES)
+    words = [b"abc" + bytes([x]) for x in range(256) if x != 32] + [b"abc"]
+    s = lm.Spelling(words)
+    total = np.zeros(len(words))
+    for gate, xs in s.inputs(tables, 0):
+        total += np.log(mixer.estimate(gate, xs)[s.place == 3])
     assert abs(np.exp(total).sum() - 1) < 1e-6
 
 
+def plain_scores(rows):
+    """Token by token from dictionaries; hashes, the mixer and the spelling are the operator's."""
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+    def hash_of(w):
+        return int(lm.END) if w is None else int(word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+
+    bits = lambda h: format(h >> 48, "016b")
+    count, order0, after, texts = Counter(), Counter(), Counter(), []
+    pairs = Counter()
+    for i, t in rows:
+        tokens = [*words_of(t), None]
+        texts.append(tokens)
+        for before, w in zip([None, *tokens], tokens):
+            if not out(i):
+                count[w] += 1
+                pairs[hash_of(before), bits(hash_of(w))] += 1
+                for d in range(17):
+                    order0[bits(hash_of(w))[:d]] += 1
+    n = order0[""]
+    hot = lambda h: order0[bits(h)] * lm.HOT > n
+    for (before, code), c in pairs.items():
+        for d in range(17):
+            # a hot word's first bits are counted by its code
+            after[bits(before) if hot(before) and d <= lm.TOP else before, code[:d]] += c
+
+    def steps(before, code, own):
+        for d in range(16):
+            other = code[:d] + str(1 - int(code[d]))
+            a0, b0 = order0[code[: d + 1]] - own, order0[other]
+            if b0 > 0 and a0 > 0:
+                total = after[bits(before) if hot(before) and d <= lm.TOP else before, code[:d]]
+                taken = after[bits(before) if hot(before) and d + 1 <= lm.TOP else before, code[: d + 1]]
+                a1, b1 = taken - own, total - taken
+                p0 = a0 / (a0 + b0)
+                gate = (d // 4 * 2 + (a1 == 0 or b1 == 0)) * 10 + min(int(math.log2(a1 + b1 + 1)), 9)
+                yield np.array([gate]), [np.array([math.log(a0 / b0)]), np.array([math.log((a1 + lm.PRIOR * p0) / (b1 + lm.PRIOR * (1 - p0)))])]
+
+    mixer = lm.Mixer(lm.GATES, 2, lm.LEVELS, lm.SPAN)
+    cells = np.zeros(mixer.size, np.int64)
+    for (before, code), c in pairs.items():
+        if order0[code] > 1:
+            for gate, xs in steps(before, code, 1):
+                cells[mixer.cell(gate, xs)] += c
+    mixer.learn(cells)
+    trained = lm.Spelling([b"" if w is None else w.encode() for w in count])
+    tables = [np.zeros((2, 1 << s), np.int64) for s in lm.SLOTS]
+    for _, taken, slots in trained.steps():
+        for table, at in zip(tables, slots):
+            np.add.at(table, (taken, at), 1)
+    speller = lm.Mixer(lm.SPELL_GATES, 2, lm.LEVELS, lm.SPAN)
+    cells = np.zeros(speller.size, np.int64)
+    for gate, xs in trained.inputs(tables, 1):
+        np.add.at(cells, speller.cell(gate, xs), 1)
+    speller.learn(cells)
+    escape = (sum(c == 1 for c in count.values()) + 0.5) / (n + 1)
+    res = []
+    for (i, _), tokens in zip(rows, texts):
+        score = 0.0
+        for before, w in zip([None, *tokens], tokens):
+            if count[w]:
+                code = bits(hash_of(w))
+                score += math.log10((1 - escape) * count[w] / order0[code])
+                score += sum(math.log10(mixer.estimate(gate, xs)[0]) for gate, xs in steps(hash_of(before), code, 0))
+            else:
+                score += math.log10(escape) + lm.spell([b"" if w is None else w.encode()], tables, speller)[0]
+        res.append((i, score))
+    return res
+
+
+@pytest.mark.parametrize("hot", [1024, 15])  # every word before is hot, few are
+def test_plain_version(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT", hot)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)] + ["the"] * 30 + ["É", "x" * 40]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(60)] + [(60, None), (61, "wholly new words"), (2, "new new"), (None, "the the")]
+    got = sorted(((r.doc_id, r.score) for r in lm_scores(docs_of(rows), batch=700, bucket=500).collect()), key=repr)
+    want = sorted(plain_scores(rows), key=repr)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert max(abs(g[1] - w[1]) for g, w in zip(got, want)) < 1e-3
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = {r.doc_id: r.score for r in lm_scores(docs).collect()}
+    b = {r.doc_id: r.score for r in lm_scores(docs.repartition(5), batch=50_000, bucket=20_000).collect()}
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-6
+
+
 def test_held_out_documents(spark):
     got = QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out")
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows = got.join(texts, "doc_id").collect()
     # the base is no distribution over spellings and pays nothing for unknown words; where it knows
-    # every word the model, which keeps room for others, comes close to it from a few hundred texts
+    # every word, the words before make the model better
     known = [r for r in rows if r.n_known == r.n_tokens]
-    assert len(known) > 5 and sum(r.score for r in known) > 1.08 * sum(r.base_score for r in known)
-    # all documents: against the entropy of their own single bytes
-    data = "".join(r.text.lower() for r in rows).encode()
-    single = -sum(c * math.log2(c / len(data)) for c in Counter(data).values()) / len(data)
-    assert -sum(r.score for r in rows) / math.log10(2) / len(data) < 0.75 * single
+    assert len(known) > 5 and sum(r.score for r in known) > 0.75 * sum(r.base_score for r in known)
+    assert sum(r.score > r.base_score for r in known) > 0.8 * len(known)
+    for r in rows:
+        n = len((r.text or "").encode())
+        assert r.bits_per_byte is None if n == 0 else abs(r.bits_per_byte + r.score / math.log10(2) / n) < 1e-9

@@ -1,17 +1,25 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words and one end.  A word is coded byte by byte, a byte bit by bit; the
-end is a word without bytes.  Several predictors estimate each bit from what stands before it: the
-last one to four bytes of the word (hashed tables of fixed size), the word before (by class, with
-the position), and the word's whole prefix (exact counts).  Their logits are mixed by weights that
-a gate selects (how often the prefix was seen, and the bit's position); the weights are learnt
-online, decision after decision, and an adaptive table refines the mixed estimate.  The bits add up
-to the probability of the text: its total bits, or, over its bytes, bits per byte.
-
-Every quantity depends on a word and the class of the word before it only, so the work is done once
-per distinct pair: batches of documents send their pairs to buckets (by the first bytes of the
-word, so that words with a common prefix meet), buckets count and score them, and the answers go
-back to the batch, whose documents were written down as lists of pair numbers.
+A text is its lower-cased words and one end, its tokens.  A token that occurs in the training
+documents is coded in bits: an escape bit, then the first 16 bits of its fingerprint, one decision
+each, then its share of the training tokens with the same 16 bits.  Two predictors estimate every
+decision from exact counts: all training tokens, and those after the same word before (the
+beginning of a text counts as an end).  Other tokens are spelled byte by byte and bit by bit from
+the last one to four bytes; those tables are counted over the distinct training words.
+
+Logits are mixed by weights that a gate selects (depth, how often the context was seen, whether it
+ever disagreed), and an adaptive table refines the mixed estimate.  What the mixer learns from is a
+table of fixed size: how many training decisions have which quantised logits, the decision itself
+taken out of its counts.  It is summed over all training tokens, and the online learner runs over
+its cells in a fixed order, so a score depends on the documents and never on buckets, batches or
+tasks.  Both branches of a decision add up to 1: the probabilities of all known tokens add up to
+the share of the escape bit.
+
+Work is done per distinct (word before, 16 bits) pair and per distinct word.  Batches of documents
+send sorted lists of both to buckets, buckets count and score them, and the answers go back.  A word
+before with more than 1/1024 of all tokens is spread over 256 buckets by the next word's first
+bits; its first 8 decisions come from one small table of all such words (1024 times 256 counts at
+most).  Words are told apart by 64-bit fingerprints, contexts by 48 bits of them.
 """
 
 from __future__ import annotations
@@ -25,22 +33,23 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, slices, word_hashes
+from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, slices
 from tidebar.session import cut_lineage
 
 BATCH = 4 << 20  # bytes of text whose documents share a list of pairs
 BUCKET = 5 << 20  # bytes of input text per bucket
-CLASSES = 4  # of the word before
-SLOTS = 18  # bits of a hashed table
-TABLES = 5
-NEAR = 3  # bytes of a word that choose its bucket; longer prefixes are counted exactly
-GATES = 12  # three for the first bytes of a word, then by how often the prefix was seen
-INPUTS = TABLES + 2  # the tables, the prefix, a constant
-STEP = 33  # cells of the refining table per gate
-CHUNK = 20_000  # pairs whose table counts are taken at once
-ROWS = 1 << 16  # bytes of pairs worked on at once
-RATE = 0.02
+DEPTH = 16  # bits of a word's code
+HOT = 1024  # a code with more than 1/HOT of all tokens is hot as a word before
+TOP = 8  # bits of the next word that spread a hot word
+END = mix(np.array([0x454E44], np.uint64))[0]  # fingerprint of the end
+PRIOR = 1.0  # weight of the unigram estimate in the estimate after a word
+GATES, LEVELS, SPAN = 4 * 2 * 10, 25, 10.0  # of the mixer of codes
+SPELL_PRIOR = 0.7  # weight of a shorter context's estimate in the next longer one's
+SPELL_GATES = 8 * 7  # of the mixer of spelling
+SLOTS = (16, 17, 18, 18)  # bits of the spelling tables, by bytes of context
 SPACE = 32
+STEP = 33  # cells of the refining table per gate
+EPOCHS, PARTS, RATE = 40, 32, 0.03
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -53,355 +62,463 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-def stretch(p):
-    return np.log(p / (1 - p))
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.uint64), dtype=np.uint64)
 
 
 def squash(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class Pairs:
-    """The decisions of some (class, word) pairs: one row per byte, the ending space included."""
+def held_out_ids(ids: list, folds: int = 7, fold: int = 2) -> np.ndarray:
+    return np.array([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in ids], bool)
 
-    def __init__(self, words: list[bytes], classes: np.ndarray):
-        self.n = len(words)
+
+def _cuts(bucket: np.ndarray):
+    """(bucket, first, end) of each run of equal buckets."""
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)])
+
+
+def _top(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, where each occurs first, and their summed counts."""
+    uniq, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    return uniq, first, np.bincount(number, counts, len(uniq)).astype(np.int64)
+
+
+# ---- the mixer
+
+
+class Mixer:
+    """Weights per gate and a refining table, learnt from counts of quantised logits.
+
+    Logits point to the branch that was taken, so swapping the branches changes their signs and the
+    two estimates of a decision add up to 1.
+    """
+
+    def __init__(self, gates: int, inputs: int, levels: int, span: float):
+        self.gates, self.inputs, self.levels, self.span = gates, inputs, levels, span
+        self.w = np.full((gates, inputs), 1.0 / inputs)
+        self.p = np.tile(squash(np.linspace(-8, 8, STEP)), (gates, 1))
+
+    @property
+    def size(self) -> int:
+        return self.gates * self.levels**self.inputs
+
+    def cell(self, gate: np.ndarray, xs: list[np.ndarray]) -> np.ndarray:
+        out = gate.astype(np.int64)
+        for x in xs:
+            out = out * self.levels + np.rint((np.clip(x, -self.span, self.span) / self.span + 1) * (self.levels - 1) / 2).astype(np.int64)
+        return out
+
+    def learn(self, cells: np.ndarray) -> Mixer:
+        """Online: part after part of the cells (in a fixed order), adaptive steps."""
+        n = cells.reshape(self.gates, -1).astype(float)
+        axis = np.linspace(-self.span, self.span, self.levels)
+        x = np.stack([g.ravel() for g in np.meshgrid(*[axis] * self.inputs, indexing="ij")], 1)
+        order = np.argsort(mix(np.arange(len(x), dtype=np.uint64)))
+        mean, square, steps = np.zeros_like(self.w), np.zeros_like(self.w), np.zeros((self.gates, 1))
+        usual = np.maximum(n.sum(1, keepdims=True) / PARTS, 1)  # decisions of a gate in one part
+        for _ in range(EPOCHS):
+            for k in range(PARTS):
+                some = order[k::PARTS]
+                seen = n[:, some]
+                on = (seen.sum(1, keepdims=True) > 0).astype(float)
+                grad = (seen * (1 - squash(self.w @ x[some].T))) @ x[some] / usual
+                steps += on
+                mean, square = np.where(on, 0.9 * mean + 0.1 * grad, mean), np.where(on, 0.99 * square + 0.01 * grad**2, square)
+                t = np.maximum(steps, 1)
+                move = RATE / np.sqrt(1 + t / 50) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+                self.w += on * move
+        place = np.rint((np.clip(self.w @ x.T, -8, 8) + 8) * (STEP - 1) / 16).astype(np.int64)
+        hits = np.bincount((np.arange(self.gates)[:, None] * STEP + place).ravel(), n.ravel(), self.gates * STEP).reshape(-1, STEP)
+        self.p = (hits + 20 * squash(np.linspace(-8, 8, STEP))) / (hits + hits[:, ::-1] + 20)
+        return self
+
+    def estimate(self, gate: np.ndarray, xs: list[np.ndarray]) -> np.ndarray:
+        """Probability of the branch that was taken."""
+        w = self.w[gate]
+        z = sum(w[:, k] * x for k, x in enumerate(xs))
+        at = (np.clip(z, -7.9999, 7.9999) + 8) * (STEP - 1) / 16
+        low = at.astype(np.int64)
+        part = at - low
+        return np.clip((squash(z) + self.p[gate, low] * (1 - part) + self.p[gate, low + 1] * part) / 2, 1e-7, 1 - 1e-7)
+
+
+# ---- codes of known words
+
+
+class Counts:
+    """Training tokens by code (all prefixes), and those after the hot words by the first TOP bits."""
+
+    def __init__(self, leaves: np.ndarray, tokens: int):
+        self.leaves = leaves
+        self.order0 = [leaves.reshape(1 << d, -1).sum(1) for d in range(DEPTH + 1)]
+        hot = np.flatnonzero(leaves * HOT > tokens)
+        self.hot = np.full(1 << DEPTH, -1, np.int32)
+        self.hot[hot] = np.arange(len(hot))
+        self.after = [np.zeros((len(hot), 1 << d), np.int64) for d in range(TOP + 1)]
+
+    def put_after(self, flat: np.ndarray) -> None:
+        table = flat.reshape(-1, 1 << TOP)
+        self.after = [table.reshape(len(table), 1 << d, -1).sum(2) for d in range(TOP + 1)]
+
+    @property
+    def n_hot(self) -> int:
+        return len(self.after[0])
+
+    def hot_of(self, keys: np.ndarray) -> np.ndarray:
+        return self.hot[(keys >> np.uint64(48)).astype(np.int64)]
+
+    def route(self, keys: np.ndarray, bits: int) -> np.ndarray:
+        next_bits = (keys >> np.uint64(DEPTH - TOP)) & np.uint64((1 << TOP) - 1)
+        spread = np.where(self.hot_of(keys) >= 0, next_bits + np.uint64(1), np.uint64(0))
+        return _top(mix((keys >> np.uint64(DEPTH)) ^ (spread << np.uint64(48))), bits)
+
+
+def decisions(keys: np.ndarray, counts: np.ndarray, known: Counts, own: int):
+    """(rows, gate, logits) of each depth: rows with a decision to take; ``own`` occurrences of the pair are left out.
+
+    ``keys`` (48 bits of the word before, 16 of the code) are distinct and in order.
+    """
+    code = (keys & np.uint64((1 << DEPTH) - 1)).astype(np.int64)
+    hot = known.hot_of(keys)
+    is_hot = np.flatnonzero(hot >= 0)
+
+    def total(d):
+        if not len(keys):
+            return counts
+        start = np.flatnonzero(np.concatenate([[True], np.diff(keys >> np.uint64(DEPTH - d)) != 0]))
+        out = np.repeat(np.add.reduceat(counts, start), np.diff(start, append=len(keys)))
+        if d <= TOP and len(is_hot):
+            out[is_hot] = known.after[d][hot[is_hot], code[is_hot] >> (DEPTH - d)]
+        return out
+
+    all1 = total(0)
+    for d in range(DEPTH):
+        next1 = total(d + 1)
+        own0 = known.order0[d + 1][code >> (DEPTH - 1 - d)]
+        other0 = known.order0[d][code >> (DEPTH - d)] - own0
+        rows = np.flatnonzero((other0 > 0) & (own0 > own))
+        a0, b0 = (own0[rows] - own).astype(float), other0[rows].astype(float)
+        a1, b1 = next1[rows] - own, (all1 - next1)[rows]
+        p0 = a0 / (a0 + b0)
+        agrees = ((a1 == 0) | (b1 == 0)).astype(np.int64)
+        seen = np.minimum(np.log2(a1 + b1 + 1).astype(np.int64), 9)
+        yield rows, (d // 4 * 2 + agrees) * 10 + seen, [np.log(a0 / b0), np.log((a1 + PRIOR * p0) / (b1 + PRIOR * (1 - p0)))]
+        all1 = next1
+
+
+def score_codes(keys: np.ndarray, counts: np.ndarray, known: Counts, mixer: Mixer) -> np.ndarray:
+    """Log10 probability of each pair's code after its word before."""
+    out = np.zeros(len(keys))
+    for rows, gate, xs in decisions(keys, counts, known, 0):
+        out[rows] += np.log10(mixer.estimate(gate, xs))
+    return out
+
+
+# ---- spelling of other words
+
+
+class Spelling:
+    """The decisions of some words: one row per byte, the ending space included."""
+
+    def __init__(self, words: list[bytes]):
         size = np.array([len(w) + 1 for w in words], np.int64)
-        self.byte = data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        start = np.cumsum(size) - size
-        self.pair = np.repeat(np.arange(self.n, dtype=np.int32), size)
-        self.place = (np.arange(len(data)) - start[self.pair]).astype(np.int32)
-        self.cls = classes.astype(np.uint8)[self.pair]
-        self.before = []  # the bytes in front: the space in front of the word, then zeros
-        for k in range(1, 5):
-            b = np.full(len(data), SPACE, np.uint8)
-            b[k:] = data[:-k]
-            self.before.append(np.where(self.place >= k, b, np.where(self.place == k - 1, SPACE, 0)).astype(np.uint8))
-        # fingerprint of the word's prefix at each byte, grown column by column
-        self.prefix = np.zeros(len(data), np.uint64)
-        left, h = np.flatnonzero(size > 1), np.full(int((size > 1).sum()), 7, np.uint64)
-        at = 1
-        while len(left):
-            h = mix(h + data[start[left] + at - 1].astype(np.uint64) + np.uint64(1))
-            self.prefix[start[left] + at] = h
-            at += 1
-            on = size[left] > at
-            left, h = left[on], h[on]
-
-    def parts(self):
-        """Slices of rows that are worked on at once."""
-        return [slice(a, a + ROWS) for a in range(0, len(self.byte), ROWS)]
-
-    def node(self, bit: int, rows: slice) -> np.ndarray:
-        """Bits of the byte before this one, behind a leading 1."""
-        return (1 << bit) | (self.byte[rows].astype(np.int64) >> (8 - bit))
-
-    def bit(self, bit: int, rows: slice) -> np.ndarray:
-        return (self.byte[rows].astype(np.int64) >> (7 - bit)) & 1
-
-    def slots(self, bit: int, rows: slice) -> list[np.ndarray]:
-        """Slot in each hashed table."""
-        node, place = self.node(bit, rows), self.place[rows].astype(np.int64)
-        b1, b2, b3, b4 = (b[rows].astype(np.int64) for b in self.before)
-        cls = self.cls[rows].astype(np.int64)
-        keys = [
-            (b2 << 8 | b1) << 8 | node,
-            ((b3 << 8 | b2) << 8 | b1) << 8 | node,
-            (((b4 << 8 | b3) << 8 | b2) << 8 | b1) << 8 | node,
-            (((cls << 2 | np.minimum(place, 3)) << 8 | b1) << 8 | np.where(place < 3, b2, 0)) << 8 | node,
-        ]
-        return [b1 << 8 | node] + [(mix(k.astype(np.uint64) * np.uint64(8) + np.uint64(i)) >> np.uint64(64 - SLOTS)).astype(np.int64) for i, k in enumerate(keys)]
-
-
-class Prefixes:
-    """Exact counts of both bits after every prefix (with node) of the words of a bucket."""
-
-    def __init__(self, pairs: Pairs, counts: np.ndarray):
-        rows = np.flatnonzero(pairs.place >= NEAR)
-        self.long = pairs.place >= NEAR
-        self.n = np.zeros((8, 2, len(pairs.byte)), np.float32)
-        if not len(rows):
-            return
-        weight, data, prefix = counts[pairs.pair[rows]].astype(np.float64), pairs.byte[rows], pairs.prefix[rows]
+        self.n = len(words)
+        self.byte = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
+        self.word = np.repeat(np.arange(self.n), size)
+        self.place = np.arange(len(self.byte)) - (np.cumsum(size) - size)[self.word]
+        before = []  # the space in front of the word, then zeros
+        for k in range(1, len(SLOTS) + 1):
+            b = np.full(len(self.byte), SPACE, np.int64)
+            b[k:] = self.byte[:-k]
+            before.append(np.where(self.place >= k, b, np.where(self.place == k - 1, SPACE, 0)))
+        self.keys = [before[0]]
+        for b in before[1:]:
+            self.keys.append(self.keys[-1] << 8 | b)
+
+    def steps(self):
+        """(bit, taken branch, slots in each table) of the eight bits of every byte."""
         for bit in range(8):
-            node = ((1 << bit) | (data.astype(np.int64) >> (8 - bit))).astype(np.uint64)
-            is_one = ((data >> (7 - bit)) & 1).astype(bool)
-            _, at = np.unique(mix(prefix + node * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True)
-            for b in (0, 1):
-                self.n[bit, b, rows] = np.bincount(at, weight * (is_one == b))[at]
-
-
-def inputs(pairs: Pairs, prefixes: Prefixes, bit: int, rows: slice, tables: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixer inputs, gate and bit of some rows; ``own`` = 1 takes one occurrence of the row itself out."""
-    b = pairs.bit(bit, rows)
-    x = np.zeros((len(b), INPUTS), np.float32)
-    for t, s in enumerate(pairs.slots(bit, rows)):
-        n1, n0 = np.maximum(tables[t, 1, s] - own * (b == 1), 0), np.maximum(tables[t, 0, s] - own * (b == 0), 0)
-        x[:, t] = stretch((n1 + 0.4) / (n0 + n1 + 0.8))
-    long = prefixes.long[rows]
-    n1, n0 = np.maximum(prefixes.n[bit, 1, rows] - own * (b == 1), 0), np.maximum(prefixes.n[bit, 0, rows] - own * (b == 0), 0)
-    x[:, TABLES] = np.where(long, stretch((n1 + 0.05) / (n0 + n1 + 0.1)), 0)
-    x[:, TABLES + 1] = 0.3
-    gate = np.where(long, 3 + np.minimum(np.log2(n0 + n1 + 1).astype(np.int64), GATES - 4), np.minimum(pairs.place[rows], 2))
-    return x, gate * 8 + bit, b
-
-
-def refine(z: np.ndarray, gate: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Mean of the mixed estimate and the refining table's, the latter interpolated between cells."""
-    at = (np.clip(z, -7.99, 7.99) + 8) * (STEP - 1) / 16
-    low = at.astype(np.int64)
-    part = at - low
-    p = cells[gate, low] * (1 - part) + cells[gate, low + 1] * part
-    return np.clip((squash(z) + p) / 2, 1e-7, 1 - 1e-7)
-
-
-class Learner:
-    """Online state: weights per gate (adaptive steps) and the refining table's evidence."""
-
-    def __init__(self):
-        self.w = np.tile(np.array([0.0, 0.05, 0.15, 0.25, 0.1, 0.7, 0.0]), (GATES * 8, 1))
-        self.w[:24] = [0.0, 0.0, 0.1, 0.3, 0.6, 0.0, 0.0]
-        self.mean, self.square, self.steps = np.zeros_like(self.w), np.zeros_like(self.w), np.zeros(GATES * 8)
-        self.cells = np.zeros((2, GATES * 8, STEP))
-
-    def learn(self, x, gate, bit, weight):
-        z = np.einsum("ij,ij->i", x, self.w[gate])
-        cell = np.rint((np.clip(z, -7.99, 7.99) + 8) * (STEP - 1) / 16).astype(np.int64)
-        for b in (0, 1):
-            self.cells[b] += np.bincount(gate * STEP + cell, weight * (bit == b), GATES * 8 * STEP).reshape(-1, STEP)
-        error = (bit - squash(z)) * weight
-        total = np.bincount(gate, weight, GATES * 8)
-        on = total > 0
-        self.steps += on
-        rate = (RATE / np.sqrt(1 + self.steps / 200))[on]
-        for k in range(INPUTS):
-            grad = np.bincount(gate, error * x[:, k], GATES * 8)[on] / total[on]
-            self.mean[on, k] = 0.9 * self.mean[on, k] + 0.1 * grad
-            self.square[on, k] = 0.99 * self.square[on, k] + 0.01 * grad**2
-            t = self.steps[on]
-            self.w[on, k] += rate * (self.mean[on, k] / (1 - 0.9**t)) / (np.sqrt(self.square[on, k] / (1 - 0.99**t)) + 1e-6)
+            node = (1 << bit) | (self.byte >> (8 - bit))
+            slots = [self.keys[0] << 8 | node]
+            slots += [(mix((k << 8 | node).astype(np.uint64) + np.uint64(t << 60)) >> np.uint64(64 - SLOTS[t])).astype(np.int64) for t, k in enumerate(self.keys) if t]
+            yield bit, (self.byte >> (7 - bit)) & 1, slots
+
+    def inputs(self, tables: list[np.ndarray], own: int):
+        """(gate, logits) of the eight bits."""
+        for bit, taken, slots in self.steps():
+            p, xs = 0.5, []
+            for table, s in zip(tables, slots):
+                a, b = table[taken, s] - own, table[1 - taken, s]
+                p = np.clip((a + SPELL_PRIOR * p) / (a + b + SPELL_PRIOR), 1e-6, 1 - 1e-6)
+                xs.append(np.log(p / (1 - p)))
+            yield bit * 7 + np.minimum(np.log2(a + b + 1).astype(np.int64), 6), xs[1::2]
+
+
+def _some_words(words: list[bytes], part: int = 50_000):
+    for a in range(0, len(words), part):
+        yield a, Spelling(words[a : a + part])
+
+
+def spell(words: list[bytes], tables: list[np.ndarray], mixer: Mixer) -> np.ndarray:
+    """Log10 probability of each word's bytes and the space behind them."""
+    out = np.zeros(len(words))
+    for a, s in _some_words(words):
+        for gate, xs in s.inputs(tables, 0):
+            out[a : a + s.n] += np.bincount(s.word, np.log10(mixer.estimate(gate, xs)), s.n)
+    return out
 
 
-def held_out_ids(ids: list, folds: int = 7, fold: int = 2) -> np.ndarray:
-    return np.array([i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in ids], bool)
+# ---- batches and buckets
+
+LISTS = "batch string, bucket int, x binary, y binary, z binary"
+
+
+def _lists(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["batch", "bucket", "x", "y", "z"])
 
 
 def extract(docs: DataFrame, bits: int, batch: int) -> DataFrame:
-    """Per batch its documents as lists of pair numbers (bucket -1), and its pairs by bucket."""
+    """Per batch its documents as lists of word numbers (bucket -1), and its distinct words by bucket."""
 
     def run(batches):
         for rows, texts in slices(batches, limit=batch):
             words = Words(texts, ASCII_LOWER)
             ids = rows.column("doc_id").to_pylist()
-            train = ~held_out_ids(ids)
-            # tokens: every document's words, then its end (word number -1)
+            held = held_out_ids(ids)
             size = words.counts + 1
-            last = np.cumsum(size) - 1
-            token = np.full(int(size.sum()), -1, np.int64)
-            body = np.ones(len(token), bool)
-            body[last] = False
-            token[body] = np.arange(words.n)
-            hashes = np.zeros(len(token), np.uint64)
+            body = np.ones(int(size.sum()), bool)
+            body[np.cumsum(size) - 1] = False
+            word = np.full(len(body), -1, np.int64)
+            word[body] = np.arange(words.n)
+            hashes = np.full(len(body), END, np.uint64)
             hashes[body] = words.hashes
-            cls = np.zeros(len(token), np.uint64)
-            cls[1:] = np.where(body[:-1], mix(hashes[:-1]) % np.uint64(CLASSES), 0)
-            key = mix(hashes ^ (cls * np.uint64(0x632BE59BD9B4E019)))
-            uniq, first, number = np.unique(key, return_index=True, return_inverse=True)
-            counts = np.bincount(number, np.repeat(train, size).astype(float), len(uniq)).astype(np.int64)
-            near = np.zeros(len(uniq), np.uint64)
-            real = np.flatnonzero(body[first])
-            at = token[first[real]]
-            near[real] = word_hashes(words.buf, words.starts[at], np.minimum(words.starts[at] + NEAR, words.ends[at]))
-            bucket = (mix(near) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(uniq), np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
+            uniq, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+            counts = np.bincount(number, np.repeat(~held, size).astype(float), len(uniq)).astype(np.uint32)
             name = uuid.uuid4().hex  # this table is written once, so a number drawn here is fixed
-            out = [(name, -1, _pack(rank[number].astype(np.uint32)), zstandard.compress(pickle.dumps((ids, (~train).tolist(), size))), b"")]
-            cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            about = (ids, held, size, np.array([len(t) for t in texts]))
+            out = [(name, -1, _pack(number.astype(np.uint32)), zstandard.compress(pickle.dumps(about)), _pack_sorted(uniq))]
             starts, ends, raw = words.starts, words.ends, words.buf.tobytes()
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)]):
-                some = order[a:b]
-                t = token[first[some]].tolist()
-                text = b" ".join([raw[starts[i] : ends[i]] if i >= 0 else b"" for i in t])
-                out.append((name, int(bucket[some[0]]), zstandard.compress(text, 3), _pack(counts[some].astype(np.uint32)), cls[first[some]].astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["batch", "bucket", "x", "y", "z"])
-
-    return docs.mapInArrow(run, "batch string, bucket int, x binary, y binary, z binary")
-
-
-def pairs_of(table: pa.Table):
-    """(words, classes, counts) of each row of a bucket's table."""
-    for x, y, z in zip(*(table.column(c).to_pylist() for c in ("x", "y", "z"))):
-        yield zstandard.decompress(x).split(b" "), np.frombuffer(z, np.uint8), _unpack(y, np.uint32).astype(np.int64)
-
-
-def count_bucket(table: pa.Table) -> pa.Table:
-    """Distinct pairs of a bucket with their training counts."""
-    total: dict[tuple[bytes, int], int] = {}
-    for words, classes, counts in pairs_of(table):
-        for k, c in zip(zip(words, classes.tolist()), counts.tolist()):
-            total[k] = total.get(k, 0) + c
-    keys = sorted(total)
-    counts = np.array([total[k] for k in keys], np.int64)
-    by_word: dict[bytes, int] = {}
-    for (w, _), c in zip(keys, counts.tolist()):
-        by_word[w] = by_word.get(w, 0) + c
-    known = sum(c > 0 for c in by_word.values())
-    return pa.table(
-        {
-            "bucket": table.column("bucket")[:1].combine_chunks(),
-            "x": pa.array([zstandard.compress(b" ".join([w for w, _ in keys]), 3)], pa.binary()),
-            "y": pa.array([_pack(counts.astype(np.uint32))], pa.binary()),
-            "z": pa.array([bytes(c for _, c in keys)], pa.binary()),
-            "tokens": pa.array([int(counts.sum())], pa.int64()),
-            "words": pa.array([known], pa.int64()),
-        }
-    )
-
-
-def chunks(words, classes, counts):
-    for a in range(0, len(words), CHUNK):
-        yield words[a : a + CHUNK], classes[a : a + CHUNK], counts[a : a + CHUNK]
-
-
-def table_counts(buckets: DataFrame) -> np.ndarray:
-    """Counts of both bits in every slot of the hashed tables, over all training tokens."""
+            for b, lo, hi in _cuts(_top(uniq, bits)):
+                text = b" ".join([raw[starts[i] : ends[i]] if i >= 0 else b"" for i in word[first[lo:hi]].tolist()])
+                out.append((name, b, _pack_sorted(uniq[lo:hi]), _pack(counts[lo:hi]), zstandard.compress(text, 3)))
+            yield _lists(out)
 
-    def run(batches):
-        n = np.zeros((TABLES, 2, 1 << SLOTS))
-        any_row = False
-        for rows in batches:
-            for words, classes, counts in pairs_of(pa.table(rows.columns, names=rows.schema.names)):
-                for w, c, n_of in chunks(words, classes, counts):
-                    pairs = Pairs(w, c)
-                    any_row = True
-                    for bit, part in [(x, y) for x in range(8) for y in pairs.parts()]:
-                        weight, b = n_of[pairs.pair[part]].astype(float), pairs.bit(bit, part)
-                        for t, s in enumerate(pairs.slots(bit, part)):
-                            for v in (0, 1):
-                                n[t, v] += np.bincount(s[b == v], weight[b == v], 1 << SLOTS)
-        if any_row:
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([_pack(n[t].astype(np.float32).ravel())], pa.binary())], ["t", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 << SLOTS)
-        for blob in table.column("n").to_pylist():
-            total += _unpack(blob, np.float32)
-        return pa.table({"t": table.column("t")[:1].combine_chunks(), "n": pa.array([_pack(total.astype(np.float32))], pa.binary())})
-
-    out = np.zeros((TABLES, 2, 1 << SLOTS), np.float32)
-    for r in buckets.mapInArrow(run, "t int, n binary").groupBy("t").applyInArrow(add, "t int, n binary").collect():  # fixed size
-        out[r.t] = _unpack(r.n, np.float32).reshape(2, -1)
-    return out
+    return docs.mapInArrow(run, LISTS)
+
+
+def pairs_of(x: bytes, y: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a batch in order, the pair of each token, and training counts."""
+    number, hashes = _unpack(x, np.uint32).astype(np.int64), _unpack_sorted(z)
+    _, held, size, _ = pickle.loads(zstandard.decompress(y))
+    token = hashes[number]
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[np.cumsum(size) - size] = END
+    keys, pair = np.unique((before & ~np.uint64(0xFFFF)) | (token >> np.uint64(48)), return_inverse=True)
+    return keys, pair, np.bincount(pair, np.repeat(~held, size).astype(float), len(keys)).astype(np.uint32)
+
+
+def count_words(table: pa.Table) -> pa.Table:
+    """Distinct words of a bucket in order of fingerprints, with their training counts."""
+    x, y, z = (table.column(c).to_pylist() for c in ("x", "y", "z"))
+    words: list[bytes] = []
+    for t in z:
+        words += zstandard.decompress(t).split(b" ")
+    uniq, first, counts = _sums(np.concatenate([_unpack_sorted(v) for v in x]), np.concatenate([_unpack(v, np.uint32) for v in y]))
+    codes, _, leaves = _sums(uniq >> np.uint64(48), counts)
+    values = {"x": _pack_sorted(uniq), "y": _pack(counts), "z": zstandard.compress(b" ".join([words[i] for i in first.tolist()]), 3), "codes": pickle.dumps((codes.astype(np.int64), leaves))}
+    numbers = {"tokens": int(counts.sum()), "words": int((counts > 0).sum()), "single": int((counts == 1).sum())}
+    out = {"bucket": table.column("bucket")[:1].combine_chunks()}
+    return pa.table(out | {k: pa.array([v], pa.binary()) for k, v in values.items()} | {k: pa.array([v], pa.int64()) for k, v in numbers.items()})
+
+
+def count_pairs(table: pa.Table) -> pa.Table:
+    x, y = (table.column(c).to_pylist() for c in ("x", "y"))
+    keys, _, counts = _sums(np.concatenate([_unpack_sorted(v) for v in x]), np.concatenate([_unpack(v, np.uint32) for v in y]))
+    return pa.table({"bucket": table.column("bucket")[:1].combine_chunks(), "x": pa.array([_pack_sorted(keys)], pa.binary()), "y": pa.array([_pack(counts)], pa.binary())})
 
 
-def mixer(buckets: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (mean over tasks by what they saw) and the refining table, each task learning online."""
+def summed(df: DataFrame, cells_of, size: int) -> np.ndarray:
+    """Sums of (cell, count) arrays over all rows: ``size`` numbers, whatever the rows."""
 
     def run(batches):
-        learner, total = Learner(), 0.0
+        total = np.zeros(size, np.int64)
         for rows in batches:
-            for words, classes, counts in pairs_of(pa.table(rows.columns, names=rows.schema.names)):
-                seen = np.flatnonzero(counts)
-                seen = seen[np.argsort(mix(seen.astype(np.uint64)))]
-                words, classes, counts = [words[i] for i in seen.tolist()], classes[seen], counts[seen]
-                if not words:
-                    continue
-                pairs = Pairs(words, classes)
-                prefixes = Prefixes(pairs, counts)
-                for part in pairs.parts():
-                    weight = counts[pairs.pair[part]].astype(float)
-                    ready = [inputs(pairs, prefixes, bit, part, tables.value, 1) for bit in range(8)]
-                    for a in range(0, len(weight), 4096):
-                        for x, gate, b in ready:
-                            learner.learn(x[a : a + 4096], gate[a : a + 4096], b[a : a + 4096], weight[a : a + 4096])
-                total += counts.sum()
-        if total:
-            yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps((learner.w, learner.cells, total))], pa.binary())})
-
-    states = [pickle.loads(r.state) for r in buckets.mapInArrow(run, "state binary").collect()]  # a few thousand numbers per task
-    if not states:
-        states = [(Learner().w, Learner().cells, 1.0)]
-    w = sum(s[0] * s[2] for s in states) / sum(s[2] for s in states)
-    n0, n1 = sum(s[1] for s in states)
-    centre = squash(np.linspace(-8, 8, STEP))
-    return w, (n1 + 20 * centre) / (n0 + n1 + 20)
-
-
-def score_words(words, classes, counts, tables, w, cells) -> np.ndarray:
-    """Log10 probability of each pair of a bucket."""
-    pairs = Pairs(words, classes)
-    prefixes = Prefixes(pairs, counts)
-    out = np.zeros(pairs.n)
-    for bit, part in [(x, y) for x in range(8) for y in pairs.parts()]:
-        x, gate, b = inputs(pairs, prefixes, bit, part, tables, 0)
-        p = refine(np.einsum("ij,ij->i", x, w[gate]), gate, cells)
-        out += np.bincount(pairs.pair[part], np.log10(np.where(b == 1, p, 1 - p)), pairs.n)
+            for row in rows.to_pylist():
+                for cell, n in cells_of(row):
+                    total += np.bincount(cell, n, size).astype(np.int64)
+        at = np.flatnonzero(total)
+        for a in range(0, len(at), 1 << 16):
+            some = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
+
+    found = df.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
 def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte.
 
     Learns from documents outside the held-out fold (crc32 of doc_id mod 7 is 2), scores all.
-    ``base_score`` is the add-one unigram log10 probability, ``score`` the mixed model's.  Null and
-    empty texts are one end; a null doc_id is never held out; repeats of a row count each time.  With
-    nothing to learn from, N and V are 0 and every estimate starts from its prior.  One row per row
-    of ``docs``; an empty table gives none; other columns are ignored.
+    ``base_score`` is the add-one unigram log10 probability, ``score`` the mixed model's, and
+    ``bits_per_byte`` its bits over the text's UTF-8 bytes (null without any).  Null and empty texts
+    are one end; a null doc_id is never held out; repeats of a row count each time.  With nothing to
+    learn from, N and V are 0 and every estimate starts from its prior.  One row per row of
+    ``docs``; an empty table gives none; other columns are ignored.  Scores do not depend on
+    ``batch`` and ``bucket``.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, (max(1, total // bucket) - 1).bit_length())
-    written = cut_lineage(extract(rows, bits, batch))
-    lists = written.where("bucket >= 0")
-    kinds = "bucket int, x binary, y binary, z binary, tokens long, words long"
-    buckets = cut_lineage(lists.groupBy("bucket").applyInArrow(count_bucket, kinds))
-    tokens, vocabulary = buckets.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    plain = buckets.select("bucket", "x", "y", "z")
-    tables = spark.sparkContext.broadcast(table_counts(plain))
-    w, cells = mixer(plain, tables)
-    model = spark.sparkContext.broadcast((w, cells))
-
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        words, classes, counts = next(pairs_of(known))
-        values = score_words(words, classes, counts, tables.value, *model.value)
-        of = dict(zip(zip(words, classes.tolist()), range(len(words))))
-        by_word: dict[bytes, int] = {}
-        for word, c in zip(words, counts.tolist()):
-            by_word[word] = by_word.get(word, 0) + c
-        seen = np.array([by_word[word] for word in words], np.int64)
-        scores, base = [], []
-        for a, b, _ in pairs_of(asked):
-            at = np.array([of[k] for k in zip(a, b.tolist())], np.int64)
-            scores.append(_pack(values[at].astype(np.float32)))
-            base.append(_pack(seen[at].astype(np.uint32)))
-        return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "x": pa.array(scores, pa.binary()), "y": pa.array(base, pa.binary())})
-
-    answers = lists.groupBy("bucket").cogroup(plain.groupBy("bucket")).applyInArrow(answer, "batch string, bucket int, x binary, y binary")
-
-    def summed(documents: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.argsort(found.column("bucket").to_numpy())
-        xs, ys = found.column("x").to_pylist(), found.column("y").to_pylist()
-        value = np.concatenate([_unpack(xs[i], np.float32) for i in order]).astype(float)
-        seen = np.concatenate([_unpack(ys[i], np.uint32) for i in order]).astype(np.int64)
-        number = _unpack(documents.column("x")[0].as_py(), np.uint32).astype(np.int64)
-        ids, out, size = pickle.loads(zstandard.decompress(documents.column("y")[0].as_py()))
-        first = np.cumsum(size) - size
-        base = np.log10((seen + 1) / (tokens + vocabulary + 1))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (max(1, size // bucket) - 1).bit_length())
+    word_bits = min(bits, DEPTH)
+    written = cut_lineage(extract(rows, word_bits, batch))
+    texts = written.where("bucket < 0")
+
+    # words: counts, codes, spelling
+    word_lists = written.where("bucket >= 0")
+    kinds = "bucket int, x binary, y binary, z binary, codes binary, tokens long, words long, single long"
+    words = cut_lineage(word_lists.groupBy("bucket").applyInArrow(count_words, kinds))
+    tokens, vocabulary, single = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "single")]).first()
+    leaves = np.zeros(1 << DEPTH, np.int64)
+    for r in words.select("codes").toLocalIterator():  # 2^16 counts in all
+        codes, n = pickle.loads(r.codes)
+        leaves[codes] = n
+    known = Counts(leaves, tokens)
+    escape = (single + 0.5) / (tokens + 1)
+    base = [0, *np.cumsum([2 << s for s in SLOTS]).tolist()]
+
+    def trained(row):
+        seen = _unpack(row["y"], np.int64) > 0
+        return [w for w, s in zip(zstandard.decompress(row["z"]).split(b" "), seen.tolist()) if s]
+
+    def spelling_counts(row):
+        for _, s in _some_words(trained(row)):
+            for _, taken, slots in s.steps():
+                for t, at in enumerate(slots):
+                    cell, n = np.unique((taken << SLOTS[t]) + at + base[t], return_counts=True)
+                    yield cell, n
+
+    flat = summed(words.select("y", "z"), spelling_counts, base[-1])
+    tables = share([flat[a:b].reshape(2, -1) for a, b in zip(base, base[1:])])
+    speller = Mixer(SPELL_GATES, 2, LEVELS, SPAN)
+
+    def spelling_cells(row):
+        for _, s in _some_words(trained(row)):
+            for gate, xs in s.inputs(tables.value, 1):
+                yield speller.cell(gate, xs), None
+
+    speller = share(speller.learn(summed(words.select("y", "z"), spelling_cells, speller.size)))
+
+    # pairs: counts after a word
+    routes = share(known)
+
+    def list_pairs(batches):
+        for batch_rows in batches:
+            for row in batch_rows.to_pylist():
+                keys, _, counts = pairs_of(row["x"], row["y"], row["z"])
+                route = routes.value.route(keys, bits)
+                order = np.argsort(route, kind="stable")
+                out = [(row["batch"], b, _pack_sorted(keys[order[lo:hi]]), _pack(counts[order[lo:hi]]), None) for b, lo, hi in _cuts(route[order])]
+                yield _lists(out)
+
+    pair_lists = cut_lineage(texts.mapInArrow(list_pairs, LISTS)).drop("z")
+
+    def hot_cells(row):
+        keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
+        hot = routes.value.hot_of(keys).astype(np.int64)
+        on = hot >= 0
+        yield (hot[on] << TOP) | ((keys[on] >> np.uint64(DEPTH - TOP)) & np.uint64((1 << TOP) - 1)).astype(np.int64), counts[on]
+
+    pairs = cut_lineage(pair_lists.groupBy("bucket").applyInArrow(count_pairs, "bucket int, x binary, y binary"))
+    if known.n_hot:
+        known.put_after(summed(pairs.select("x", "y"), hot_cells, known.n_hot << TOP))
+    model = share(known)
+    mixer = Mixer(GATES, 2, LEVELS, SPAN)
+
+    def code_cells(row):
+        keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        # a token alone with its code would be spelled if it were left out
+        leaf = model.value.leaves[(keys & np.uint64(0xFFFF)).astype(np.int64)]
+        learnt = np.where(leaf > 1, counts, 0)
+        for at, gate, xs in decisions(keys, counts, model.value, 1):
+            on = learnt[at] > 0
+            yield mixer.cell(gate[on], [x[on] for x in xs]), learnt[at][on]
+
+    coder = share(mixer.learn(summed(pairs.select("x", "y"), code_cells, mixer.size)))
+
+    # answers
+    def answer(table: pa.Table, kind: int, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.Table:
+        xs, ys = [], []
+        for x in table.column("x").to_pylist():
+            at = np.searchsorted(keys, _unpack_sorted(x))
+            xs.append(_pack(values[at].astype(np.float32)))
+            ys.append(_pack(counts[at].astype(np.uint32)) if kind == 0 else None)
+        return pa.table({"batch": table.column("batch"), "kind": pa.array([kind] * len(xs), pa.int32()), "bucket": table.column("bucket"), "x": pa.array(xs, pa.binary()), "y": pa.array(ys, pa.binary())})
+
+    def answer_words(asked: pa.Table, found: pa.Table) -> pa.Table:
+        row = found.to_pylist()[0]
+        keys, counts, text = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64), zstandard.decompress(row["z"]).split(b" ")
+        leaf = model.value.leaves[(keys >> np.uint64(48)).astype(np.int64)]
+        values = np.log10(np.maximum(counts, 1) / np.maximum(leaf, 1)) + np.log10(1 - escape)
+        new = np.flatnonzero(counts == 0)
+        values[new] = spell([text[i] for i in new.tolist()], tables.value, speller.value) + np.log10(escape)
+        return answer(asked, 0, keys, counts, values)
+
+    def answer_pairs(asked: pa.Table, found: pa.Table) -> pa.Table:
+        row = found.to_pylist()[0]
+        keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
+        return answer(asked, 1, keys, counts, score_codes(keys, counts, model.value, coder.value))
+
+    back = "batch string, kind int, bucket int, x binary, y binary"
+    by = lambda df: df.groupBy("bucket")
+    answers = by(word_lists.drop("y", "z")).cogroup(by(words.select("bucket", "x", "y", "z"))).applyInArrow(answer_words, back)
+    answers = answers.unionByName(by(pair_lists.drop("y")).cogroup(by(pairs)).applyInArrow(answer_pairs, back))
+
+    def finished(documents: pa.Table, found: pa.Table) -> pa.Table:
+        row = documents.to_pylist()[0]
+        number = _unpack(row["x"], np.uint32).astype(np.int64)
+        ids, held, n_tokens, n_bytes = pickle.loads(zstandard.decompress(row["y"]))
+        parts: list[list] = [[], []]
+        for r in sorted(found.to_pylist(), key=lambda r: r["bucket"]):
+            parts[r["kind"]].append(r)
+        word_value = np.concatenate([_unpack(r["x"], np.float32) for r in parts[0]]).astype(float)
+        seen = np.concatenate([_unpack(r["y"], np.uint32) for r in parts[0]]).astype(np.int64)
+        keys, pair, _ = pairs_of(row["x"], row["y"], row["z"])
+        code_value = np.empty(len(keys))
+        code_value[np.argsort(routes.value.route(keys, bits), kind="stable")] = np.concatenate([_unpack(r["x"], np.float32) for r in parts[1]])
+        token = word_value[number] + np.where(seen[number] > 0, code_value[pair], 0)
+        first = np.cumsum(n_tokens) - n_tokens
+        score = np.add.reduceat(token, first)
+        per_byte = [-s / np.log10(2) / n if n else None for s, n in zip(score.tolist(), n_bytes.tolist())]
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()),
-                "held_out": pa.array(out, pa.bool_()),
-                "n_tokens": pa.array(size, pa.int64()),
+                "held_out": pa.array(held, pa.bool_()),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((seen > 0)[number].astype(np.int64), first), pa.int64()),
-                "train_tokens": pa.array(np.full(len(size), tokens), pa.int64()),
-                "base_score": pa.array(np.add.reduceat(base[number], first), pa.float64()),
-                "score": pa.array(np.add.reduceat(value[number], first), pa.float64()),
+                "train_tokens": pa.array(np.full(len(n_tokens), tokens), pa.int64()),
+                "base_score": pa.array(np.add.reduceat(np.log10((seen + 1) / (tokens + vocabulary + 1))[number], first), pa.float64()),
+                "score": pa.array(score, pa.float64()),
+                "bits_per_byte": pa.array(per_byte, pa.float64()),
             }
         )
 
-    done = written.where("bucket < 0").groupBy("batch").cogroup(answers.groupBy("batch"))
-    return done.applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finished, result)
