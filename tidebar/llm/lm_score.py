@@ -48,6 +48,7 @@ SPELL_PRIOR = 0.7  # weight of a shorter context's estimate in the next longer o
 SPELL_GATES = 8 * 7  # of the mixer of spelling
 SLOTS = (16, 17, 18, 18)  # bits of the spelling tables, by bytes of context
 SPACE = 32
+UNIT = 4096.0  # costs of words and codes are whole numbers of 1/UNIT digits
 STEP = 33  # cells of the refining table per gate
 EPOCHS, PARTS, RATE = 40, 32, 0.03
 
@@ -88,10 +89,21 @@ def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, where each occurs first, and their summed counts."""
-    uniq, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    return uniq, first, np.bincount(number, counts, len(uniq)).astype(np.int64)
+def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+    """Distinct keys of a bucket's lists, where each occurs first, their summed counts, and the places of each batch's keys."""
+    x = [_unpack_sorted(v) for v in table.column("x").to_pylist()]
+    y = [_unpack(v, np.uint32) for v in table.column("y").to_pylist()]
+    keys, first, place = np.unique(np.concatenate(x), return_index=True, return_inverse=True)
+    counts = np.bincount(place, np.concatenate(y), len(keys)).astype(np.int64)
+    places = [_pack(np.diff(p.astype(np.uint32), prepend=np.uint32(0))) for p in np.split(place, np.cumsum([len(v) for v in x])[:-1])]
+    row = {
+        "bucket": table.column("bucket")[:1].combine_chunks(),
+        "x": pa.array([_pack_sorted(keys)], pa.binary()),
+        "y": pa.array([_pack(counts)], pa.binary()),
+        "batches": pa.array([table.column("batch").to_pylist()], pa.list_(pa.string())),
+        "places": pa.array([places], pa.list_(pa.binary())),
+    }
+    return keys, first, counts, row
 
 
 # ---- the mixer
@@ -330,24 +342,42 @@ def pairs_of(x: bytes, y: bytes, z: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return keys, pair, np.bincount(pair, np.repeat(~held, size).astype(float), len(keys)).astype(np.uint32)
 
 
+MERGED = "bucket int, x binary, y binary, batches array<string>, places array<binary>"
+
+
 def count_words(table: pa.Table) -> pa.Table:
     """Distinct words of a bucket in order of fingerprints, with their training counts."""
-    x, y, z = (table.column(c).to_pylist() for c in ("x", "y", "z"))
     words: list[bytes] = []
-    for t in z:
+    for t in table.column("z").to_pylist():
         words += zstandard.decompress(t).split(b" ")
-    uniq, first, counts = _sums(np.concatenate([_unpack_sorted(v) for v in x]), np.concatenate([_unpack(v, np.uint32) for v in y]))
-    codes, _, leaves = _sums(uniq >> np.uint64(48), counts)
-    values = {"x": _pack_sorted(uniq), "y": _pack(counts), "z": zstandard.compress(b" ".join([words[i] for i in first.tolist()]), 3), "codes": pickle.dumps((codes.astype(np.int64), leaves))}
-    numbers = {"tokens": int(counts.sum()), "words": int((counts > 0).sum()), "single": int((counts == 1).sum())}
-    out = {"bucket": table.column("bucket")[:1].combine_chunks()}
-    return pa.table(out | {k: pa.array([v], pa.binary()) for k, v in values.items()} | {k: pa.array([v], pa.int64()) for k, v in numbers.items()})
+    keys, first, counts, row = _merge(table)
+    codes, at = np.unique(keys >> np.uint64(48), return_inverse=True)
+    leaves = (codes.astype(np.int64), np.bincount(at, counts, len(codes)).astype(np.int64))
+    row["z"] = pa.array([zstandard.compress(b" ".join([words[i] for i in first.tolist()]), 3)], pa.binary())
+    row["codes"] = pa.array([pickle.dumps(leaves)], pa.binary())
+    numbers = {"tokens": counts.sum(), "words": (counts > 0).sum(), "single": (counts == 1).sum()}
+    return pa.table(row | {k: pa.array([int(v)], pa.int64()) for k, v in numbers.items()})
 
 
 def count_pairs(table: pa.Table) -> pa.Table:
-    x, y = (table.column(c).to_pylist() for c in ("x", "y"))
-    keys, _, counts = _sums(np.concatenate([_unpack_sorted(v) for v in x]), np.concatenate([_unpack(v, np.uint32) for v in y]))
-    return pa.table({"bucket": table.column("bucket")[:1].combine_chunks(), "x": pa.array([_pack_sorted(keys)], pa.binary()), "y": pa.array([_pack(counts)], pa.binary())})
+    return pa.table(_merge(table)[3])
+
+
+def _answers(row: dict, kind: int, values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """What each batch asked of a bucket: costs in 1/UNIT digits, and counts of words."""
+    cost = np.rint(-values * UNIT).astype(np.uint32)
+    at = [np.cumsum(_unpack(p, np.uint32), dtype=np.uint32) for p in row["places"]]
+    n = len(at)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(row["batches"], pa.string()),
+            pa.array([kind] * n, pa.int32()),
+            pa.array([row["bucket"]] * n, pa.int32()),
+            pa.array([_pack(cost[a]) for a in at], pa.binary()),
+            pa.array([_pack(counts[a].astype(np.uint32)) if kind == 0 else None for a in at], pa.binary()),
+        ],
+        ["batch", "kind", "bucket", "x", "y"],
+    )
 
 
 def summed(df: DataFrame, cells_of, size: int) -> np.ndarray:
@@ -392,7 +422,7 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
 
     # words: counts, codes, spelling
     word_lists = written.where("bucket >= 0")
-    kinds = "bucket int, x binary, y binary, z binary, codes binary, tokens long, words long, single long"
+    kinds = MERGED + ", z binary, codes binary, tokens long, words long, single long"
     words = cut_lineage(word_lists.groupBy("bucket").applyInArrow(count_words, kinds))
     tokens, vocabulary, single = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "single")]).first()
     leaves = np.zeros(1 << DEPTH, np.int64)
@@ -437,15 +467,13 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
                 out = [(row["batch"], b, _pack_sorted(keys[order[lo:hi]]), _pack(counts[order[lo:hi]]), None) for b, lo, hi in _cuts(route[order])]
                 yield _lists(out)
 
-    pair_lists = cut_lineage(texts.mapInArrow(list_pairs, LISTS)).drop("z")
-
     def hot_cells(row):
         keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
         hot = routes.value.hot_of(keys).astype(np.int64)
         on = hot >= 0
         yield (hot[on] << TOP) | ((keys[on] >> np.uint64(DEPTH - TOP)) & np.uint64((1 << TOP) - 1)).astype(np.int64), counts[on]
 
-    pairs = cut_lineage(pair_lists.groupBy("bucket").applyInArrow(count_pairs, "bucket int, x binary, y binary"))
+    pairs = cut_lineage(texts.mapInArrow(list_pairs, LISTS).drop("z").groupBy("bucket").applyInArrow(count_pairs, MERGED))
     if known.n_hot:
         known.put_after(summed(pairs.select("x", "y"), hot_cells, known.n_hot << TOP))
     model = share(known)
@@ -464,32 +492,24 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
     coder = share(mixer.learn(summed(pairs.select("x", "y"), code_cells, mixer.size)))
 
     # answers
-    def answer(table: pa.Table, kind: int, keys: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.Table:
-        xs, ys = [], []
-        for x in table.column("x").to_pylist():
-            at = np.searchsorted(keys, _unpack_sorted(x))
-            xs.append(_pack(values[at].astype(np.float32)))
-            ys.append(_pack(counts[at].astype(np.uint32)) if kind == 0 else None)
-        return pa.table({"batch": table.column("batch"), "kind": pa.array([kind] * len(xs), pa.int32()), "bucket": table.column("bucket"), "x": pa.array(xs, pa.binary()), "y": pa.array(ys, pa.binary())})
-
-    def answer_words(asked: pa.Table, found: pa.Table) -> pa.Table:
-        row = found.to_pylist()[0]
-        keys, counts, text = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64), zstandard.decompress(row["z"]).split(b" ")
-        leaf = model.value.leaves[(keys >> np.uint64(48)).astype(np.int64)]
-        values = np.log10(np.maximum(counts, 1) / np.maximum(leaf, 1)) + np.log10(1 - escape)
-        new = np.flatnonzero(counts == 0)
-        values[new] = spell([text[i] for i in new.tolist()], tables.value, speller.value) + np.log10(escape)
-        return answer(asked, 0, keys, counts, values)
-
-    def answer_pairs(asked: pa.Table, found: pa.Table) -> pa.Table:
-        row = found.to_pylist()[0]
-        keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
-        return answer(asked, 1, keys, counts, score_codes(keys, counts, model.value, coder.value))
-
-    back = "batch string, kind int, bucket int, x binary, y binary"
-    by = lambda df: df.groupBy("bucket")
-    answers = by(word_lists.drop("y", "z")).cogroup(by(words.select("bucket", "x", "y", "z"))).applyInArrow(answer_words, back)
-    answers = answers.unionByName(by(pair_lists.drop("y")).cogroup(by(pairs)).applyInArrow(answer_pairs, back))
+    def answer_words(batches):
+        for some in batches:
+            for row in some.to_pylist():
+                keys, counts, text = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64), zstandard.decompress(row["z"]).split(b" ")
+                leaf = model.value.leaves[(keys >> np.uint64(48)).astype(np.int64)]
+                values = np.log10(np.maximum(counts, 1) / np.maximum(leaf, 1)) + np.log10(1 - escape)
+                new = np.flatnonzero(counts == 0)
+                values[new] = spell([text[i] for i in new.tolist()], tables.value, speller.value) + np.log10(escape)
+                yield _answers(row, 0, values, counts)
+
+    def answer_pairs(batches):
+        for some in batches:
+            for row in some.to_pylist():
+                keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
+                yield _answers(row, 1, score_codes(keys, counts, model.value, coder.value), counts)
+
+    back, columns = "batch string, kind int, bucket int, x binary, y binary", ["bucket", "x", "y", "batches", "places"]
+    answers = words.select(*columns, "z").mapInArrow(answer_words, back).unionByName(pairs.select(columns).mapInArrow(answer_pairs, back))
 
     def finished(documents: pa.Table, found: pa.Table) -> pa.Table:
         row = documents.to_pylist()[0]
@@ -498,11 +518,11 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
         parts: list[list] = [[], []]
         for r in sorted(found.to_pylist(), key=lambda r: r["bucket"]):
             parts[r["kind"]].append(r)
-        word_value = np.concatenate([_unpack(r["x"], np.float32) for r in parts[0]]).astype(float)
+        word_value = np.concatenate([_unpack(r["x"], np.uint32) for r in parts[0]]) / -UNIT
         seen = np.concatenate([_unpack(r["y"], np.uint32) for r in parts[0]]).astype(np.int64)
         keys, pair, _ = pairs_of(row["x"], row["y"], row["z"])
         code_value = np.empty(len(keys))
-        code_value[np.argsort(routes.value.route(keys, bits), kind="stable")] = np.concatenate([_unpack(r["x"], np.float32) for r in parts[1]])
+        code_value[np.argsort(routes.value.route(keys, bits), kind="stable")] = np.concatenate([_unpack(r["x"], np.uint32) for r in parts[1]]) / -UNIT
         token = word_value[number] + np.where(seen[number] > 0, code_value[pair], 0)
         first = np.cumsum(n_tokens) - n_tokens
         score = np.add.reduceat(token, first)
