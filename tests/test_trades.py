@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.operators import metrics as mt, trades as tr
+from tidebar.operators import grids as gr, metrics as mt, trades as tr
 from tidebar.operators.layout import number_bars
 
 DAY0 = dt.datetime(2020, 1, 1)
@@ -178,3 +178,10 @@ def test_gate(spark, p, vol, cool, want):
     d, r = tr.gate(F.col("p"), F.col("v"), F.col("c"))
     row = df.select(d.alias("d"), r.alias("r")).first()
     assert (row.d, row.r) == want
+
+
+def test_ablation_takes_trades_of_early_bars(spark, monkeypatch):
+    bars = ohlc(spark, [(100, 101, 99.5, 100)] * 12)
+    monkeypatch.setattr(gr, "variant_decisions", lambda df: df.withColumn("decision", F.lit("STRONG_BUY")))
+    got = {r["variant"]: r["total_trades"] for r in gr.ablation(bars).collect()}
+    assert set(got) == {v[0] for v in gr.VARIANTS} and min(got.values()) > 1

@@ -71,8 +71,8 @@ def variant_decisions(signals: DataFrame) -> DataFrame:
     return done.withColumn("decision", F.when(F.col("strict"), F.col("trade_decision")).otherwise(simple))
 
 
-def ablation(signals: DataFrame, cooldown_days: int = 3, min_history: int = 80) -> DataFrame:
-    """Trade statistics of every variant per symbol, from bar ``min_history`` on."""
+def ablation(signals: DataFrame, cooldown_days: int = 3, min_history: int = 0) -> DataFrame:
+    """Trade statistics of every variant per symbol, from bar ``min_history`` on (0: all bars)."""
     df = variant_decisions(with_variants(signals))
     exits = tr.first_touch_exits(tr.with_profile(df)).where(F.col("exit_reason") != "INVALID")
     rel = tr.with_release(exits, df, cooldown_days, use=F.col("use_cooldown"))
