@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, _decoded, _surfaces, changed, decode, encode
+from tidebar.llm import pieces
+from tidebar.llm.pieces import MODEL, Encoder, Vocabulary, _decoded, _encoded, _surfaces, changed, decode, encode
 from tidebar.llm.queries import QUERIES
 
 
@@ -92,3 +93,25 @@ def test_lost_pieces_show():
     ids = np.frombuffer(encoder.encode(encoder.units("some text"))[1], np.int32)
     back = _decoded(pa.array([ids.tolist(), ids[:-1].tolist()], pa.list_(pa.int32())), _surfaces(MODEL))
     assert back[0] == b"some text" != back[1]
+
+
+def test_learnt_units_serve_the_next_task(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["zebra crossing\nat noon"]})
+    first = [out for _, out in _encoded([batch], MODEL, 3)]
+
+    def again(*args):
+        raise AssertionError("searched again")
+
+    for name in ("__init__", "best", "best_of", "nbest"):
+        monkeypatch.setattr(Vocabulary, name, again)
+    assert [out for _, out in _encoded([batch], MODEL, 3)] == first
+
+
+def test_a_long_unit_does_not_forget_the_others(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_UNITS", 2)
+    encoder = Encoder(MODEL, 3)
+    encoder.learn([["The", " zebra", " crossing"]])
+    assert encoder.unit("x" * 30) == encoder.vocab.best("x" * 30) and {"The", " zebra", " crossing"} <= set(encoder.known)
+    kept = encoder.known[" zebra"]
+    encoder.learn([[" zebra", " noon"]])  # a new generation
+    assert encoder.known[" zebra"] is kept and set(encoder.known) == {" zebra", " noon"}

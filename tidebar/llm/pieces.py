@@ -16,9 +16,11 @@ equal in whatever order they were added.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
+import operator
 import re
 
 import numpy as np
@@ -31,21 +33,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 UNIT = 1_000_000  # worths are counted in 1 / UNIT nats
 MARK = "▁"
-KEPT_UNITS = 400_000  # units whose segmentation one task remembers; others are searched again
+KEPT_UNITS = 300_000  # units of a generation; a worker remembers two, and units in use pass from the older one to the newer
+KEPT_LONG = 20_000  # longer units that it remembers, and units whose n-best list it does
 LEARN = 24  # longest unit that is searched together with others of its length
 NONE = -(1 << 30)  # no path
+_IDS, _WORTH, _LOSS = map(operator.itemgetter, range(3))
 _UNITS = re.compile(" *[^ ]+| +")
 _FACTOR, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _fingerprint(text: str) -> int:
-    key = 0
-    for c in text:
-        key = (key * int(_FACTOR) + ord(c) + 1) % (1 << 64)
-    return key
-
-
 class Vocabulary:
     def __init__(self, path: str):
         import sentencepiece
@@ -71,10 +68,16 @@ class Vocabulary:
         self._tables()
 
     def _tables(self):
-        """Two-level hash tables from the fingerprint of a piece to its worth and id."""
-        names = list(self.pieces)
-        keys = np.array([_fingerprint(p) for p in names], np.uint64)
-        ids, worths = (np.array(x, np.int64) for x in zip(*self.pieces.values()))
+        """Hash tables from the fingerprint of a piece, or of a piece's beginning, to its worth (NONE: no piece) and id."""
+        found = {}
+        for p, (i, w) in self.pieces.items():
+            key = 0
+            for c in p:
+                key = (key * int(_FACTOR) + ord(c) + 1) % (1 << 64)
+                found.setdefault(key, (0, NONE))
+            found[key] = i, w
+        keys = np.array(list(found), np.uint64)
+        ids, worths = (np.array(x, np.int64) for x in zip(*found.values()))
         self.levels = []
         while len(keys):
             slot = (keys * _SPREAD[len(self.levels) % 2] >> np.uint64(64 - _SLOTS)).astype(np.int64)
@@ -87,38 +90,46 @@ class Vocabulary:
             left[at] = False
             keys, ids, worths = keys[left], ids[left], worths[left]
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Worth (NONE: no piece) and id of each fingerprint."""
-        worth, ids = np.full(len(keys), NONE, np.int32), np.zeros(len(keys), np.int32)
-        for n, (held, worths, numbers) in enumerate(self.levels):
-            slot = (keys * _SPREAD[n % 2] >> np.uint64(64 - _SLOTS)).astype(np.int64)
-            ok = held[slot] == keys
-            worth = np.where(ok, worths[slot], worth)
-            ids = np.where(ok, numbers[slot], ids)
-        return worth, ids
+    def lookup(self, keys: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Worth (NONE: no piece) and id of each fingerprint, and whether a piece begins like that."""
+        held, worths, numbers = self.levels[level]
+        slot = (keys * _SPREAD[level % 2] >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        there = held[slot]
+        ok = there == keys
+        worth, ids = np.where(ok, worths[slot], NONE), np.where(ok, numbers[slot], 0)
+        if level + 1 < len(self.levels):
+            down = np.flatnonzero(~ok & (there != 0))  # only a taken slot sends keys down
+            if len(down):
+                worth[down], ids[down], ok[down] = self.lookup(keys[down], level + 1)
+        return worth, ids, ok
 
     def best_of(self, units: list[str]) -> list[tuple[bytes, int, float]]:
         """``best`` of many units of one length at once: the same forward pass, column by column."""
         m, n = len(units), len(units[0])
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64, order="C") + np.uint64(1)
         worth = np.full((n + 1, m), NONE, np.int64)
         worth[0] = 0
         second = np.full((n + 1, m), NONE, np.int64)
         via, piece = np.zeros((n + 1, m), np.int32), np.zeros((n + 1, m), np.int32)
         plain = np.ones(m, bool)
         for j in range(n):
-            key = np.zeros(m, np.uint64)
+            rows, key = np.arange(m), np.zeros(m, np.uint64)
             for i in range(j + 1, min(n, j + self.longest) + 1):
-                key = key * _FACTOR + codes[:, i - 1]
-                w, ids = self.lookup(key)
+                key = key * _FACTOR + codes[i - 1][rows]
+                w, ids, begun = self.lookup(key)
+                hit = w != NONE
                 if i == j + 1:
-                    plain &= w != NONE
-                w = np.where(w != NONE, w + worth[j], NONE)
-                better = w > worth[i]
-                second[i] = np.maximum(second[i], np.where(better, worth[i], w))
-                via[i] = np.where(better, j, via[i])
-                piece[i] = np.where(better, ids, piece[i])
-                worth[i] = np.where(better, w, worth[i])
+                    plain &= hit
+                r = rows[hit]
+                w, old = w[hit] + worth[j][r], worth[i][r]
+                better = w > old
+                second[i][r] = np.maximum(second[i][r], np.where(better, old, w))
+                worth[i][r] = np.maximum(old, w)
+                up = r[better]
+                via[i][up], piece[i][up] = j, ids[hit][better]
+                rows, key = rows[begun], key[begun]
+                if not len(rows):
+                    break
         loss, at, rows = np.full(m, np.inf), np.full(m, n), np.arange(m)
         back = np.full((n, m), -1, np.int32)
         for k in range(n):
@@ -198,26 +209,42 @@ class Encoder:
     def __init__(self, path: str, nbest: int):
         self.vocab, self.n = Vocabulary(path), nbest
         self.known: dict[str, tuple[bytes, int, float]] = {}
+        self.older: dict[str, tuple[bytes, int, float]] = {}
+        self.long: dict[str, tuple[bytes, int, float]] = {}  # units that learn() leaves out
+        self.lists: dict[str, list[tuple[int, tuple[int, ...]]]] = {}  # n-best lists of short units
         self.newline = (np.array([self.vocab.byte_id[10]], np.int32).tobytes(), self.vocab.byte_worth, math.inf)
 
     def unit(self, unit: str) -> tuple[bytes, int, float]:
-        found = self.known.get(unit)
+        found = self.known.get(unit) or self.long.get(unit)
         if found is None:
             found = self.vocab.best(unit)
             if len(unit) <= 32:
-                if len(self.known) >= KEPT_UNITS:
-                    self.known.clear()
-                self.known[unit] = found
+                if len(self.long) >= KEPT_LONG:
+                    self.long.clear()
+                self.long[unit] = found
+        return found
+
+    def nbest(self, unit: str) -> list[tuple[int, tuple[int, ...]]]:
+        found = self.lists.get(unit)
+        if found is None:
+            found = self.vocab.nbest(unit, self.n)
+            if len(unit) <= LEARN:
+                if len(self.lists) >= KEPT_LONG:
+                    self.lists.clear()
+                self.lists[unit] = found
         return found
 
     def learn(self, lists: list[list[str]]) -> None:
         """Search the units of some texts that are not known yet, many at a time."""
         if len(self.known) >= KEPT_UNITS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         by_length: dict[int, list[str]] = {}
         for u in set().union(*lists).difference(self.known):
             if len(u) <= LEARN and u != "\n":
-                by_length.setdefault(len(u), []).append(u)
+                if found := self.older.get(u):
+                    self.known[u] = found
+                else:
+                    by_length.setdefault(len(u), []).append(u)
         for same in by_length.values():
             for a in range(0, len(same), 20000):
                 some = same[a : a + 20000]
@@ -245,16 +272,18 @@ class Encoder:
         A change (first, n, ids) puts other ids in the place of n ids of the best segmentation.
         """
         get, new, line_end = self.known.get, self.unit, self.newline
-        found = [get(u) or (line_end if u == "\n" else new(u)) for u in units]
-        ids = [f[0] for f in found]
+        found = list(map(get, units))
+        if None in found:
+            found = [f or (line_end if u == "\n" else new(u)) for f, u in zip(found, units)]
+        ids = list(map(_IDS, found))
         out = []
         if self.n > 1 and found:
-            loss = np.array([f[2] for f in found])
+            loss = np.fromiter(map(_LOSS, found), np.float64, len(found))
             ways = [(0, ())]
             for k in np.sort(self._least(loss)).tolist():
                 if loss[k] == math.inf:
                     continue
-                lists = self.vocab.nbest(units[k], self.n)
+                lists = self.nbest(units[k])
                 ways = heapq.nsmallest(self.n, [(a + lists[0][0] - w, (*path, (k, i))) for a, path in ways for w, i in lists], key=lambda x: x[0])
                 ways[0] = (0, ())  # the best of every unit is no change
             for lost, path in ways[1:]:
@@ -264,7 +293,7 @@ class Encoder:
                     if own != other:
                         changes.append((sum(map(len, ids[:k])) // 4, len(own), other))
                 out.append((lost, changes))
-        return sum(f[1] for f in found), b"".join(ids), out
+        return sum(map(_WORTH, found)), b"".join(ids), out
 
     def _least(self, loss: np.ndarray) -> np.ndarray:
         """Positions of the n-1 smallest losses, earlier ones first among equals."""
@@ -275,6 +304,12 @@ class Encoder:
         return np.concatenate([below, np.flatnonzero(loss == bound)[: self.n - 1 - len(below)]])
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(model: str, nbest: int) -> Encoder:
+    """One per Python worker: what a task learnt serves the worker's next tasks."""
+    return Encoder(model, nbest)
+
+
 ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, alternatives array<struct<score:double,changes:array<struct<first:int,n:int,ids:array<int>>>>>"
 
 
@@ -282,7 +317,7 @@ def _encoded(batches, model: str, nbest: int):
     """The texts of some rows and what ``encode`` gives for them."""
     change = pa.struct([("first", pa.int32()), ("n", pa.int32()), ("ids", pa.list_(pa.int32()))])
     kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(change))]))
-    encoder = Encoder(model, nbest)
+    encoder = _encoder(model, nbest)
     for rows, texts in slices(batches):
         units = [encoder.units(t.decode()) if t else [] for t in texts]
         encoder.learn(units)
@@ -296,6 +331,7 @@ def _encoded(batches, model: str, nbest: int):
         )
 
 
+@functools.lru_cache(maxsize=1)
 def _surfaces(model: str) -> list[bytes]:
     surface = Vocabulary(model).surface
     return [surface.get(i, b"") for i in range(max(surface) + 1)]
