@@ -115,3 +115,11 @@ def test_a_long_unit_does_not_forget_the_others(monkeypatch):
     kept = encoder.known[" zebra"]
     encoder.learn([[" zebra", " noon"]])  # a new generation
     assert encoder.known[" zebra"] is kept and set(encoder.known) == {" zebra", " noon"}
+
+
+def test_remembered_units_are_bounded(monkeypatch):
+    encoder = pieces.Encoder(pieces.MODEL, 4)
+    monkeypatch.setattr(encoder.vocab, "best_of", lambda units: [(b"", 0, 0.0)] * len(units))
+    for k in range(8):
+        encoder.learn([[f" {k}x{i}" for i in range(50_000)]])
+    assert len(encoder.known) + len(encoder.older) <= 300_000

@@ -1,9 +1,11 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidebar.llm import toxicity as toxicity_module
 from tidebar.llm.queries import QUERIES
 from tidebar.llm.toxicity import clean_rows, fit, term_pairs, toxicity
 
@@ -65,3 +67,25 @@ def test_edges(spark, docs_of):
     assert toxicity(docs, odd).count() == 5
     assert clean_rows(docs, none).columns == docs.columns
     assert toxicity(docs_of([]), odd).count() == 0
+
+
+def test_fit_memory(monkeypatch):
+    # 3 million terms: a handful of 64-bit arrays of them would be 120 MB and more
+    monkeypatch.setattr(toxicity_module, "EPOCHS", 0)
+    doc = np.repeat(np.arange(3000, dtype=np.int32), 1000)
+    bucket = (np.arange(len(doc)) * 7919 % 50_000).astype(np.int32)
+    tracemalloc.start()
+    model = fit(doc, bucket, np.arange(3000) % 2, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (model["chosen"] == np.unique(bucket)).all() and peak < 60e6
+
+
+def test_fit_takes_rows_in_any_order():
+    rng = np.random.default_rng(2)
+    doc, y = np.repeat(np.arange(40), 5), np.arange(40) % 2
+    bucket = rng.permutation(200) % 30
+    mixed = rng.permutation(200)
+    by_doc = mixed[np.argsort(doc[mixed], kind="stable")]
+    a, b = fit(doc[mixed], bucket[mixed], y, 0.5), fit(doc[by_doc], bucket[by_doc], y, 0.5)
+    assert a["w0"] == b["w0"] and (a["w"] == b["w"]).all() and (a["v"] == b["v"]).all()

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
 UNIT = 1_000_000  # worths are counted in 1 / UNIT nats
 MARK = "▁"
-KEPT_UNITS = 300_000  # units of a generation; a worker remembers two, and units in use pass from the older one to the newer
+KEPT_UNITS = 100_000  # units of a generation; a worker remembers two, and units in use pass from the older one to the newer
 KEPT_LONG = 20_000  # longer units that it remembers, and units whose n-best list it does
 LEARN = 24  # longest unit that is searched together with others of its length
 NONE = -(1 << 30)  # no path

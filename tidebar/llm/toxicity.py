@@ -30,6 +30,7 @@ SHRINK_W = 40  # evidence at which a weight learns at half its scale
 SHRINK_V = 1000  # documents at which factors do
 BATCH = 256  # rows of a minibatch
 TERMS_AT_ONCE = 1 << 18
+SLICE = 1 << 20  # bytes of text whose terms are worked on at once
 PREFIXES = (4, 5)
 
 
@@ -49,10 +50,18 @@ def term_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def evidence(cols: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared difference of each bucket's document shares between the classes, in standard errors."""
-    c, share, n = np.bincount(cols).astype(float), y.mean(), len(y)
-    return (np.bincount(cols, toxic) - c * share) ** 2 / (c * share * (1 - share) * np.maximum(1 - c / n, 1 / n))
+def counted(cols: np.ndarray, size: int) -> np.ndarray:
+    """How often each of ``size`` numbers occurs; part after part, since a count widens its input."""
+    out = np.zeros(size, np.int64)
+    for a in range(0, len(cols), 1 << 20):
+        out += np.bincount(cols[a : a + (1 << 20)], minlength=size)
+    return out
+
+
+def evidence(seen: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared difference of each bucket's document shares between the classes, in standard errors; from its documents and toxic documents."""
+    c, share, n = seen.astype(float), y.mean(), len(y)
+    return (toxic - c * share) ** 2 / (c * share * (1 - share) * np.maximum(1 - c / n, 1 / n))
 
 
 def sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -77,20 +86,28 @@ def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, prior: float, seed:
 
     Parameters are learnt times a fixed scale: of a weight by the evidence for the bucket, of factors
     by its documents.  Chance differences of the many rare buckets so move slowly, none is left out.
+    Of the arrays with an entry per term (32 bits, where the caller's have) few exist at a time.
     """
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    chosen, cols = np.unique(bucket[order], return_inverse=True)
-    cols = cols.astype(np.int32)
-    found, seen = evidence(cols, y[doc], y) + 1, np.bincount(cols)
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        doc, bucket = doc[order], bucket[order]
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[bucket] = 1
+    chosen = np.flatnonzero(slot)
+    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
+    cols = slot[bucket]
+    seen = counted(cols, len(chosen))
+    found = evidence(seen, counted(cols[(y == 1)[doc]], len(chosen)), y) + 1
     scale = np.repeat((seen / (seen + SHRINK_V)).astype(np.float32)[:, None], 1 + FACTORS, 1)
     scale[:, 0] = found / (found + SHRINK_W)
-    edge = np.searchsorted(doc, np.arange(len(y) + 1))
+    edge = np.searchsorted(doc, np.arange(len(y) + 1, dtype=doc.dtype))
     size = np.diff(edge)
     rng = np.random.default_rng(seed)
     share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
     w0, s0 = np.log(share / (1 - share)), START
-    p = rng.normal(0, 0.02, (len(chosen), 1 + FACTORS)).astype(np.float32)  # weight, factors
+    p = np.empty((len(chosen), 1 + FACTORS), np.float32)  # weight, factors
+    for a in range(0, len(p), 1 << 16):
+        p[a : a + (1 << 16)] = rng.normal(0, 0.02, p[a : a + (1 << 16)].shape)
     p[:, 0] = 0
     s = np.full_like(p, START)
     for _ in range(EPOCHS):
@@ -154,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
 
     def terms(batches):
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, limit=SLICE):
             doc, bucket = term_pairs(texts)
             key = np.unique(doc * np.int64(1 << BITS) + bucket)
             cut = np.searchsorted(key, np.arange(len(texts) + 1) << BITS)
@@ -167,10 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dic
             for i, y, blob in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "terms"))):
                 found[i] = max(found.get(i, (y, b"")), (y, blob))  # of rows that share an id, one
         ids = sorted(found)
-        parts = [np.frombuffer(found[i][1], np.int32) for i in ids]
         y = np.array([found[i][0] for i in ids], np.int64)
         if y.size and 0 < y.sum() < y.size:
-            model = fit(np.repeat(np.arange(len(ids)), [len(p) for p in parts]), np.concatenate(parts).astype(np.int64), y, prior)
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(found[i][1]) // 4 for i in ids])
+            bucket = np.frombuffer(b"".join([found.pop(i)[1] for i in ids]), np.int32)
+            model = fit(doc, bucket, y, prior)
             yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     got = rows.mapInArrow(terms, "doc_id long, y int, terms binary").repartition(1).mapInArrow(fitted, "model binary").collect()
@@ -185,7 +203,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, limit=SLICE):
             score = predict(shared.value, texts)
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in range(len(names))), pa.array(score, pa.float64())], [*names, "_score"])
 
