@@ -1,15 +1,17 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidebar.llm import lm_score as lm
 from tidebar.llm.lm_score import lm_scores
 from tidebar.llm.queries import QUERIES
-from tidebar.llm.textbatch import word_hashes
+from tidebar.llm.textbatch import single_rows, word_hashes
 
 
 def words_of(t):
@@ -169,3 +171,25 @@ def test_held_out_documents(spark):
     for r in rows:
         n = len((r.text or "").encode())
         assert r.bits_per_byte is None if n == 0 else abs(r.bits_per_byte + r.score / math.log10(2) / n) < 1e-9
+
+
+def test_spelling_memory():
+    # 60000 words with half a million bytes are spelled in small parts
+    rng = np.random.default_rng(5)
+    tables = [rng.integers(0, 9, (2, 1 << s)) for s in lm.SLOTS]
+    mixer = fitted(rng, lm.SPELL_GATES)
+    words = [b"w%07d" % i for i in range(60_000)]
+    tracemalloc.start()
+    values = lm.spell(words, tables, mixer)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and (values[50_000:50_100] == lm.spell(words[50_000:50_100], tables, mixer)).all()
+
+
+def test_large_rows_come_one_by_one():
+    batch = pa.RecordBatch.from_pydict({"x": [bytes(1 << 20)] * 20 + [None]})
+    tracemalloc.start()
+    sizes = [len(row["x"] or b"") for row in single_rows([batch, batch.slice(0, 0)])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [1 << 20] * 20 + [0] and peak < 5e6

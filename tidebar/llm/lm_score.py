@@ -33,7 +33,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, slices
+from tidebar.llm.textbatch import ASCII_LOWER, Words, mix, single_rows, slices
 from tidebar.session import cut_lineage
 
 BATCH = 4 << 20  # bytes of text whose documents share a list of pairs
@@ -277,7 +277,7 @@ class Spelling:
             yield bit * 7 + np.minimum(np.log2(a + b + 1).astype(np.int64), 6), xs[1::2]
 
 
-def _some_words(words: list[bytes], part: int = 50_000):
+def _some_words(words: list[bytes], part: int = 1 << 14):
     for a in range(0, len(words), part):
         yield a, Spelling(words[a : a + part])
 
@@ -381,14 +381,13 @@ def _answers(row: dict, kind: int, values: np.ndarray, counts: np.ndarray) -> pa
 
 
 def summed(df: DataFrame, cells_of, size: int) -> np.ndarray:
-    """Sums of (cell, count) arrays over all rows: ``size`` numbers, whatever the rows."""
+    """Sums of (cell, count) arrays over all rows: ``size`` numbers, whatever the rows (no counts: each cell is one)."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
-        for rows in batches:
-            for row in rows.to_pylist():
-                for cell, n in cells_of(row):
-                    total += np.bincount(cell, n, size).astype(np.int64)
+        for row in single_rows(batches):
+            for cell, n in cells_of(row):
+                np.add.at(total, cell, 1 if n is None else n)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 1 << 16):
             some = at[a : a + (1 << 16)]
@@ -441,8 +440,7 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
         for _, s in _some_words(trained(row)):
             for _, taken, slots in s.steps():
                 for t, at in enumerate(slots):
-                    cell, n = np.unique((taken << SLOTS[t]) + at + base[t], return_counts=True)
-                    yield cell, n
+                    yield (taken << SLOTS[t]) + at + base[t], None
 
     flat = summed(words.select("y", "z"), spelling_counts, base[-1])
     tables = share([flat[a:b].reshape(2, -1) for a, b in zip(base, base[1:])])
@@ -459,13 +457,12 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
     routes = share(known)
 
     def list_pairs(batches):
-        for batch_rows in batches:
-            for row in batch_rows.to_pylist():
-                keys, _, counts = pairs_of(row["x"], row["y"], row["z"])
-                route = routes.value.route(keys, bits)
-                order = np.argsort(route, kind="stable")
-                out = [(row["batch"], b, _pack_sorted(keys[order[lo:hi]]), _pack(counts[order[lo:hi]]), None) for b, lo, hi in _cuts(route[order])]
-                yield _lists(out)
+        for row in single_rows(batches):
+            keys, _, counts = pairs_of(row["x"], row["y"], row["z"])
+            route = routes.value.route(keys, bits)
+            order = np.argsort(route, kind="stable")
+            out = [(row["batch"], b, _pack_sorted(keys[order[lo:hi]]), _pack(counts[order[lo:hi]]), None) for b, lo, hi in _cuts(route[order])]
+            yield _lists(out)
 
     def hot_cells(row):
         keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
@@ -493,20 +490,18 @@ def lm_scores(docs: DataFrame, batch: int = BATCH, bucket: int = BUCKET) -> Data
 
     # answers
     def answer_words(batches):
-        for some in batches:
-            for row in some.to_pylist():
-                keys, counts, text = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64), zstandard.decompress(row["z"]).split(b" ")
-                leaf = model.value.leaves[(keys >> np.uint64(48)).astype(np.int64)]
-                values = np.log10(np.maximum(counts, 1) / np.maximum(leaf, 1)) + np.log10(1 - escape)
-                new = np.flatnonzero(counts == 0)
-                values[new] = spell([text[i] for i in new.tolist()], tables.value, speller.value) + np.log10(escape)
-                yield _answers(row, 0, values, counts)
+        for row in single_rows(batches):
+            keys, counts, text = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64), zstandard.decompress(row["z"]).split(b" ")
+            leaf = model.value.leaves[(keys >> np.uint64(48)).astype(np.int64)]
+            values = np.log10(np.maximum(counts, 1) / np.maximum(leaf, 1)) + np.log10(1 - escape)
+            new = np.flatnonzero(counts == 0)
+            values[new] = spell([text[i] for i in new.tolist()], tables.value, speller.value) + np.log10(escape)
+            yield _answers(row, 0, values, counts)
 
     def answer_pairs(batches):
-        for some in batches:
-            for row in some.to_pylist():
-                keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
-                yield _answers(row, 1, score_codes(keys, counts, model.value, coder.value), counts)
+        for row in single_rows(batches):
+            keys, counts = _unpack_sorted(row["x"]), _unpack(row["y"], np.int64)
+            yield _answers(row, 1, score_codes(keys, counts, model.value, coder.value), counts)
 
     back, columns = "batch string, kind int, bucket int, x binary, y binary", ["bucket", "x", "y", "batches", "places"]
     answers = words.select(*columns, "z").mapInArrow(answer_words, back).unionByName(pairs.select(columns).mapInArrow(answer_pairs, back))

@@ -65,6 +65,15 @@ def slices(batches, text: str = "text", limit: int = SLICE) -> Iterator[tuple[pa
     give_back()
 
 
+def single_rows(batches) -> Iterator[dict]:
+    """Rows one by one, for rows that are large; after the last one freed memory is given back."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+        del batch
+    give_back()
+
+
 class Words:
     """The words of some texts: byte buffer, word starts and ends, word counts and offsets per text."""
 
